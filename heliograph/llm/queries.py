@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontamination, fingerprints, language_id, licenses, packing, token_counts, url_filter
+from heliograph.llm import decontamination, fingerprints, language_id, licenses, line_dedup, packing, token_counts, url_filter
 from heliograph.llm.storage import table
 
 
@@ -38,9 +38,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_url_filter, op5_fingerprints, op6_token_counts, op8_language_id, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_url_filter, op5_fingerprints, op6_token_counts, op8_language_id, op9_line_dedup, op10_licenses)}
