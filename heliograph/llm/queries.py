@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontamination, fingerprints, language_id, licenses, line_dedup, packing, token_counts, url_filter
+from heliograph.llm import decontamination, fingerprints, language_id, licenses, line_dedup, ngram_join, packing, substring_dedup, token_counts, url_filter
 from heliograph.llm.storage import table
 
 
@@ -23,6 +23,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~language_id.held_out()))
@@ -47,4 +55,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_url_filter, op5_fingerprints, op6_token_counts, op8_language_id, op9_line_dedup, op10_licenses)}
+    found = (
+        op1_packing, op2_decontamination, op3_url_filter, op4_ngram_join, op5_fingerprints,
+        op6_token_counts, op7_substring_dedup, op8_language_id, op9_line_dedup, op10_licenses,
+    )
+    return {f.__name__: f for f in found}
