@@ -96,3 +96,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         F.sha2(listed, 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Rows of ``docs`` that hold no window; a row without a doc_id is judged with all such rows."""
+    found = decontaminate(docs, items, window, shingle).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    found = materialize(found, "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti").select(*docs.columns)
