@@ -86,21 +86,21 @@ def merge_suggestions(photos: DataFrame, faces: DataFrame, identities: DataFrame
     top = ranked.orderBy(F.desc("leverage"), "a", "b").limit(params.top_merges)
     first = F.col("a_count") >= F.col("b_count")
     pick = lambda c: (F.when(first, F.col(f"a{c}")).otherwise(F.col(f"b{c}")), F.when(first, F.col(f"b{c}")).otherwise(F.col(f"a{c}")))
-    (into, source), (into_name, source_name), (_, photos_) = pick(""), pick("_name"), pick("_count")
-    sided = top.select(into.alias("into"), source.alias("source"), into_name.alias("into_name"), source_name.alias("source_name"), F.col("max_sim").alias("similarity"), photos_.alias("photos"))
-    sided = sided.filter(F.col("into_name").isNull() | F.col("source_name").isNull())
-    lo, hi = F.least(-F.col("into"), -F.col("source")), F.greatest(-F.col("into"), -F.col("source"))
-    both = (F.col("into") < 0) & (F.col("source") < 0)
+    (target, source), (target_name, source_name), (_, photos_) = pick(""), pick("_name"), pick("_count")
+    sided = top.select(target.alias("target"), source.alias("source"), target_name.alias("target_name"), source_name.alias("source_name"), F.col("max_sim").alias("similarity"), photos_.alias("photos"))
+    sided = sided.filter(F.col("target_name").isNull() | F.col("source_name").isNull())
+    lo, hi = F.least(-F.col("target"), -F.col("source")), F.greatest(-F.col("target"), -F.col("source"))
+    both = (F.col("target") < 0) & (F.col("source") < 0)
     told = people.symmetric(cannot_link)
     sided = sided.withColumn("lo", F.when(both, lo)).withColumn("hi", F.when(both, hi)).join(told, (F.col("lo") == told["a"]) & (F.col("hi") == told["b"]), "left_anti").drop("lo", "hi")
-    own = pool.select(F.col("g").alias("into"), "photo_id", F.col("id").alias("fa"))
+    own = pool.select(F.col("g").alias("target"), "photo_id", F.col("id").alias("fa"))
     other = pool.select(F.col("g").alias("source"), "photo_id", F.col("id").alias("fb"))
-    shared = sided.select("into", "source").join(own, "into").join(other, ["source", "photo_id"]).groupBy("into", "source").agg(F.min(F.struct("photo_id", "fa", "fb")).alias("first"))
-    marked = sided.join(shared, ["into", "source"], "left")
+    shared = sided.select("target", "source").join(own, "target").join(other, ["source", "photo_id"]).groupBy("target", "source").agg(F.min(F.struct("photo_id", "fa", "fb")).alias("first"))
+    marked = sided.join(shared, ["target", "source"], "left")
     taken = people.other_named_person(faces, identities, None).select(F.col("g").alias("source"))
     plain = marked.filter("first is null")
     twins = marked.filter(F.col("first").isNotNull() & (F.col("similarity") >= params.same_photo_ask)).join(taken, "source", "left_anti")
-    keep = lambda df, kind: df.select(F.lit(kind).alias("kind"), "into", "source", "into_name", "similarity", "photos", F.col("first.photo_id").alias("photo_id"))
+    keep = lambda df, kind: df.select(F.lit(kind).alias("kind"), "target", "source", "target_name", "similarity", "photos", F.col("first.photo_id").alias("photo_id"))
     return keep(plain, "pairwise").unionByName(keep(twins, "twin"))
 
 
@@ -114,7 +114,7 @@ def review_queue(claims: DataFrame, merges: DataFrame, params: Params = DEFAULT)
     strong = cards.filter("tier = 'strong'").groupBy("identity_id").agg(F.sum("photos").alias("photos"))
     strong = strong.select(F.lit(2).alias("ord"), F.lit("strong").alias("kind"), (-F.col("identity_id")).alias("subject"), none.alias("other"), "photos")
     maybe = cards.filter("tier = 'maybe'").select(F.lit(3).alias("ord"), F.lit("maybe").alias("kind"), (-F.col("identity_id")).alias("subject"), F.col("g").alias("other"), "photos")
-    pairs = merges.filter("kind = 'pairwise'").select(F.lit(4).alias("ord"), F.lit("pairwise").alias("kind"), F.col("into").alias("subject"), F.col("source").alias("other"), "photos")
+    pairs = merges.filter("kind = 'pairwise'").select(F.lit(4).alias("ord"), F.lit("pairwise").alias("kind"), F.col("target").alias("subject"), F.col("source").alias("other"), "photos")
     every = who.unionByName(twins).unionByName(strong).unionByName(maybe).unionByName(pairs)
     return every.filter(F.col("photos") >= params.review_photos).orderBy(F.desc("photos"), "ord", "subject", "other").limit(params.review_queue)
 

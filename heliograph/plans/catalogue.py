@@ -331,8 +331,8 @@ def multi_face_boxes(spark, d):
 
 
 @query("""WITH pairs AS (SELECT a.id AS a, b.id AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0.0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0.0) AS inter,
- (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS both FROM pool a JOIN pool b ON a.photo_id = b.photo_id AND a.id < b.id)
-SELECT a, b, round(inter / greatest(both - inter, 1e-9), 6) AS iou FROM pairs WHERE inter / greatest(both - inter, 1e-9) >= 0.1""")
+ (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas FROM pool a JOIN pool b ON a.photo_id = b.photo_id AND a.id < b.id)
+SELECT a, b, round(inter / greatest(areas - inter, 1e-9), 6) AS iou FROM pairs WHERE inter / greatest(areas - inter, 1e-9) >= 0.1""")
 def double_detections(spark, d):
     return people.double_detections(X.faces(spark, d), 0.1).select("a", "b", F.round("iou", 6).alias("iou"))
 
@@ -473,11 +473,11 @@ def who_is_this(spark, d):
 
 
 MERGES = EVIDENCE + """, sizes AS (SELECT g, count(*) AS n, max(i.name) AS name FROM pool LEFT JOIN identities i ON i.id = -g GROUP BY g),
-top AS (SELECT e.*, x.n AS xn, y.n AS yn, x.name AS xname, y.name AS yname, max_sim * pairs * sqrt(x.n + y.n) AS leverage FROM evidence e JOIN sizes x ON x.g = e.a JOIN sizes y ON y.g = e.b ORDER BY leverage DESC, a, b LIMIT 20),
-sided AS (SELECT CASE WHEN xn >= yn THEN a ELSE b END AS into, CASE WHEN xn >= yn THEN b ELSE a END AS source, CASE WHEN xn >= yn THEN xname ELSE yname END AS into_name, CASE WHEN xn >= yn THEN yname ELSE xname END AS source_name, max_sim AS similarity, least(xn, yn) AS photos FROM top),
-open AS (SELECT s.* FROM sided s WHERE (into_name IS NULL OR source_name IS NULL) AND NOT (into < 0 AND source < 0 AND EXISTS (SELECT 1 FROM cannot_link c WHERE c.a = least(-into, -source) AND c.b = greatest(-into, -source)))),
-met AS (SELECT o.into, o.source, min(x.photo_id) AS photo_id FROM open o JOIN pool x ON x.g = o.into JOIN pool y ON y.g = o.source AND y.photo_id = x.photo_id GROUP BY 1, 2),
-merges AS (SELECT CASE WHEN m.photo_id IS NULL THEN 'pairwise' ELSE 'twin' END AS kind, o.into, o.source, o.into_name, o.similarity, o.photos, m.photo_id FROM open o LEFT JOIN met m ON m.into = o.into AND m.source = o.source
+strongest AS (SELECT e.*, x.n AS xn, y.n AS yn, x.name AS xname, y.name AS yname, max_sim * pairs * sqrt(x.n + y.n) AS leverage FROM evidence e JOIN sizes x ON x.g = e.a JOIN sizes y ON y.g = e.b ORDER BY leverage DESC, a, b LIMIT 20),
+sided AS (SELECT CASE WHEN xn >= yn THEN a ELSE b END AS target, CASE WHEN xn >= yn THEN b ELSE a END AS source, CASE WHEN xn >= yn THEN xname ELSE yname END AS target_name, CASE WHEN xn >= yn THEN yname ELSE xname END AS source_name, max_sim AS similarity, least(xn, yn) AS photos FROM strongest),
+open AS (SELECT s.* FROM sided s WHERE (target_name IS NULL OR source_name IS NULL) AND NOT (target < 0 AND source < 0 AND EXISTS (SELECT 1 FROM cannot_link c WHERE c.a = least(-target, -source) AND c.b = greatest(-target, -source)))),
+met AS (SELECT o.target, o.source, min(x.photo_id) AS photo_id FROM open o JOIN pool x ON x.g = o.target JOIN pool y ON y.g = o.source AND y.photo_id = x.photo_id GROUP BY 1, 2),
+merges AS (SELECT CASE WHEN m.photo_id IS NULL THEN 'pairwise' ELSE 'twin' END AS kind, o.target, o.source, o.target_name, o.similarity, o.photos, m.photo_id FROM open o LEFT JOIN met m ON m.target = o.target AND m.source = o.source
  WHERE m.photo_id IS NULL OR (o.similarity >= 0.35 AND NOT (o.source < 0 AND EXISTS (SELECT 1 FROM faces f WHERE f.identity_id = -o.source AND f.confirmed = 1) AND o.source_name IS NOT NULL)))"""
 
 
@@ -485,7 +485,7 @@ def _merges(spark, d):
     return recognition.merge_suggestions(X.photos(spark, d), X.faces(spark, d), X.identities(spark), X.cannot_link(spark), LOOSE)
 
 
-@query("WITH " + MERGES + " SELECT kind, into, source, into_name, round(similarity, 6) AS similarity, photos, photo_id FROM merges")
+@query("WITH " + MERGES + " SELECT kind, target, source, target_name, round(similarity, 6) AS similarity, photos, photo_id FROM merges")
 def merge_suggestions(spark, d):
     return _merges(spark, d).withColumn("similarity", F.round("similarity", 6))
 
@@ -495,7 +495,7 @@ def merge_suggestions(spark, d):
  UNION ALL SELECT 1, 'twin', photo_id, NULL, CAST(sum(photos) AS BIGINT) FROM merges WHERE kind = 'twin' GROUP BY photo_id
  UNION ALL SELECT 2, 'strong', -identity_id, NULL, CAST(sum(photos) AS BIGINT) FROM cards WHERE tier = 'strong' GROUP BY identity_id
  UNION ALL SELECT 3, 'maybe', -identity_id, g, photos FROM cards WHERE tier = 'maybe'
- UNION ALL SELECT 4, 'pairwise', into, source, photos FROM merges WHERE kind = 'pairwise')
+ UNION ALL SELECT 4, 'pairwise', target, source, photos FROM merges WHERE kind = 'pairwise')
 SELECT * FROM items WHERE photos >= 1 ORDER BY photos DESC, ord, subject, other NULLS FIRST LIMIT 60""")
 def review_queue(spark, d):
     return recognition.review_queue(_claims(spark, d), _merges(spark, d), LOOSE)
@@ -754,7 +754,7 @@ def exif_dates(spark, d):
     return spark.createDataFrame([(a,) for a, _ in EXIF], "text string").select("text", S.exif_datetime(F.col("text")).alias("ts"))
 
 
-@query("SELECT id, round(lat_ + m / 60.0 + s / 3600.0, 6) * CASE WHEN ref = 'S' THEN -1 ELSE 1 END AS degrees FROM (SELECT id, CAST(id % 90 AS DOUBLE) AS lat_, CAST(id % 60 AS DOUBLE) AS m, CAST(id % 59 AS DOUBLE) AS s, CASE WHEN id % 2 = 0 THEN 'S' ELSE 'N' END AS ref FROM photos)")
+@query("SELECT id, round(lat_ + m / 60.0 + s / 3600.0, 6) * CASE WHEN ref = 'S' THEN -1 ELSE 1 END + 0.0 AS degrees FROM (SELECT id, CAST(id % 90 AS DOUBLE) AS lat_, CAST(id % 60 AS DOUBLE) AS m, CAST(id % 59 AS DOUBLE) AS s, CASE WHEN id % 2 = 0 THEN 'S' ELSE 'N' END AS ref FROM photos)")
 def dms_to_decimal(spark, d):
     part = lambda n: (F.col("id") % n).cast("double")
     ref = F.when(F.col("id") % 2 == 0, "s").otherwise("N")

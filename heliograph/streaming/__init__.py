@@ -1 +1 @@
-"""Spark-native streaming of the media-library engine."""
+"""Streams: watched folders, coalesced rescans, incremental identities, announcements."""
