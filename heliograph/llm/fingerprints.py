@@ -98,9 +98,7 @@ def fingerprint_documents(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("spots", chains(F.col("text"), chain))
     rows = with_next(own, ["text", "spots"])
     n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))"))
-    del quarter
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "spots", "next_spots")
     rows = rows.withColumn("edited_spots", chains(F.col("edited"), chain))
     return rows.select(

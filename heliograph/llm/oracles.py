@@ -27,5 +27,52 @@ SELECT page_id, host, path, rule,
 FROM judged"""
 
 
+WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def op2_sql() -> str:
+    return f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+cut AS (SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM cut)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM docs, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, s, p.n, item_id FROM places p JOIN windows v ON v.n = p.n AND v.win = p.win),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS word FROM hits) GROUP BY 1),
+held AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+ sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN held h ON h.doc_id = d.doc_id"""
+
+
+def op4_sql() -> str:
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END) AS gram FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+edges AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 90 * (x.n + y.n - s.n)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM docs UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+least_id AS (SELECT id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (doc_id) JOIN least_id ON id = doc_id"""
+
+
+def op9_sql() -> str:
+    return """
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM cut),
+worded AS (SELECT doc_id, line_no, line, list_filter(list_distinct(string_split(lower(line), ' ')), lambda x: x <> '') AS w FROM lines),
+classes AS (SELECT dense_rank() OVER (ORDER BY list_sort(w)) AS k, * FROM worded WHERE len(w) > 0),
+sets AS (SELECT k, any_value(w) AS w, min(doc_id * 1000000 + line_no) AS first FROM classes GROUP BY k),
+tokens AS (SELECT k, len(w) AS n, unnest(w) AS x FROM sets),
+met AS (SELECT a.k AS a, b.k AS b, a.n AS n, b.n AS m, count(*) AS s FROM tokens a JOIN tokens b ON a.x = b.x AND a.k <> b.k AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY 1, 2, 3, 4),
+near AS (SELECT a AS k, min(first) AS near FROM met JOIN sets ON sets.k = b WHERE 5 * s >= 4 * (n + m - s) GROUP BY 1),
+gone AS (SELECT doc_id, line_no FROM classes c JOIN sets USING (k) LEFT JOIN near USING (k) WHERE doc_id * 1000000 + line_no > least(sets.first, coalesce(near, sets.first))),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.line_no) AS text, count(*) AS n FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY 1)
+SELECT c.doc_id, coalesce(kept.text, '') AS text, CAST(len(ls) AS INTEGER) AS n_lines, CAST(len(ls) - coalesce(kept.n, 0) AS INTEGER) AS n_removed FROM cut c LEFT JOIN kept ON kept.doc_id = c.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": op3_sql()}
+    return {"op2_decontamination": op2_sql(), "op3_url_filter": op3_sql(), "op4_ngram_join": op4_sql(), "op9_line_dedup": op9_sql()}

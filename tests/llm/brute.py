@@ -44,7 +44,7 @@ def base_licenses(docs):
 
 
 def edited(docs):
-    docs = sorted(docs, key=lambda r: (r[0], r[1] or ""))
+    """Rows in order, each with its edited text's digest."""
     out = []
     for i, (doc_id, text) in enumerate(docs):
         text, after = text or "", docs[(i + 1) % len(docs)][1] or ""
