@@ -1,31 +1,51 @@
 """Line deduplication as an exact set-similarity join, in DataFrame operations.
 
-A line is the set of its words. Lines of equal sets are one class. Words are ordered from the
-rarest on by how often they occur in all lines; two sets at the similarity share a word of
-their prefixes, so classes meet on prefix words only, under bounds on length and position,
-and their Jaccard similarity is then verified on whole sets.
+A line is the set of its words. Lines of one text are one class, known by a 64-bit hash. Words
+are ordered from the rarest on by how often they occur in all lines; two sets at the similarity
+share a word of their prefixes, so classes meet on prefix words only, under bounds on length
+and position, and their Jaccard similarity is then verified on whole sets.
 
 Rarity is a table of RARITY_BUCKETS one-byte levels by a word's hash, whatever the corpus
 holds. A bucket never understates a word, so a word in a bucket of one occurrence stands in
 one line only, meets no other, and need not be joined. More words than buckets make the order
 coarser and the join slower, not different.
+
+Lines are cut from the documents again where they are needed, which costs less than keeping
+their words on disk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.storage import drop, materialize
+from heliograph.llm.storage import materialize, release
 
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 20
+#: More than any line has distinct words.
+PLACES = 1 << 31
 LEVEL_SHIFT = 56  # a coded word: its level above, hash bits below
 
 
+@contextmanager
+def brief_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans are logged without their field lists meanwhile, which would spell the rarity table out each time."""
+    name = "spark.sql.debug.maxToStringFields"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def line_words(line: Column) -> Column:
-    """Distinct lower-case words of a line, separated by blanks."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
+    """Lower-case words of a line, separated by blanks."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -34,7 +54,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity_levels(docs: DataFrame) -> bytes:
     """One byte for every bucket: 0 for at most one occurrence, else 1 + 8 x the binary logarithm, at most 127."""
-    word = _lines(docs).select(F.explode(line_words(F.col("line"))).alias("word"))
+    word = docs.select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
     counted = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(1 + F.floor(8 * F.log2("n")), F.lit(127)).cast("int")
     return _byte_table(counted.filter(F.col("n") > 1).select("bucket", level.alias("level")))
@@ -61,55 +81,69 @@ def coded_words(line: Column, levels: bytes) -> Column:
         level = _byte_at(levels, F.pmod(hashed, F.lit(RARITY_BUCKETS))).cast("long")
         return F.shiftleft(level, LEVEL_SHIFT).bitwiseOR(F.shiftrightunsigned(hashed, 64 - LEVEL_SHIFT))
 
-    return F.sort_array(F.transform(line_words(line), code))
+    return F.sort_array(F.array_distinct(F.transform(line_words(line), code)))
 
 
 def later_matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier one, by (doc_id, line_no), matches."""
-    levels = rarity_levels(docs)
-    coded = _lines(docs).select("doc_id", "line_no", coded_words(F.col("line"), levels).alias("words")).filter(F.size("words") > 0)
-    lines = materialize(coded, "coded-lines")
+    with brief_plans(docs.sparkSession):
+        return _later_matches(docs, similarity)
+
 
-    key = (F.xxhash64("words"), F.xxhash64(F.lit(1), "words"))
+def _later_matches(docs: DataFrame, similarity: float) -> DataFrame:
+    levels = rarity_levels(docs)
+    lines = _lines(docs).filter(F.trim("line") != "").withColumn("key", F.xxhash64("line"))
     place = F.struct("doc_id", "line_no")
-    keyed = lines.select(place.alias("place"), F.size("words").alias("n"), *[k.alias(f"k{i}") for i, k in enumerate(key)])
-    keyed = materialize(keyed, "line-keys")
-    classes = materialize(keyed.groupBy("k0", "k1").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.first("n").alias("n")), "line-classes")
+    classes = materialize(lines.select("key", place.alias("place")).groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last")), "line-classes")
+    release(docs.sparkSession)
 
-    # Prefix words of every class, without those that stand in one line only.
+    # Prefix words of every class, without those that stand in one line only; copies of a line add nothing.
+    coded = lines.select("key", coded_words(F.col("line"), levels).alias("words"))
     n = F.size("words")
-    length = n - F.ceil(n * F.lit(similarity)).cast("int") + 1
-    cut = lines.select(*[k.alias(f"k{i}") for i, k in enumerate(key)], n.alias("n"), F.posexplode(F.slice("words", 1, length)).alias("at", "word"))
-    prefix = cut.filter(F.col("word") >= F.shiftleft(F.lit(1).cast("long"), LEVEL_SHIFT)).groupBy("word", "k0", "k1").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    prefix = materialize(prefix, "line-prefixes")
-    a, b = prefix.alias("a"), prefix.select("word", *[F.col(c).alias(f"b_{c}") for c in ("k0", "k1", "n", "at")])
-    ordered = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & ((F.col("k0") < F.col("b_k0")) | ((F.col("k0") == F.col("b_k0")) & (F.col("k1") < F.col("b_k1")))))
-    fits = F.col("n") >= F.lit(similarity) * F.col("b_n")
-    most = 1 + F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) - 1  # shared words from this one on
-    enough = most + F.least("at", "b_at") >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - 1e-9)
-    pairs = a.join(b, "word").filter(ordered & fits & enough).select("k0", "k1", "b_k0", "b_k1").distinct()
-    pairs = materialize(pairs, "line-pairs")
-
-    # Word sets of the classes in pairs only: a table of hashed keys keeps most others out of the shuffle.
-    wanted = materialize(pairs.select("k0", "k1").union(pairs.select("b_k0", "b_k1")).distinct(), "paired-classes")
-    bucket = F.pmod("k0", F.lit(RARITY_BUCKETS))
-    hint = _byte_table(wanted.select(bucket.cast("int").alias("bucket")).distinct().withColumn("level", F.lit(1)))
-    candidates = lines.select("words", *[k.alias(f"k{i}") for i, k in enumerate(key)]).filter(_byte_at(hint, bucket) == 1)
-    sets = candidates.dropDuplicates(["k0", "k1"]).join(wanted, ["k0", "k1"], "left_semi").join(classes, ["k0", "k1"])
-    sets = materialize(sets, "line-sets")
-    drop(lines)
-    left = sets.select("k0", "k1", "words", "place", "last")
-    right = sets.select(*[F.col(c).alias(f"b_{c}") for c in ("k0", "k1", "words", "place", "last")])
-    shared = F.size(F.array_intersect("words", "b_words"))
-    similar = shared >= F.lit(similarity) * (F.size("words") + F.size("b_words") - shared) - 1e-9
-    links = pairs.join(left, ["k0", "k1"]).join(right, ["b_k0", "b_k1"]).filter(similar)
+    length = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1
+    cut = coded.select("key", n.alias("n"), F.posexplode(F.slice("words", 1, length)).alias("at", "word"))
+    shared = cut.filter(F.col("word") >= F.shiftleft(F.lit(1).cast("long"), LEVEL_SHIFT))
+    # A class's length and a word's place in it, in one number.
+    prefix = shared.groupBy("word", "key").agg(F.first(F.col("n").cast("long") * PLACES + F.col("at")).alias("n_at"))
+    a, b = prefix, prefix.select("word", F.col("key").alias("other"), F.col("n_at").alias("m_at"))
+    size, rest_of = (lambda c: F.shiftright(F.col(c), 31)), (lambda c: F.col(c).bitwiseAND(F.lit(PLACES - 1)))
+    n, at, m, m_place = size("n_at"), rest_of("n_at"), size("m_at"), rest_of("m_at")
+    ordered = (n < m) | ((n == m) & (F.col("key") < F.col("other")))
+    most = F.least(n - at, m - m_place) + F.least(at, m_place)  # words that the two can share
+    enough = most >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
+    met = a.join(b, "word").filter(ordered & (n >= F.lit(similarity) * m - 1e-9) & enough)
+    # Beyond the prefixes, one of the two can add at most what it has left there.
+    rest = lambda n: F.ceil(n * F.lit(similarity) - 1e-9) - 1
+    counted = met.groupBy("key", "other").agg(F.count(F.lit(1)).alias("shared"), F.first(n * PLACES + m).alias("n_m"))
+    counted = counted.select("key", "other", "shared", size("n_m").alias("n"), rest_of("n_m").alias("m"))
+    possible = F.col("shared") + F.greatest(rest(F.col("n")), rest(F.col("m"))) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = materialize(counted.filter(possible).select("key", "other"), "line-pairs")
+    release(docs.sparkSession)
+
+    # Words of the classes in pairs only: a table of hashed keys keeps most other lines out of the shuffle.
+    wanted = materialize(pairs.select("key").union(pairs.select("other")).distinct(), "paired-classes")
+    bucket = lambda c: F.pmod(c, F.lit(RARITY_BUCKETS)).cast("int")
+    hint = _byte_table(wanted.select(bucket("key").alias("bucket")).distinct().withColumn("level", F.lit(1)))
+    # A row number beside it keeps the filter, whose text would hold the table, above the projection.
+    marked = lines.select("key", "line", _byte_at(hint, bucket("key")).alias("mark"), F.monotonically_increasing_id().alias("number"))
+    some = marked.filter("mark = 1 and number >= 0").groupBy("key").agg(F.min("line").alias("line"))
+    sets = some.join(wanted, "key", "left_semi").select("key", F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
+    sets = materialize(sets.join(classes, "key"), "line-sets")
+    release(docs.sparkSession)
+    left = sets.select("key", "words", "place")
+    right = sets.select(F.col("key").alias("other"), F.col("words").alias("more"), F.col("place").alias("other_place"))
+    both = F.size(F.array_intersect("words", "more"))
+    similar = both >= F.lit(similarity) * (F.size("words") + F.size("more") - both) - 1e-9
+    links = materialize(pairs.join(left, "key").join(right, "other").filter(similar).select("key", "other", "place", "other_place"), "line-links")
     # Of a class, the lines after the first of all that it matches are later ones.
-    both = links.select("k0", "k1", F.col("b_place").alias("first")).union(links.select("b_k0", "b_k1", "place"))
-    nearest = both.groupBy("k0", "k1").agg(F.min("first").alias("near"))
+    near = links.select("key", F.col("other_place").alias("first")).union(links.select("other", "place")).groupBy("key").agg(F.min("first").alias("near"))
     first = F.least("place", F.coalesce("near", "place"))
-    bounds = classes.join(nearest, ["k0", "k1"], "left").filter(F.col("last") > first).select("k0", "k1", first.alias("first"))
-    later = keyed.join(bounds, ["k0", "k1"]).filter(F.col("place") > F.col("first"))
-    return materialize(later.select("place.doc_id", "place.line_no"), "later-lines")
+    bounds = classes.join(near, "key", "left").filter(F.col("last") > first).select("key", first.alias("first"))
+    bounds = materialize(bounds, "line-bounds")
+    later = lines.select("key", place.alias("place")).join(bounds, "key").filter(F.col("place") > F.col("first"))
+    later = materialize(later.select("place.doc_id", "place.line_no"), "later-lines")
+    release(docs.sparkSession)
+    return later
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, drop_emptied: bool = False) -> DataFrame:
