@@ -1,9 +1,10 @@
-"""Substring deduplication: repeated paragraphs by MinHash banding, verified and clustered.
+"""Substring deduplication: repeated paragraphs by MinHash banding, then repeated passages anywhere.
 
 A paragraph is a line of at least MIN_WORDS words. With nine bands of three MinHashes a pair
 of Jaccard similarity 0.8 collides with probability 0.998, one of 0.9 with 0.9999 and equal
 ones always. Colliding paragraphs are verified on whole shingle sets, and of each component of
-verified links all paragraphs but the first are taken out.
+verified links all paragraphs but the first are taken out. In what is left, runs of SPAN_WORDS or
+more words that occurred before are cut, wherever they begin and however they are wrapped.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.passages import WORDS as SPAN_WORDS
+from heliograph.llm.passages import cut_windows, repeated_windows
 from heliograph.llm.similar import minhash_keys, similar_components
-from heliograph.llm.storage import materialize
+from heliograph.llm.storage import materialize, release
 
 SIZE = 5
 NUM, DEN = 80, 100
@@ -22,6 +25,7 @@ BANDS, ROWS = 9, 3
 MIN_WORDS = 20
 #: Lines that one document may have for its paragraphs to be numbered; more raise an error.
 LINES = 1 << 22
+ADDED = ("n_paragraphs", "n_removed", "first_doc_ids", "n_spans", "n_span_words")
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -31,13 +35,17 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.filter(F.size(F.split("text", r"\s+")) >= min_words).select(number.alias("id"), "text")
 
 
-def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` without repeated paragraphs, with n_paragraphs, n_removed and first_doc_ids beside.
+def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS, span: int = SPAN_WORDS) -> DataFrame:
+    """``docs`` without repeated paragraphs and passages, and ADDED columns that tell what went.
 
-    Of a component of similar paragraphs the first by (doc_id, line) stays; first_doc_ids lists
-    the documents that hold what was removed. A null text stays null; a null doc_id is left as
-    it is; shorter lines stay. Rows of one doc_id must have one text; repeated rows keep a row
-    each; an empty table gives no rows. Columns with the added names are replaced.
+    Of a component of similar paragraphs the first by (doc_id, line) stays; n_paragraphs and
+    n_removed count lines. Of equal windows of ``span`` words (A-Z lowered, any white space
+    between) in the text left, the first by (doc_id, place) stays and the words of the others are
+    cut: n_spans runs of n_span_words words. first_doc_ids lists the documents that hold what was
+    removed. Runs shorter than ``span`` stay, so a passage with edits that is not a line is cut only
+    where so many words in a row are unedited. A null text stays null; a null doc_id is left as it
+    is. Rows of one doc_id must have one text; repeated rows keep a row each; an empty table gives
+    no rows. Columns with the added names are replaced.
     """
     found = similar_components(paragraphs(docs, min_words), size, num, den, partial(minhash_keys, bands=bands, rows=rows))
     doc = lambda c: F.expr(f"({c} - pmod({c}, {LINES})) div {LINES}")
@@ -47,15 +55,21 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SI
         F.count(F.lit(1)).alias("n_paragraphs"), F.collect_set(F.when(gone, F.col("line"))).alias("_gone"), F.array_sort(F.collect_set(F.when(gone, F.col("first")))).alias("first_doc_ids")
     )
     by_doc = materialize(by_doc, "repeated-paragraphs")
-    names = [c for c in docs.columns if c not in ("n_paragraphs", "n_removed", "first_doc_ids")]
+    names = [c for c in docs.columns if c not in ADDED]
     joined = docs.select(*names).join(by_doc, docs["doc_id"] == by_doc["_id"], "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
     text = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    return joined.select(
+    left = joined.select(
         *columns,
         F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
         F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
         F.coalesce("first_doc_ids", F.array().cast("array<long>")).alias("first_doc_ids"),
     )
+    left = materialize(left, "without-paragraphs")
+    release(docs.sparkSession)
+    repeated = repeated_windows(left.select(F.col("doc_id").alias("id"), "text"), span)
+    both = left.join(repeated, left["doc_id"] == repeated["id"], "left")
+    firsts = F.when(F.col("firsts").isNull(), F.col("first_doc_ids")).otherwise(F.array_sort(F.array_union("first_doc_ids", "firsts")))
+    return cut_windows(both.select(*names, "n_paragraphs", "n_removed", firsts.alias("first_doc_ids"), F.col("starts").alias("_starts")), span)
