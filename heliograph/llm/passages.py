@@ -4,7 +4,7 @@
    words has as its key the least hash of the GRAM-word grams in it; equal windows have equal keys,
    and a key holds for a run of windows, so a text has few of them.
 2. Only windows whose key occurs at two places are listed, told by key and window hash (128 bits).
-3. Of equal windows the first by (id, place) stays; the words of the others are cut. A window that
+3. Of equal windows the first by (doc_id, place) stays; the words of the others are cut. A window that
    overlaps its own first occurrence in a text stays, so a text that repeats itself keeps a window.
 """
 
@@ -16,12 +16,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.packing import slices
 from heliograph.llm.similar import U, mix, word_hashes
-from heliograph.llm.storage import materialize, release
+from heliograph.llm.storage import drop_all, materialize, release
 
 WORDS = 50
 GRAM = 16
@@ -56,28 +56,31 @@ def _windows_of(batch: pa.RecordBatch, size: int, gram: int) -> Iterator[tuple[i
 
 
 def _keys(batches: Iterable[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(key, id) for every run of windows of one key, twice where the run is longer than one gram's."""
+    """(key, _row) for every run of windows of one key, twice where the run is longer than one gram's."""
     one = size - gram + 1
     for batch in (s for b in batches for s in slices(b)):
-        ids, keys, owners = batch.column("id").to_numpy(zero_copy_only=False), [], []
+        ids, keys, owners = batch.column("_row").to_numpy(zero_copy_only=False), [], []
         for row, least, _ in _windows_of(batch, size, gram):
             at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
             held = np.repeat(least[at], np.where(np.diff(np.append(at, len(least))) > one, 2, 1))
             keys.append(held)
             owners.append(np.full(len(held), ids[row], dtype=np.int64))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "_row"])
 
 
 def _listed(batches: Iterable[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(key, hash, id, at) for the windows of rows (id, text, keys) whose key is among the row's."""
+    """(key, hash, _row, doc_id, at) for the windows of rows (_row, doc_id, text, keys) whose key is among the row's."""
     for batch in (s for b in batches for s in slices(b)):
-        ids, wanted, columns = batch.column("id").to_numpy(zero_copy_only=False), batch.column("keys"), []
+        wanted, rows, columns = batch.column("keys"), [], []
         for row, least, hashes in _windows_of(batch, size, gram):
             at = np.flatnonzero(np.isin(least, np.array(wanted[row].as_py(), dtype=np.int64).view(U)))
-            columns.append((least[at].view(np.int64), hashes[at].view(np.int64), np.full(len(at), ids[row], dtype=np.int64), at))
+            columns.append((least[at].view(np.int64), hashes[at].view(np.int64), at))
+            rows.append(np.full(len(at), row))
         if columns:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=["key", "hash", "id", "at"])
+            key, hashed, at = (pa.array(np.concatenate(c)) for c in zip(*columns))
+            own = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([key, hashed, batch.column("_row").take(own), batch.column("doc_id").take(own), at], names=["key", "hash", "_row", "doc_id", "at"])
 
 
 def spans(starts: list[int], size: int) -> list[tuple[int, int]]:
@@ -121,20 +124,30 @@ def _cut(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*(c for c in names if c != "_starts"), "n_spans", "n_span_words"])
 
 
+def place(within: Column) -> Column:
+    """What orders places by doc_id, ``within`` and, where there is no doc_id, by ``_row``; equal for rows of one doc_id."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("_row")).otherwise(0).alias("own"), within.alias("within"))
+
+
 def repeated_windows(texts: DataFrame, size: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(id, starts, firsts) of ``texts`` (id, text): windows that occurred before, and the ids that hold them first."""
-    texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    keyed = materialize(texts.mapInArrow(partial(_keys, size=size, gram=gram), "key long, id long"), "window-keys")
+    """(_row, starts, firsts) of ``texts`` (_row, doc_id, text): windows that occurred before, and the doc_ids that hold them first."""
+    texts = texts.filter(F.col("text").isNotNull())
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    keyed = materialize(texts.select("_row", "text").mapInArrow(partial(_keys, size=size, gram=gram), "key long, _row long"), "window-keys")
     twice = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key")
-    marked = materialize(keyed.join(twice, "key").groupBy("id").agg(F.collect_set("key").alias("keys")), "repeated-keys")
+    marked = materialize(keyed.join(twice, "key").groupBy("_row").agg(F.collect_set("key").alias("keys")), "repeated-keys")
     release(texts.sparkSession)
-    listed = texts.join(marked, "id").select("id", "text", "keys").mapInArrow(partial(_listed, size=size, gram=gram), "key long, hash long, id long, at long")
+    listed = texts.join(marked, "_row").select("_row", "doc_id", "text", "keys").mapInArrow(partial(_listed, size=size, gram=gram), f"key long, hash long, _row long, doc_id {kind}, at long")
     listed = materialize(listed, "windows")
+    drop_all(keyed)
+    drop_all(marked)
     release(texts.sparkSession)
-    first = listed.groupBy("key", "hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
-    later = (F.col("first.id") != F.col("id")) | (F.col("at") - F.col("first.at") >= size)
+    first = listed.groupBy("key", "hash").agg(F.min(place(F.col("at"))).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_id").isNotNull() | (F.col("_row") == F.col("first.own")))
+    later = ~same | (F.col("at") - F.col("first.within") >= size)
     found = listed.join(first, ["key", "hash"]).filter(later)
-    found = materialize(found.groupBy("id").agg(F.collect_set("at").alias("starts"), F.collect_set("first.id").alias("firsts")), "repeated-windows")
+    found = materialize(found.groupBy("_row").agg(F.collect_set("at").alias("starts"), F.collect_set("first.doc_id").alias("firsts")), "repeated-windows")
+    drop_all(listed)
     release(texts.sparkSession)
     return found
 

@@ -175,17 +175,19 @@ def _summarise(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d0", "d1"])
 
 
+def _held_keys(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """key, id and other of the (keys, ids) in ``held``, which is emptied."""
+    keys, ids, others, centres = _stars(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
+    held.clear()
+    key = np.concatenate([keys, mix(others.astype(U))]).view(np.int64)
+    other = pa.array(np.concatenate([np.zeros(len(ids), dtype=np.int64), centres]), mask=np.arange(len(key)) < len(ids))
+    return pa.array(key), pa.array(np.concatenate([ids, others])), other
+
+
 def _keyed(batches: Iterable[pa.RecordBatch], size: int, keys_of: Callable) -> Iterator[pa.RecordBatch]:
     """(key, id, other): a row for each key of the task, and stars of texts that met within it."""
     held, seen = [], set()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys, ids, others, centres = _stars(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
-        held.clear()
-        key = np.concatenate([keys, mix(others.astype(U))]).view(np.int64)
-        other = pa.array(np.concatenate([np.zeros(len(ids), dtype=np.int64), centres]), mask=np.arange(len(key)) < len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([ids, others])), other], names=["key", "id", "other"])
-
+    flush = lambda: pa.RecordBatch.from_arrays([*_held_keys(held)], names=["key", "id", "other"])
     for batch in (s for b in batches for s in slices(b)):
         values, bounds = shingle_sets(batch.column("text"), size)
         ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -195,10 +197,35 @@ def _keyed(batches: Iterable[pa.RecordBatch], size: int, keys_of: Callable) -> I
         take = fresh[owners]
         held.append((keys[take], ids[owners[take]]))
         if sum(len(k) for k, _ in held) > HELD_KEYS:
-            yield from flush()
+            yield flush()
+            seen.clear()
+    if held:
+        yield flush()
+
+
+def _summarise_keyed(batches: Iterable[pa.RecordBatch], size: int, keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows of _summarise, without key, and those of _keyed, without n, in one pass over texts that have ids."""
+    names, held, seen = ["id", "n", "d0", "d1", "key", "other"], [], set()
+    none = lambda n: pa.nulls(n, pa.int64())
+
+    def flush() -> pa.RecordBatch:
+        key, ids, other = _held_keys(held)
+        return pa.RecordBatch.from_arrays([ids, *[none(len(ids))] * 3, key, other], names=names)
+
+    for batch in (s for b in batches for s in slices(b)):
+        values, bounds = shingle_sets(batch.column("text"), size)
+        low, high = digests(values, bounds)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), *[none(len(low))] * 2], names=names)
+        ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.fromiter((d not in seen and not seen.add(d) for d in low), dtype=bool, count=len(low))
+        keys, owners = keys_of(values, bounds)
+        take = fresh[owners]
+        held.append((keys[take], ids[owners[take]]))
+        if sum(len(k) for k, _ in held) > HELD_KEYS:
+            yield flush()
             seen.clear()
     if held:
-        yield from flush()
+        yield flush()
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,19 +406,25 @@ def _units(members: DataFrame, num: int, den: int) -> DataFrame:
     return small.union(placed.join(first.union(second), ["block", "band", "salt"]).select("id", "unit", "side"))
 
 
-def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of: Callable) -> DataFrame:
+def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of: Callable, together: bool = False) -> DataFrame:
     """(id, n, component) for every row of ``texts`` (id, text): set size and smallest linked id.
 
     Texts of equal sets are linked; an empty set links with nothing. A null id stays null, with
-    its own set size, and is linked with nothing. Rows of one id must have one text.
+    its own set size, and is linked with nothing. Rows of one id must have one text. ``together``
+    hashes texts without null ids once for their summaries and keys, and writes the keys down.
     """
     texts = texts.select(F.col("id").cast("long").alias("id"), "text")
-    summary = materialize(texts.mapInArrow(partial(_summarise, size=size), "id long, n long, d0 long, d1 long"), "set-summaries")
+    if together:
+        hashed = texts.mapInArrow(partial(_summarise_keyed, size=size, keys_of=keys_of), "id long, n long, d0 long, d1 long, key long, other long")
+        hashed = materialize(hashed, "set-summaries-and-keys")
+        summary, keyed = hashed.filter("n IS NOT NULL").select("id", "n", "d0", "d1"), hashed.filter("key IS NOT NULL").select("key", "id", "other")
+    else:
+        summary = materialize(texts.mapInArrow(partial(_summarise, size=size), "id long, n long, d0 long, d1 long"), "set-summaries")
+        keyed = texts.filter(F.col("id").isNotNull()).mapInArrow(partial(_keyed, size=size, keys_of=keys_of), "key long, id long, other long")
     known = summary.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     first = materialize(known.join(classes.drop("n"), ["d0", "d1"]).select("id", "first", "n").distinct(), "set-classes")
 
-    keyed = texts.filter(F.col("id").isNotNull()).mapInArrow(partial(_keyed, size=size, keys_of=keys_of), "key long, id long, other long")
     stars = materialize(keyed.repartition("key").mapInArrow(_meet, "a long, b long").distinct(), "stars")
     named = stars.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     blocks = connected_components(named.select(F.col("fa").alias("a"), F.col("fb").alias("b")))

@@ -9,30 +9,48 @@ more words that occurred before are cut, wherever they begin and however they ar
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.passages import WORDS as SPAN_WORDS
-from heliograph.llm.passages import cut_windows, repeated_windows
+from heliograph.llm.passages import cut_windows, place, repeated_windows
 from heliograph.llm.similar import minhash_keys, similar_components
-from heliograph.llm.storage import materialize, release
+from heliograph.llm.storage import drop_all, materialize, release
 
 SIZE = 5
 NUM, DEN = 80, 100
 BANDS, ROWS = 9, 3
 MIN_WORDS = 20
-#: Lines that one document may have for its paragraphs to be numbered; more raise an error.
-LINES = 1 << 22
 ADDED = ("n_paragraphs", "n_removed", "first_doc_ids", "n_spans", "n_span_words")
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text): long lines, numbered so that ids sort by (doc_id, line)."""
-    lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    number = F.when(F.col("line") < LINES, F.col("doc_id") * LINES + F.col("line")).otherwise(F.raise_error(F.lit("a document has too many lines")).cast("long"))
-    return lines.filter(F.size(F.split("text", r"\s+")) >= min_words).select(number.alias("id"), "text")
+def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number ``_row`` that leaves as many numbers free as the row has lines."""
+    following = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        lines = pc.fill_null(pc.count_substring(batch.column("text"), "\n"), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = following + np.cumsum(lines)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - lines)], names=[*batch.schema.names, "_row"])
+        following = int(ends[-1]) if len(ends) else following
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written down with ``_row``, which is not null and differs from row to row."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return materialize(docs.mapInArrow(_number, ", ".join([*fields, "_row long"])), "numbered")
+
+
+def paragraphs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, _row, doc_id, line, text): long lines of numbered rows; an id is row number and line."""
+    lines = rows.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.filter(F.size(F.split("text", r"\s+")) >= min_words).select((F.col("_row") + F.col("line")).alias("id"), "_row", "doc_id", "line", "text")
 
 
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SIZE, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS, span: int = SPAN_WORDS) -> DataFrame:
@@ -43,33 +61,44 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, size: int = SI
     between) in the text left, the first by (doc_id, place) stays and the words of the others are
     cut: n_spans runs of n_span_words words. first_doc_ids lists the documents that hold what was
     removed. Runs shorter than ``span`` stay, so a passage with edits that is not a line is cut only
-    where so many words in a row are unedited. A null text stays null; a null doc_id is left as it
-    is. Rows of one doc_id must have one text; repeated rows keep a row each; an empty table gives
-    no rows. Columns with the added names are replaced.
+    where so many words in a row are unedited. A null text stays null. Rows without a doc_id
+    are documents of their own, after all others and in order of reading, and are not listed.
+    Rows of one doc_id must have one text; repeated rows keep a row each; an empty table gives no
+    rows. Columns with the added names are replaced.
     """
-    found = similar_components(paragraphs(docs, min_words), size, num, den, partial(minhash_keys, bands=bands, rows=rows))
-    doc = lambda c: F.expr(f"({c} - pmod({c}, {LINES})) div {LINES}")
-    placed = found.distinct().select(doc("id").alias("_id"), F.pmod("id", F.lit(LINES)).cast("int").alias("line"), "id", "component", doc("component").alias("first"))
-    gone = F.col("id") != F.col("component")
-    by_doc = placed.groupBy("_id").agg(
-        F.count(F.lit(1)).alias("n_paragraphs"), F.collect_set(F.when(gone, F.col("line"))).alias("_gone"), F.array_sort(F.collect_set(F.when(gone, F.col("first")))).alias("first_doc_ids")
+    names = [c for c in docs.columns if c not in ADDED]
+    docs = numbered(docs.select(*names))
+    long_lines = materialize(paragraphs(docs, min_words), "paragraphs")
+    found = similar_components(long_lines.select("id", "text"), size, num, den, partial(minhash_keys, bands=bands, rows=rows), together=True)
+    placed = long_lines.select("id", "_row", "doc_id", "line").join(found.select("id", "component"), "id")
+    placed = materialize(placed.select("_row", "line", "component", place(F.col("line")).alias("place")), "placed-paragraphs")
+    drop_all(found)
+    drop_all(long_lines)
+    release(docs.sparkSession)
+    first = placed.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts")
+    judged = placed.join(first, "component", "left")
+    gone = F.col("place") != F.col("first")
+    by_doc = judged.groupBy(F.col("_row").alias("_id")).agg(
+        F.count(F.lit(1)).alias("n_paragraphs"), F.collect_set(F.when(gone, F.col("line"))).alias("_gone"), F.array_sort(F.collect_set(F.when(gone, F.col("first.doc_id")))).alias("first_doc_ids")
     )
     by_doc = materialize(by_doc, "repeated-paragraphs")
-    names = [c for c in docs.columns if c not in ADDED]
-    joined = docs.select(*names).join(by_doc, docs["doc_id"] == by_doc["_id"], "left")
+    joined = docs.join(by_doc, docs["_row"] == by_doc["_id"], "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
     text = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in names]
     left = joined.select(
+        "_row",
         *columns,
         F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
         F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
         F.coalesce("first_doc_ids", F.array().cast("array<long>")).alias("first_doc_ids"),
     )
     left = materialize(left, "without-paragraphs")
+    for done in (docs, placed, by_doc):
+        drop_all(done)
     release(docs.sparkSession)
-    repeated = repeated_windows(left.select(F.col("doc_id").alias("id"), "text"), span)
-    both = left.join(repeated, left["doc_id"] == repeated["id"], "left")
+    repeated = repeated_windows(left.select("_row", "doc_id", "text"), span)
+    both = left.join(repeated, "_row", "left")
     firsts = F.when(F.col("firsts").isNull(), F.col("first_doc_ids")).otherwise(F.array_sort(F.array_union("first_doc_ids", "firsts")))
     return cut_windows(both.select(*names, "n_paragraphs", "n_removed", firsts.alias("first_doc_ids"), F.col("starts").alias("_starts")), span)

@@ -88,3 +88,21 @@ def test_blanks_beside_a_cut():
     assert cut("a b\nc d", [(2, 4)]) == "a b"
     assert cut("a b c d e", [(0, 1), (2, 3), (4, 5)]) == "b d"
     assert cut("a b", [(0, 2)]) == ""
+
+
+def test_any_doc_id_and_any_number_of_lines(spark):
+    rng = random.Random(15)
+    line, run = invented(rng, 30), invented(rng, 60)
+    last = invented(rng, 25)
+    docs = [
+        (2**62, line + "\n" + invented(rng, 30)), (-(2**62), invented(rng, 30) + "\n" + line), (7, "\n" * (1 << 22) + last), (8, last), (None, line),
+        (None, "x " + run + " y"), (None, "z " + run), (None, None), (9, run.replace(" ", "\n") + "\n1"), (9, run.replace(" ", "\n") + "\n1"),
+    ]
+    rows = substring_dedup.dedup_paragraphs(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert got[-(2**62)]["n_removed"] == 0 and got[2**62]["text"] == docs[0][1].split("\n")[1] and got[2**62]["first_doc_ids"] == [-(2**62)]
+    assert got[7]["text"] == docs[2][1] and got[8]["text"] == "" and got[8]["first_doc_ids"] == [7]
+    assert [r["text"] for r in rows if r["doc_id"] == 9] == [docs[-1][1]] * 2
+    unnamed = {("none" if r["text"] is None else r["text"], r["n_removed"], r["n_span_words"], tuple(r["first_doc_ids"])) for r in rows if r["doc_id"] is None}
+    assert unnamed == {("", 1, 0, (-(2**62),)), ("none", 0, 0, ()), ("x y", 0, 60, (9,)), ("", 1, 0, ())}  # "z" goes as a line like "x y"
