@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.similar import partition_keys, similar_components
+from heliograph.llm.substring_dedup import numbered
 
 SIZE = 3
 NUM, DEN = 90, 100
@@ -28,7 +29,17 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Rows of ``docs`` that are the smallest doc_id of their component, or have no doc_id."""
-    found = jaccard_components(docs, size, num, den)
-    later = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each component, the first by doc_id.
+
+    Every row counts for itself: of repeated rows of one doc_id, and of rows without a doc_id that
+    are alike, one stays. Rows without a doc_id come after all others, and ties are settled in
+    order of reading. Rows without words are linked with nothing and all stay.
+    """
+    rows = numbered(docs)
+    keys = partial(partition_keys, num=num, den=den)
+    found = similar_components(rows.select(F.col("_row").alias("id"), "text"), size, num, den, keys)
+    placed = rows.select("_row", "doc_id").join(found.select(F.col("id").alias("_row"), "component"), "_row")
+    placed = placed.select("_row", "component", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row").alias("place"))
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    later = placed.join(first, "component").filter(F.col("_row") != F.col("first._row")).select("_row")
+    return rows.join(later, "_row", "left_anti").select(*docs.columns)
