@@ -1,46 +1,43 @@
 """Line deduplication as an exact set-similarity join, in DataFrame operations.
 
-A line is the set of its words. Lines of one text are one class, known by a 64-bit hash. Words
-are ordered from the rarest on by how often they occur in all lines; two sets at the similarity
-share a word of their prefixes, so classes meet on prefix words only, under bounds on length
-and position, and their Jaccard similarity is then verified on whole sets.
-
-Rarity is a table of RARITY_BUCKETS one-byte levels by a word's hash, whatever the corpus
-holds. A bucket never understates a word, so a word in a bucket of one occurrence stands in
-one line only, meets no other, and need not be joined. More words than buckets make the order
-coarser and the join slower, not different.
-
-Lines are cut from the documents again where they are needed, which costs less than keeping
-their words on disk.
+A line is the set of its words; a class is all lines of one text, known by 128 bits of hashes.
+
+1. Words are counted over the whole corpus. A table of RARITY_BUCKETS levels by a word's hash, which
+   holds the most frequent words and is bounded whatever the vocabulary, orders them from the rarest on.
+2. Every class is written once: its place, size, the prefix of its rarest words, and the parity of its
+   words in 64 bits. Every word in which two sets differ changes one bit, so that the number of bits in
+   which their parities differ is a lower bound of their symmetric difference.
+3. Stars: classes that agree on a sketch of their rarer words are compared with the earliest of them.
+   That settles most members of large groups of near copies without their pairs being made.
+4. The join: classes meet on prefix words. The first word that two similar sets share has so few words
+   before it in either that the rest still holds the overlap needed; a pair is made only on words at
+   such places, under the bounds on length and parity, and only if one of the two isn't settled yet.
+5. The Jaccard similarity of all pairs made is verified on the words themselves.
+
+A line goes if its class has an earlier line, or if an earlier class is similar to its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.storage import materialize, release
+from heliograph.llm.storage import drop_all, fresh_names, materialize
 
 SIMILARITY = 0.8
+#: Levels in the rarity table, which is broadcast: 8 MiB. At most half of them are of words told apart.
 RARITY_BUCKETS = 1 << 20
-#: More than any line has distinct words.
-PLACES = 1 << 31
+#: 64-bit words of the bitmap of wanted classes, which is broadcast: 512 KiB.
+MARK_WORDS = 1 << 16
 LEVEL_SHIFT = 56  # a coded word: its level above, hash bits below
+BLOCK = 4096
+PLACE = ("doc_id", "tag", "line_no")
 
 
-@contextmanager
-def brief_plans(spark: SparkSession) -> Iterator[None]:
-    """Plans are logged without their field lists meanwhile, which would spell the rarity table out each time."""
-    name = "spark.sql.debug.maxToStringFields"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
 
 
 def line_words(line: Column) -> Column:
@@ -48,123 +45,188 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), " "), "")
 
 
+def _tag(text: Column) -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(text)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """(doc_id, tag, line_no, line, k0, k1) of every line with a word."""
+    own = docs.select("doc_id", _tag(F.col("text")).alias("tag"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return own.filter(F.trim("line") != "").withColumns({"k0": F.xxhash64("line"), "k1": F.xxhash64(F.lit(1), "line")})
 
 
-def rarity_levels(docs: DataFrame) -> bytes:
-    """One byte for every bucket: 0 for at most one occurrence, else 1 + 8 x the binary logarithm, at most 127."""
-    word = docs.select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
-    counted = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(1 + F.floor(8 * F.log2("n")), F.lit(127)).cast("int")
-    return _byte_table(counted.filter(F.col("n") > 1).select("bucket", level.alias("level")))
+def _dense(rows: DataFrame, size: int) -> DataFrame:
+    """One row with the array ``cells`` of ``size`` longs from (cell, value) rows, 0 where there is none.
 
+    ``size`` bounds what comes together here and is broadcast.
+    """
+    spark = rows.sparkSession
+    filled = rows.union(spark.range(size).select(F.col("id").cast("int"), _long(0))).toDF("cell", "value")
+    blocks = filled.groupBy("cell").agg(F.bit_or("value").alias("value")).groupBy(F.floor(F.col("cell") / BLOCK).alias("block")).agg(F.collect_list(F.struct("cell", "value")).alias("held"))
+    parts = blocks.select("block", F.transform(F.array_sort("held"), lambda c: c["value"]).alias("cells"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "cells"))), lambda b: b["cells"]))
+    return parts.groupBy().agg(whole.alias("cells"))
 
-def _byte_table(rows: DataFrame) -> bytes:
-    """A byte for every bucket from (bucket, level) rows; RARITY_BUCKETS rows come in at most."""
-    table = bytearray(RARITY_BUCKETS)
-    blocks = rows.groupBy(F.floor(F.col("bucket") / 4096).alias("block")).agg(F.collect_list("bucket").alias("buckets"), F.collect_list("level").alias("levels"))
-    for row in blocks.select("buckets", "levels").toLocalIterator():
-        for bucket, level in zip(*row):
-            table[bucket] = level
-    return bytes(table)
 
+def rarity_levels(docs: DataFrame) -> DataFrame:
+    """One row with the level of every bucket of words, shifted into place: 0 if no word there occurs twice.
 
-def _byte_at(table: bytes, bucket: Column) -> Column:
-    return F.ascii(F.lit(table).substr(bucket.cast("int") + 1, F.lit(1)).cast("string"))
+    A word's level is 1 if it occurs twice or more and not often enough for the table, which has
+    room for as many of the most frequent words as half its buckets, else 2 + 2.5 x the binary
+    logarithm of its count. A bucket has the highest level of its words, so it never understates one.
+    """
+    word = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counted = word.groupBy(F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    level = F.least(2 + F.floor(2.5 * F.log2("n")), F.lit(127)).cast("int")
+    counted = materialize(counted.select(_bucket(F.col("word")).alias("bucket"), level.alias("level")), "word-levels")
+    room, floor = RARITY_BUCKETS // 2, 128
+    for row in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # 127 rows at most
+        room -= row["count"]
+        if room < 0:
+            break
+        floor = row["level"]
+    told = F.when(F.col("level") < floor, 1).otherwise(F.col("level"))
+    best = counted.groupBy("bucket").agg(F.max(told).cast("long").alias("level"))
+    table = materialize(_dense(best.select("bucket", F.call_function("shiftleft", F.col("level"), F.lit(LEVEL_SHIFT))), RARITY_BUCKETS), "rarity")
+    drop_all(counted)
+    return table
+
+
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(_long(RARITY_BUCKETS - 1)).cast("int")
+
+
+def _parity(words: Column) -> Column:
+    """64 bits: of how many words with each value of the lowest six bits the number is odd."""
+    return F.aggregate(words, _long(0), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", _long(1), w.bitwiseAND(_long(63)).cast("int"))))
+
+
+def line_classes(docs: DataFrame, levels: DataFrame, similarity: float) -> DataFrame:
+    """(id, k0, k1, first: the earliest place, n, prefix, parity, s0, s1) of every class, written down."""
+    hashed = _lines(docs).withColumn("hashed", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).withColumn("levels", levels.scalar())
+    code = lambda h: F.coalesce(F.get("levels", _bucket(h)), h).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT))
+    coded = hashed.select("k0", "k1", *PLACE, F.sort_array(F.array_distinct(F.transform("hashed", code))).alias("words"))
+    n = F.size("words")
+    length = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1
+    # A sketch is of the rarer half, so that words of very many lines aren't one.
+    half = F.transform(F.slice("words", 1, F.ceil(n / 2).cast("int")), lambda w: w.bitwiseAND(_long((1 << LEVEL_SHIFT) - 1)))
+    sized = coded.select("k0", "k1", *PLACE, n.alias("n"), F.slice("words", 1, length).alias("prefix"), _parity(F.col("words")).alias("parity"), half.alias("half"))
+    own = sized.select("k0", "k1", F.struct(F.struct(*PLACE).alias("first"), "n", "prefix", "parity", F.array_min("half").alias("s0"), F.array_max("half").alias("s1")).alias("own"))
+    classes = own.groupBy("k0", "k1").agg(F.min("own").alias("own")).select("k0", "k1", "own.*")
+    return materialize(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
 
-def coded_words(line: Column, levels: bytes) -> Column:
-    """A line's word set as longs that sort from the rarest word on."""
-    def code(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        level = _byte_at(levels, F.pmod(hashed, F.lit(RARITY_BUCKETS))).cast("long")
-        return F.shiftleft(level, LEVEL_SHIFT).bitwiseOR(F.shiftrightunsigned(hashed, 64 - LEVEL_SHIFT))
+def _overlap(n: Column, m: Column, similarity: float) -> Column:
+    """The least overlap of similar sets of these sizes."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9)
 
-    return F.sort_array(F.array_distinct(F.transform(line_words(line), code)))
 
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether length and parity let the sets of columns with these prefixes be similar."""
+    n, m, p, q = (F.col(side + name) for name in ("n", "parity") for side in (a, b))
+    differ = n + m - 2 * _overlap(n, m, similarity)
+    return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (F.bit_count(p.bitwiseXOR(q)) <= differ)
 
-def later_matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no) of every line that an earlier one, by (doc_id, line_no), matches."""
-    with brief_plans(docs.sparkSession):
-        return _later_matches(docs, similarity)
 
+def _named(prefix: str, *names: str) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in names]
 
-def _later_matches(docs: DataFrame, similarity: float) -> DataFrame:
-    levels = rarity_levels(docs)
-    lines = _lines(docs).filter(F.trim("line") != "").withColumn("key", F.xxhash64("line"))
-    place = F.struct("doc_id", "line_no")
-    classes = materialize(lines.select("key", place.alias("place")).groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last")), "line-classes")
-    release(docs.sparkSession)
 
-    # Prefix words of every class, without those that stand in one line only; copies of a line add nothing.
-    coded = lines.select("key", coded_words(F.col("line"), levels).alias("words"))
-    n = F.size("words")
-    length = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1
-    cut = coded.select("key", n.alias("n"), F.posexplode(F.slice("words", 1, length)).alias("at", "word"))
-    shared = cut.filter(F.col("word") >= F.shiftleft(F.lit(1).cast("long"), LEVEL_SHIFT))
-    # A class's length and a word's place in it, in one number.
-    prefix = shared.groupBy("word", "key").agg(F.first(F.col("n").cast("long") * PLACES + F.col("at")).alias("n_at"))
-    a, b = prefix, prefix.select("word", F.col("key").alias("other"), F.col("n_at").alias("m_at"))
-    size, rest_of = (lambda c: F.shiftright(F.col(c), 31)), (lambda c: F.col(c).bitwiseAND(F.lit(PLACES - 1)))
-    n, at, m, m_place = size("n_at"), rest_of("n_at"), size("m_at"), rest_of("m_at")
-    ordered = (n < m) | ((n == m) & (F.col("key") < F.col("other")))
-    most = F.least(n - at, m - m_place) + F.least(at, m_place)  # words that the two can share
-    enough = most >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
-    met = a.join(b, "word").filter(ordered & (n >= F.lit(similarity) * m - 1e-9) & enough)
-    # Beyond the prefixes, one of the two can add at most what it has left there.
-    rest = lambda n: F.ceil(n * F.lit(similarity) - 1e-9) - 1
-    counted = met.groupBy("key", "other").agg(F.count(F.lit(1)).alias("shared"), F.first(n * PLACES + m).alias("n_m"))
-    counted = counted.select("key", "other", "shared", size("n_m").alias("n"), rest_of("n_m").alias("m"))
-    possible = F.col("shared") + F.greatest(rest(F.col("n")), rest(F.col("m"))) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
-    pairs = materialize(counted.filter(possible).select("key", "other"), "line-pairs")
-    release(docs.sparkSession)
-
-    # Words of the classes in pairs only: a table of hashed keys keeps most other lines out of the shuffle.
-    wanted = materialize(pairs.select("key").union(pairs.select("other")).distinct(), "paired-classes")
-    bucket = lambda c: F.pmod(c, F.lit(RARITY_BUCKETS)).cast("int")
-    hint = _byte_table(wanted.select(bucket("key").alias("bucket")).distinct().withColumn("level", F.lit(1)))
-    # A row number beside it keeps the filter, whose text would hold the table, above the projection.
-    marked = lines.select("key", "line", _byte_at(hint, bucket("key")).alias("mark"), F.monotonically_increasing_id().alias("number"))
-    some = marked.filter("mark = 1 and number >= 0").groupBy("key").agg(F.min("line").alias("line"))
-    sets = some.join(wanted, "key", "left_semi").select("key", F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
-    sets = materialize(sets.join(classes, "key"), "line-sets")
-    release(docs.sparkSession)
-    left = sets.select("key", "words", "place")
-    right = sets.select(F.col("key").alias("other"), F.col("words").alias("more"), F.col("place").alias("other_place"))
-    both = F.size(F.array_intersect("words", "more"))
-    similar = both >= F.lit(similarity) * (F.size("words") + F.size("more") - both) - 1e-9
-    links = materialize(pairs.join(left, "key").join(right, "other").filter(similar).select("key", "other", "place", "other_place"), "line-links")
-    # Of a class, the lines after the first of all that it matches are later ones.
-    near = links.select("key", F.col("other_place").alias("first")).union(links.select("other", "place")).groupBy("key").agg(F.min("first").alias("near"))
-    first = F.least("place", F.coalesce("near", "place"))
-    bounds = classes.join(near, "key", "left").filter(F.col("last") > first).select("key", first.alias("first"))
-    bounds = materialize(bounds, "line-bounds")
-    later = lines.select("key", place.alias("place")).join(bounds, "key").filter(F.col("place") > F.col("first"))
-    later = materialize(later.select("place.doc_id", "place.line_no"), "later-lines")
-    release(docs.sparkSession)
+def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of classes that may be similar: the earliest with each sketch, and others with it."""
+    held = ("id", "n", "parity")
+    sketched = classes.select(F.explode(F.array("s0", "s1")).alias("sketch"), "first", *held)
+    centre = sketched.groupBy("sketch").agg(F.min(F.struct("first", *held)).alias("centre"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    centre = centre.select("sketch", *[F.col(f"centre.{c}").alias(f"a_{c}") for c in held])
+    met = centre.join(sketched.select("sketch", *_named("b_", *held)), "sketch")
+    return met.filter((F.col("a_id") != F.col("b_id")) & _possible("a_", "b_", similarity)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of classes that share a prefix word where similar sets' first shared one can be, and may be similar.
+
+    ``a`` is the smaller one, which needs a shorter prefix. Words that stand in one line only are
+    left out, and pairs of two settled classes.
+    """
+    known = classes.join(settled.withColumn("settled", F.lit(True)), "id", "left")
+    held = ("id", "n", "at", "settled", "parity")
+    cut = lambda prefix: known.select("id", "n", F.coalesce("settled", F.lit(False)).alias("settled"), "parity", F.posexplode(prefix).alias("at", "word")).filter(F.col("word") >= F.shiftleft(_long(1), LEVEL_SHIFT))
+    n = F.col("n")
+    short = F.slice("prefix", 1, (n - _overlap(n, n, similarity) + 1).cast("int"))
+    a, b = (cut(prefix).select("word", *_named(side, *held)) for side, prefix in (("a_", short), ("b_", F.col("prefix"))))
+    n, m = F.col("a_n"), F.col("b_n")
+    ordered = (n < m) | ((n == m) & (F.col("a_id") < F.col("b_id")))
+    overlap = _overlap(n, m, similarity)
+    early = (F.col("a_at") <= n - overlap) & (F.col("b_at") <= m - overlap)
+    open_ = ~(F.col("a_settled") & F.col("b_settled"))
+    met = a.join(b, "word").filter(ordered & (n >= F.lit(similarity) * m - 1e-9) & early & open_ & _possible("a_", "b_", similarity))
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def later_classes(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(id) of classes in ``pairs`` that are similar to an earlier class of theirs, by their words."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = materialize(classes.join(ids, "id", "left_semi").select("id", "k0", "k1", "first"), "wanted-classes")
+    # A bitmap of hashed keys keeps most other lines out of the shuffle.
+    cell = lambda key: F.shiftrightunsigned(key, 6).bitwiseAND(_long(MARK_WORDS - 1)).cast("int")
+    bit = lambda key: F.call_function("shiftleft", _long(1), key.bitwiseAND(_long(63)).cast("int"))
+    marks = materialize(_dense(wanted.select(cell(F.col("k0")), bit(F.col("k0"))), MARK_WORDS), "wanted-marks")
+    some = _lines(docs).withColumn("marks", marks.scalar()).filter(F.get("marks", cell(F.col("k0"))).bitwiseAND(bit(F.col("k0"))) != 0)
+    texts = some.groupBy("k0", "k1").agg(F.min("line").alias("line"))
+    sets = materialize(wanted.join(texts, ["k0", "k1"]).select("id", "first", F.array_distinct(line_words(F.col("line"))).alias("words")), "line-sets")
+    a, b = sets.select(*_named("a_", "id", "first", "words")), sets.select(*_named("b_", "id", "first", "words"))
+    both = F.size(F.array_intersect("a_words", "b_words"))
+    similar = both >= F.lit(similarity) * (F.size("a_words") + F.size("b_words") - both) - 1e-9
+    links = pairs.join(a, pairs["a"] == F.col("a_id")).join(b, pairs["b"] == F.col("b_id")).filter(similar)
+    later = links.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    later = materialize(later, "later-classes")
+    for done in (wanted, marks, sets):
+        drop_all(done)
     return later
 
 
+def first_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, tag, line_no) of every line with words that no earlier one, by these three, matches."""
+    docs = docs.select("doc_id", "text")
+    levels = rarity_levels(docs)
+    classes = line_classes(docs, levels, similarity)
+    drop_all(levels)
+    settled = []
+    for step in (lambda done: star_pairs(classes, similarity), lambda done: prefix_pairs(classes, done, similarity)):
+        pairs = materialize(step(settled[-1] if settled else None), "line-pairs")
+        settled.append(later_classes(docs, classes, pairs, similarity))
+        drop_all(pairs)
+    kept = classes.join(reduce(DataFrame.union, settled), "id", "left_anti").select("first.*")
+    kept = materialize(kept, "first-lines")
+    for done in (classes, *settled):
+        drop_all(done)
+    return kept
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with later matching lines taken out of ``text``, and n_lines and n_removed beside.
 
-    A line goes if any earlier line of the table, by (doc_id, line number), has a word set of
-    Jaccard ``similarity`` or more to its own; the earlier one need not stay itself. Lines without
-    words stay and match nothing. A null text stays null with no lines; an empty one has one line.
-    Rows that share a doc_id share its lines' fate. With ``drop_emptied`` rows go that had words
-    and have lost all lines that held any. Columns named n_lines and n_removed are replaced.
+    A line goes if any earlier line of the table, by (doc_id, hash of the text, line number), has
+    a word set of Jaccard ``similarity`` or more to its own; the earlier one need not stay itself.
+    Rows without a doc_id come first. Rows of one doc_id with different texts are documents of
+    their own; repeated rows share their lines' fate. Lines without words stay and match nothing.
+    A null text stays null with no lines; an empty one has one line; an empty table gives no
+    rows. With ``drop_emptied`` rows go that had words and have lost all lines that held any.
+    Columns named n_lines and n_removed are replaced; any other name may occur in ``docs``.
     """
-    removed = later_matches(docs, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    removed = removed.withColumnRenamed("doc_id", "_id")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*names).join(removed, docs["doc_id"].eqNullSafe(removed["_id"]), "left")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    tag, left_id, left_tag, left = fresh_names(docs.columns, "tag", "left_id", "left_tag", "left")
+    kept = first_lines(docs, similarity).groupBy("doc_id", "tag").agg(F.collect_list("line_no").alias(left))
+    kept = kept.withColumnsRenamed({"doc_id": left_id, "tag": left_tag})
+    own = docs.select(*names, _tag(F.col("text")).alias(tag))
+    joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col(left_id)) & (F.col(tag) == F.col(left_tag)), "left")
     lines = F.split("text", "\n")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_text", text)
+    stay = F.coalesce(F.col(left), F.array().cast("array<int>"))
+    worded = F.size(F.filter(lines, lambda line: F.trim(line) != ""))
+    n_removed = F.greatest(worded, F.lit(0)) - F.size(stay)
+    text = F.array_join(F.filter(lines, lambda line, i: (F.trim(line) == "") | F.array_contains(stay, i)), "\n")
     if drop_emptied:
-        out = out.filter(F.col("_gone").isNull() | (F.translate(F.col("_text"), " \n", "") != ""))
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in names]
-    return out.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.size(gone).alias("n_removed"))
+        joined = joined.filter(F.col(left).isNotNull() | F.coalesce(F.translate("text", " \n", "") == "", F.lit(True)))
+    columns = [F.when(n_removed > 0, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names]
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), n_removed.alias("n_removed"))

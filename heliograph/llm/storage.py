@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's shared checkpoint folder; a temporary one only where none is set and one machine runs all."""
     where = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="heliograph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -54,10 +59,33 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     ship(spark)
     path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with brief_shuffles(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that are run meanwhile go at each one's end, as its result is on shared storage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def fresh_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The names wanted, each with as many underscores before it as keep it out of ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

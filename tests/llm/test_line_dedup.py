@@ -65,3 +65,36 @@ def test_emptied_rows_go(spark):
     df = spark.createDataFrame([(1, "one line"), (2, "one line"), (3, "one line\nand more"), (4, None), (5, "")], "doc_id long, text string")
     got = line_dedup.dedup_lines(df, drop_emptied=True).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "one line"), (3, "and more"), (4, None), (5, "")]
+
+
+def test_clashing_names_and_ids(spark):
+    columns = ["doc_id", "text", "_id", "_gone", "_text", "tag", "left", "id", "k0"]
+    rows = [(1, "same words here\nalone one", *range(7)), (1, "other text\nsame words here", *range(7)), (None, "same words here", *range(7)), (3, None, *range(7)), (3, "same words here", *range(7)), (3, "same words here", *range(7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _gone int, _text int, tag int, left int, id int, k0 int")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*columns, "n_lines", "n_removed"]
+    # Rows without a doc_id come first; rows of one doc_id lose only lines of their own; repeated rows share a fate.
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["n_removed"]) for r in got.collect()) == [
+        ("1", "alone one", 1), ("1", "other text", 1), ("3", "", 1), ("3", "", 1), ("3", "None", 0), ("None", "same words here", 0),
+    ]
+
+
+def test_long_lines_and_large_groups(spark):
+    rng = random.Random(3)
+    base = [f"word{i}" for i in range(150)]
+    near = []
+    for d in range(60):
+        line = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            line[rng.randrange(len(line))] = f"odd{rng.randrange(40)}"
+        near.append((d, " ".join(line) + "\n" + " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000))))
+    assert run(spark, near) == brute(near)
+
+
+def test_few_rarity_buckets(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RARITY_BUCKETS", 4096)
+    monkeypatch.setattr(line_dedup, "MARK_WORDS", 4096)
+    rng = random.Random(9)
+    docs = [(d, "\n".join(" ".join(f"v{int(rng.paretovariate(0.4)) % 20000}" for _ in range(9)) for _ in range(20))) for d in range(60)]
+    docs += [(100 + d, t.replace("v1 ", "zz ")) for d, t in docs[:30]]
+    assert run(spark, docs) == brute(docs)
