@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.components import connected_components
 from heliograph.llm.packing import slices
-from heliograph.llm.storage import materialize
+from heliograph.llm.storage import drop_all, materialize
 
 U = np.uint64
 #: Texts in a node of the distributed upper level, and in a leaf of a tree.
@@ -70,7 +70,11 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer words has one shingle of them all; one without words has none.
     """
-    words, bounds = word_hashes(column)
+    return shingles_of(*word_hashes(column), size)
+
+
+def shingles_of(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of texts given by the hashes of their words."""
     counts = np.diff(bounds)
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(words)) - bounds[:-1][text]
@@ -175,7 +179,7 @@ def _summarise(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d0", "d1"])
 
 
-def _held_keys(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+def held_keys(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """key, id and other of the (keys, ids) in ``held``, which is emptied."""
     keys, ids, others, centres = _stars(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
     held.clear()
@@ -187,7 +191,7 @@ def _held_keys(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.
 def _keyed(batches: Iterable[pa.RecordBatch], size: int, keys_of: Callable) -> Iterator[pa.RecordBatch]:
     """(key, id, other): a row for each key of the task, and stars of texts that met within it."""
     held, seen = [], set()
-    flush = lambda: pa.RecordBatch.from_arrays([*_held_keys(held)], names=["key", "id", "other"])
+    flush = lambda: pa.RecordBatch.from_arrays([*held_keys(held)], names=["key", "id", "other"])
     for batch in (s for b in batches for s in slices(b)):
         values, bounds = shingle_sets(batch.column("text"), size)
         ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -203,31 +207,6 @@ def _keyed(batches: Iterable[pa.RecordBatch], size: int, keys_of: Callable) -> I
         yield flush()
 
 
-def _summarise_keyed(batches: Iterable[pa.RecordBatch], size: int, keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """The rows of _summarise, without key, and those of _keyed, without n, in one pass over texts that have ids."""
-    names, held, seen = ["id", "n", "d0", "d1", "key", "other"], [], set()
-    none = lambda n: pa.nulls(n, pa.int64())
-
-    def flush() -> pa.RecordBatch:
-        key, ids, other = _held_keys(held)
-        return pa.RecordBatch.from_arrays([ids, *[none(len(ids))] * 3, key, other], names=names)
-
-    for batch in (s for b in batches for s in slices(b)):
-        values, bounds = shingle_sets(batch.column("text"), size)
-        low, high = digests(values, bounds)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), *[none(len(low))] * 2], names=names)
-        ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-        fresh = np.fromiter((d not in seen and not seen.add(d) for d in low), dtype=bool, count=len(low))
-        keys, owners = keys_of(values, bounds)
-        take = fresh[owners]
-        held.append((keys[take], ids[owners[take]]))
-        if sum(len(k) for k, _ in held) > HELD_KEYS:
-            yield flush()
-            seen.clear()
-    if held:
-        yield flush()
-
-
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) from the rows of whole keys: stars around the smallest id."""
     held = []
@@ -406,21 +385,24 @@ def _units(members: DataFrame, num: int, den: int) -> DataFrame:
     return small.union(placed.join(first.union(second), ["block", "band", "salt"]).select("id", "unit", "side"))
 
 
-def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of: Callable, together: bool = False) -> DataFrame:
+def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of: Callable) -> DataFrame:
     """(id, n, component) for every row of ``texts`` (id, text): set size and smallest linked id.
 
     Texts of equal sets are linked; an empty set links with nothing. A null id stays null, with
-    its own set size, and is linked with nothing. Rows of one id must have one text. ``together``
-    hashes texts without null ids once for their summaries and keys, and writes the keys down.
+    its own set size, and is linked with nothing. Rows of one id must have one text.
     """
     texts = texts.select(F.col("id").cast("long").alias("id"), "text")
-    if together:
-        hashed = texts.mapInArrow(partial(_summarise_keyed, size=size, keys_of=keys_of), "id long, n long, d0 long, d1 long, key long, other long")
-        hashed = materialize(hashed, "set-summaries-and-keys")
-        summary, keyed = hashed.filter("n IS NOT NULL").select("id", "n", "d0", "d1"), hashed.filter("key IS NOT NULL").select("key", "id", "other")
-    else:
-        summary = materialize(texts.mapInArrow(partial(_summarise, size=size), "id long, n long, d0 long, d1 long"), "set-summaries")
-        keyed = texts.filter(F.col("id").isNotNull()).mapInArrow(partial(_keyed, size=size, keys_of=keys_of), "key long, id long, other long")
+    summary = materialize(texts.mapInArrow(partial(_summarise, size=size), "id long, n long, d0 long, d1 long"), "set-summaries")
+    keyed = texts.filter(F.col("id").isNotNull()).mapInArrow(partial(_keyed, size=size, keys_of=keys_of), "key long, id long, other long")
+    wanted = lambda ids: texts.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    return components_of(summary, keyed, wanted, size, num, den)
+
+
+def components_of(summary: DataFrame, keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int) -> DataFrame:
+    """``similar_components`` of texts given by ``summary`` (id, n, d0, d1) and ``keyed`` (key, id, other).
+
+    ``texts_of`` gives (id, text), a row each, of the ids asked for.
+    """
     known = summary.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     first = materialize(known.join(classes.drop("n"), ["d0", "d1"]).select("id", "first", "n").distinct(), "set-classes")
@@ -430,13 +412,13 @@ def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of:
     blocks = connected_components(named.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
 
     members = materialize(blocks.withColumnRenamed("component", "block").join(first.filter(F.col("id") == F.col("first")).select("id", "n"), "id"), "block-members")
-    units = _units(members, num, den)
-    units = materialize(units, "units")
-    rows = texts.join(units.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    rows = rows.join(units, "id").select("unit", "side", "id", "text")
+    units = materialize(_units(members, num, den), "units")
+    rows = texts_of(units.select("id").distinct()).join(units, "id").select("unit", "side", "id", "text")
     ordered = rows.repartition("unit").sortWithinPartitions("unit", "side", "id")
     links = ordered.mapInArrow(partial(_verify, size=size, num=num, den=den), "a long, b long")
     found = materialize(connected_components(links), "components")
+    for done in (stars, members, units):
+        drop_all(done)
 
     named = first.select("id", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     return summary.select("id", "n").join(named, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))

@@ -106,3 +106,16 @@ def test_any_doc_id_and_any_number_of_lines(spark):
     assert [r["text"] for r in rows if r["doc_id"] == 9] == [docs[-1][1]] * 2
     unnamed = {("none" if r["text"] is None else r["text"], r["n_removed"], r["n_span_words"], tuple(r["first_doc_ids"])) for r in rows if r["doc_id"] is None}
     assert unnamed == {("", 1, 0, (-(2**62),)), ("none", 0, 0, ()), ("x y", 0, 60, (9,)), ("", 1, 0, ())}  # "z" goes as a line like "x y"
+
+
+def test_clashing_names(spark):
+    run, line = " ".join(f"r{i}" for i in range(60)), " ".join(f"l{i}" for i in range(25))
+    names = ["_row", "told", "gone", "starts", "line", "key"]
+    rows = [(1, "a " + run + " b\n" + line, *range(6)), (2, "c " + run + "\n" + line, *range(6)), (3, None, *range(6)), (4, "clean text", *range(6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = substring_dedup.dedup_paragraphs(df)
+    assert got.columns == ["doc_id", "text", *names, *substring_dedup.ADDED]
+    found = {r["doc_id"]: r for r in got.collect()}
+    # Both holders are told by n_repeat_words; only the later one loses anything, and clean texts have none.
+    assert [(found[d]["text"], found[d]["n_removed"] > 0, found[d]["n_repeat_words"] >= 85) for d in (1, 2, 3, 4)] == [(rows[0][1], False, True), ("", True, True), (None, False, False), ("clean text", False, False)]
+    assert all(list(r[2:8]) == list(range(6)) for r in found.values())
