@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from heliograph.llm.storage import drop_all, fresh_names, materialize
 
 SIMILARITY = 0.8
-#: Levels in the rarity table, which is broadcast: 8 MiB. At most half of them are of words told apart.
+#: Levels in the rarity table, which is broadcast: 1 MiB. At most half of them are of words told apart.
 RARITY_BUCKETS = 1 << 20
-#: 64-bit words of the bitmap of wanted classes, which is broadcast: 512 KiB.
-MARK_WORDS = 1 << 16
+#: 64-bit words of the bitmap of wanted classes, which is broadcast: 256 KiB.
+MARK_WORDS = 1 << 15
+#: Parts by word in which the join is made, one after another, so that prefix words take less disk at once.
+PARTS = 3
 LEVEL_SHIFT = 56  # a coded word: its level above, hash bits below
 BLOCK = 4096
 PLACE = ("doc_id", "tag", "line_no")
@@ -70,7 +72,7 @@ def _dense(rows: DataFrame, size: int) -> DataFrame:
 
 
 def rarity_levels(docs: DataFrame) -> DataFrame:
-    """One row with the level of every bucket of words, shifted into place: 0 if no word there occurs twice.
+    """One row with the level of every bucket of words: 0 if no word there occurs twice.
 
     A word's level is 1 if it occurs twice or more and not often enough for the table, which has
     room for as many of the most frequent words as half its buckets, else 2 + 2.5 x the binary
@@ -88,7 +90,7 @@ def rarity_levels(docs: DataFrame) -> DataFrame:
         floor = row["level"]
     told = F.when(F.col("level") < floor, 1).otherwise(F.col("level"))
     best = counted.groupBy("bucket").agg(F.max(told).cast("long").alias("level"))
-    table = materialize(_dense(best.select("bucket", F.call_function("shiftleft", F.col("level"), F.lit(LEVEL_SHIFT))), RARITY_BUCKETS), "rarity")
+    table = materialize(_dense(best, RARITY_BUCKETS).select(F.col("cells").cast("array<tinyint>").alias("cells")), "rarity")
     drop_all(counted)
     return table
 
@@ -105,7 +107,8 @@ def _parity(words: Column) -> Column:
 def line_classes(docs: DataFrame, levels: DataFrame, similarity: float) -> DataFrame:
     """(id, k0, k1, first: the earliest place, n, prefix, parity, s0, s1) of every class, written down."""
     hashed = _lines(docs).withColumn("hashed", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).withColumn("levels", levels.scalar())
-    code = lambda h: F.coalesce(F.get("levels", _bucket(h)), h).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT))
+    level = lambda h: F.coalesce(F.get("levels", _bucket(h)), F.lit(0).cast("tinyint")).cast("long")
+    code = lambda h: F.shiftleft(level(h), LEVEL_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT))
     coded = hashed.select("k0", "k1", *PLACE, F.sort_array(F.array_distinct(F.transform("hashed", code))).alias("words"))
     n = F.size("words")
     length = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1
@@ -143,15 +146,15 @@ def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return met.filter((F.col("a_id") != F.col("b_id")) & _possible("a_", "b_", similarity)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float, part: int) -> DataFrame:
     """(a, b) of classes that share a prefix word where similar sets' first shared one can be, and may be similar.
 
-    ``a`` is the smaller one, which needs a shorter prefix. Words that stand in one line only are
+    Words of one of PARTS are judged. ``a`` is the smaller one, which needs a shorter prefix. Words that stand in one line only are
     left out, and pairs of two settled classes.
     """
     known = classes.join(settled.withColumn("settled", F.lit(True)), "id", "left")
     held = ("id", "n", "at", "settled", "parity")
-    cut = lambda prefix: known.select("id", "n", F.coalesce("settled", F.lit(False)).alias("settled"), "parity", F.posexplode(prefix).alias("at", "word")).filter(F.col("word") >= F.shiftleft(_long(1), LEVEL_SHIFT))
+    cut = lambda prefix: known.select("id", "n", F.coalesce("settled", F.lit(False)).alias("settled"), "parity", F.posexplode(prefix).alias("at", "word")).filter((F.col("word") >= F.shiftleft(_long(1), LEVEL_SHIFT)) & (F.pmod("word", F.lit(PARTS)) == part))
     n = F.col("n")
     short = F.slice("prefix", 1, (n - _overlap(n, n, similarity) + 1).cast("int"))
     a, b = (cut(prefix).select("word", *_named(side, *held)) for side, prefix in (("a_", short), ("b_", F.col("prefix"))))
@@ -192,11 +195,12 @@ def first_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     levels = rarity_levels(docs)
     classes = line_classes(docs, levels, similarity)
     drop_all(levels)
-    settled = []
-    for step in (lambda done: star_pairs(classes, similarity), lambda done: prefix_pairs(classes, done, similarity)):
-        pairs = materialize(step(settled[-1] if settled else None), "line-pairs")
-        settled.append(later_classes(docs, classes, pairs, similarity))
-        drop_all(pairs)
+    stars = materialize(star_pairs(classes, similarity), "star-pairs")
+    settled = [later_classes(docs, classes, stars, similarity)]
+    met = [materialize(prefix_pairs(classes, settled[0], similarity, part), "prefix-pairs") for part in range(PARTS)]
+    settled.append(later_classes(docs, classes, reduce(DataFrame.union, met).distinct(), similarity))
+    for done in (stars, *met):
+        drop_all(done)
     kept = classes.join(reduce(DataFrame.union, settled), "id", "left_anti").select("first.*")
     kept = materialize(kept, "first-lines")
     for done in (classes, *settled):
