@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heliograph.llm.storage import materialize
-from heliograph.llm.words import gram_hash, small_side, words
+from heliograph.llm.words import BROADCAST_ROWS, gram_hash, small_side, words
 
 WINDOW = 10
 SHINGLE = 5
@@ -30,49 +30,55 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("window", "n").agg(F.collect_set("item_id").alias("items"))
 
 
-def _places(docs: DataFrame, shingles: DataFrame, size: int, reach: int) -> DataFrame:
-    """(row, doc_id, n_words, at, hash, around): places of benchmark shingles, and each document's last word.
+def _places(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach: int, few: bool) -> DataFrame:
+    """(row, doc_id, n_words, at, size, hash, around): places of benchmark shingles, and each document's last word.
 
-    ``around`` holds the words from ``reach`` before the place to ``reach`` + size after it.
+    ``around`` holds the words from ``reach`` before the place to ``reach`` + size after it. Where
+    the shingles aren't few, only that, and not the document's words, meets them in a shuffle.
     """
     cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
     at = cut.select("row", "doc_id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("at", "word")).drop("word")
-    hashed = at.withColumn("hash", gram_hash("words", "at", size))
-    found = hashed.join(shingles, "hash", "left")
-    last = F.col("at").isNull() | (F.col("at") == F.col("n_words") - 1)
     first = F.greatest(F.col("at") - reach, F.lit(0))
-    around = F.when(F.col("known"), F.slice("words", first + 1, F.col("at") - first + size + reach))
-    return found.filter(F.col("known") | last).select("row", "doc_id", "n_words", "at", F.when(F.col("known"), F.col("hash")).alias("hash"), around.alias("around"))
+    around = lambda size: F.slice("words", first + 1, F.col("at") - first + size + reach)
+    last = F.col("at").isNull() | (F.col("at") == F.col("n_words") - 1)
+    if len(sizes) == 1:
+        hashed = at.withColumns({"size": F.lit(sizes[0]), "hash": gram_hash("words", "at", sizes[0])})
+    else:
+        each = F.array(*[F.struct(F.lit(size).alias("size"), gram_hash("words", "at", size).alias("hash")) for size in sizes])
+        hashed = at.withColumn("gram", F.explode(each)).select(*at.columns, "gram.*")
+    if not few:
+        hashed = hashed.withColumn("around", around(F.col("size"))).drop("words")
+    found = hashed.join(shingles, ["size", "hash"], "left").filter(F.col("known") | (last & (F.col("size") == sizes[0])))
+    beside = around(F.col("size")) if few else F.col("around")
+    return found.select("row", "doc_id", "n_words", "at", "size", F.when(F.col("known"), F.col("hash")).alias("hash"), F.when(F.col("known"), beside).alias("around"), (last & (F.col("size") == sizes[0])).alias("last"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(documents: row, doc_id, n_words; hits: row, start, n, items), each place of a window once."""
-    windows = materialize(benchmark_windows(items, window).withColumn("window_id", F.monotonically_increasing_id()), "windows")
-    sizes = [r[0] for r in windows.select(F.least("n", F.lit(shingle)).alias("size")).distinct().collect()]  # at most ``shingle``
-    documents, hits = None, None
-    for size in sorted(sizes) or [shingle]:
-        own = windows.filter(F.least("n", F.lit(shingle)) == size)
-        at = own.select("window_id", "window", "n", "items", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("offset"))
-        grams = materialize(at.withColumn("hash", gram_hash("window", "offset", size)), "window-shingles")
-        known = grams.select("hash", F.lit(True).alias("known")).distinct()
-        reach = window - size
-        places = materialize(_places(docs, small_side(known), size, reach), "places")
-        if documents is None:
-            documents = places.filter(F.col("at").isNull() | (F.col("at") == F.col("n_words") - 1)).select("row", "doc_id", "n_words")
-        found = places.filter(F.col("hash").isNotNull())
-        rarity = found.groupBy("hash").agg(F.count(F.lit(1)).alias("places"))
-        ranked = grams.join(rarity, "hash")  # a window with a shingle that never occurs needs no candidates
-        by_rarity = Window.partitionBy("window_id").orderBy("places", "hash", "offset")
-        prefix = ranked.withColumn("rank", F.row_number().over(by_rarity)).withColumn("occurring", F.count(F.lit(1)).over(Window.partitionBy("window_id")))
-        prefix = prefix.filter((F.col("rank") == 1) & (F.col("occurring") == F.col("n") - size + 1)).select("hash", "window", "n", "items", "offset")
-        prefix = materialize(prefix, "prefix-shingles")
-        start = F.col("at") - F.col("offset")
-        bounds = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-        inside = F.slice("around", start - F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.col("n"))
-        candidates = found.join(small_side(prefix), "hash").filter(bounds)
-        verified = candidates.filter(inside == F.col("window")).select("row", start.alias("start"), "n", "items")
-        hits = verified if hits is None else hits.unionByName(verified)
-    return documents, hits
+    """(documents: row, doc_id, n_words; hits: row, start, n, items), each place of a window once.
+
+    One pass over the documents numbers them and finds the shingles of all sizes, and is written
+    down, so that a row's number is the same in all that follows.
+    """
+    windows = materialize(benchmark_windows(items, window).withColumns({"window_id": F.monotonically_increasing_id(), "size": F.least("n", F.lit(shingle))}), "windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [shingle]  # at most ``shingle``
+    at = windows.select("window_id", "window", "n", "items", "size", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("offset"))
+    hashed = F.coalesce(*[F.when(F.col("size") == size, gram_hash("window", "offset", size)) for size in sizes])
+    grams = materialize(at.withColumn("hash", hashed), "window-shingles")
+    known = grams.select("size", "hash", F.lit(True).alias("known")).distinct()
+    n_known, reach = known.count(), window - min(sizes)
+    places = materialize(_places(docs, small_side(known, n_known), sizes, reach, n_known <= BROADCAST_ROWS), "places")
+    documents, found = places.filter("last").select("row", "doc_id", "n_words"), places.filter(F.col("hash").isNotNull())
+    rarity = found.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("places"))
+    ranked = grams.join(rarity, ["size", "hash"])  # a window with a shingle that never occurs needs no candidates
+    by_rarity = Window.partitionBy("window_id").orderBy("places", "hash", "offset")
+    prefix = ranked.withColumn("rank", F.row_number().over(by_rarity)).withColumn("occurring", F.count(F.lit(1)).over(Window.partitionBy("window_id")))
+    prefix = prefix.filter((F.col("rank") == 1) & (F.col("occurring") == F.col("n") - F.col("size") + 1)).select("size", "hash", "window", "n", "items", "offset")
+    prefix = materialize(prefix, "prefix-shingles")
+    start = F.col("at") - F.col("offset")
+    bounds = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    inside = F.slice("around", start - F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.col("n"))
+    candidates = found.join(small_side(prefix), ["size", "hash"]).filter(bounds)
+    return documents, candidates.filter(inside == F.col("window")).select("row", start.alias("start"), "n", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
