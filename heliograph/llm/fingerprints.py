@@ -1,12 +1,14 @@
 """SpotSigs document fingerprints in DataFrame operations.
 
-Common words are anchors. The content words that follow an anchor form a chain, and the set
-of a document's hashed chains is its fingerprint. Sets are compared by Jaccard similarity;
+Common words are anchors. The content words that follow an anchor, whatever anchors stand in
+between, form a chain, and the set of a document's hashed chains is its fingerprint. Sets are compared by Jaccard similarity;
 where a floor is given, sets whose lengths alone keep them below it are not intersected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +24,8 @@ ANCHORS = (
     "el los las y del se por con para su al lo como"
 ).split()
 CHAIN = 2
+#: What is put between an anchor and the word after it, and at a text's end; in texts they are blanks.
+GLUE, END = "\x01", "\x02"
 #: Buckets of consecutive doc_ids for each shuffle partition, so that uneven hashing evens out.
 BUCKETS_PER_PARTITION = 4
 
@@ -29,16 +33,38 @@ BUCKETS_PER_PARTITION = 4
 def _plain(text: Column) -> Column:
     """A-Z lowered, other white space as blanks, and other ASCII signs left out."""
     signs = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-    return F.translate(text, UPPER + "\n\t\r\f\v" + signs, LOWER + "     ")
+    return F.translate(text, f"{UPPER}\n\t\r\f\v{GLUE}{END}" + signs, LOWER + " " * 7)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for all its uses there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def chains(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted set of hashed chains. The text's beginning is an anchor too, so few texts have none."""
+    """Sorted set of hashed chains: each anchor with the next ``chain`` content words after it.
+
+    Anchors with fewer content words after them have no chain. The text's beginning is an anchor
+    too; in a text of fewer content words its chain is of those, and in one of anchors alone
+    of these. A text without words has no chains.
+    """
     anchor = "|".join(sorted(set(ANCHORS)))
-    spots = F.split(F.trim(_plain(text)), rf" (?=(?:{anchor})(?: |$))")
-    heads = F.transform(spots, lambda s: F.substring_index(s, " ", chain + 1))
-    held = F.filter(heads, lambda s, i: s.contains(" ") | ((i == 0) & (s != "")))
-    return F.sort_array(F.array_distinct(F.transform(held, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))))
+    plain = F.concat(F.regexp_replace(F.trim(_plain(text)), " +", " "), F.lit(f" {END}"))
+    # Content words, each with the anchors right before it glued on, and the end.
+    words = F.filter(F.split(F.regexp_replace(plain, f"(?<![^ ])({anchor}) ", f"$1{GLUE}"), " "), lambda w: w != "")
+    hashed = lambda *of: F.xxhash64(*of).bitwiseAND(F.lit(0xFFFFFFFF))
+    none = F.array().cast("array<bigint>")
+
+    def of_words(words: Column, content: Column) -> Column:
+        last = F.size(words) - 1
+        follow = lambda k: F.array_join(F.slice(content, k + 1, F.lit(chain)), " ")
+        before = lambda w: F.filter(F.split(w, GLUE), lambda a, i: i < F.size(F.split(w, GLUE)) - 1)
+        own = lambda w, k: F.when(w.contains(GLUE) & (k + chain <= last), F.transform(before(w), lambda a: hashed(a, follow(k)))).otherwise(none)
+        first = F.when(last > 0, F.array_join(F.slice(content, F.lit(1), F.least(last, F.lit(chain))), " ")).otherwise(F.get(words, F.lit(0)))
+        return F.concat(F.flatten(F.transform(words, own)), F.when(first == END, none).otherwise(F.array(hashed(F.lit(""), first))))
+
+    found = _let(words, lambda ws: _let(F.transform(ws, lambda w: F.substring_index(w, GLUE, -1)), lambda content: of_words(ws, content)))
+    return F.sort_array(F.array_distinct(found))
 
 
 def render(signature: Column) -> Column:
