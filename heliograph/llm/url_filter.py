@@ -29,7 +29,8 @@ PATTERNS = [
     ("spam-farm", r"(?:^|[.-])spam-farm[.-]", ("spam", "farm")),
     ("pills", r"(?:^|[.-])(?:cheap|buy|online)-pills[.-]", ("pills",)),
     ("casino", r"(?:^|[./-])casino(?:$|[./-])", ("casino",)),
-    ("adult", r"(?:^|[./-])(?:xxx|porn)(?:$|[./-])", ()),
+    ("adult", r"(?:^|[./-])xxx(?:$|[./-])", ("xxx",)),
+    ("adult", r"(?:^|[./-])porn(?:$|[./-])", ("porn",)),
     ("click-bait", r"(?:^|[./-])click-bait(?:$|[./-])", ("click", "bait")),
 ]
 
