@@ -5,7 +5,10 @@ import random
 import duckdb
 import public_tokenizers
 import pytest
+import xxhash
+import zstandard
 from brute import base_licenses, decontaminate, edited, pieces
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heliograph.llm import decontamination, fingerprints, language_id, licenses, packing, token_counts, url_filter
@@ -67,6 +70,56 @@ def test_license_with_an_inserted_word(spark):
     assert got == {1: "apache-2.0", 2: ""}
 
 
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    """The join of many shingles, and rows that come in another order whenever they are read."""
+    from heliograph.llm import words
+
+    monkeypatch.setattr(words, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    items = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string")
+    docs = frame(spark, ODD).repartition(5).orderBy("rank").withColumn("noise", F.rand())
+    assert rows(decontamination.decontaminate(docs, items), *names) == sorted(decontaminate(ODD, ITEMS), key=key)
+
+
+def chain_set(text, size=2):
+    """Hashed chains in plain Python."""
+    blank = {ord(c): " " for c in "\n\t\r\f\v\x01\x02"}
+    text = (text or "").translate({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}).translate(blank)
+    words = [w for w in "".join(c for c in text if not (33 <= ord(c) < 127 and not c.isalnum())).split(" ") if w]
+    content = [w for w in words if w not in fingerprints.ANCHORS]
+    hashed = lambda a, follow: xxhash.xxh64(follow.encode(), seed=xxhash.xxh64(a.encode(), seed=42).intdigest()).intdigest() & 0xFFFFFFFF
+    found, k = set(), 0
+    for w in words:
+        if w not in fingerprints.ANCHORS:
+            k += 1
+        elif k + size <= len(content):
+            found.add(hashed(w, " ".join(content[k : k + size])))
+    if content:
+        found.add(hashed("", " ".join(content[:size])))
+    elif words:
+        found.add(hashed("", "\x01".join(words) + "\x01\x02"))
+    return found
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_chains_and_likeness(spark, sf_dir):
+    odd = ["the of in red car blue boat", "the", "the of", "red", "the red", "THE of red, car.", "a\x01b the\x02c d", "red the car of in boat the end"]
+    for docs in ([(d, t) for d, t in ODD if d is not None and d != 6], list(enumerate(odd)), small(spark, sf_dir)):
+        ordered = sorted(docs, key=lambda r: r[0])
+        got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(frame(spark, docs)).collect()}
+        for i, (d, text) in enumerate(ordered):
+            text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
+            quarter = len(text) // 4
+            own, follows, other = chain_set(text), chain_set(after), chain_set(text[: len(text) - quarter] + after[:quarter])
+            assert got[d]["fingerprint"] == "".join(f"{h:08X}" for h in sorted(own)), text[:99]
+            assert got[d]["edited_fingerprint"] == "".join(f"{h:08X}" for h in sorted(other))
+            assert abs(got[d]["near_edited"] - jaccard(own, other)) < 1e-9 and abs(got[d]["near_next"] - jaccard(own, follows)) < 1e-9
+
+
 def test_fingerprints(spark, sf_dir):
     for docs in (ODD, [], [(5, "only one of the rows")], small(spark, sf_dir)):
         got = fingerprints.fingerprint_documents(frame(spark, docs)).collect()
@@ -177,6 +230,46 @@ def test_language_accuracy(spark):
     assert sum(r["rejected"] for r in got) <= 0.02 * len(got)
 
 
+def plain_language(text, dictionaries, level, block):
+    """(language, score, margin) by a plain loop over zstandard."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, 0.0
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    ends = list(range(block, len(raw), block)) + [len(raw)]
+    if len(ends) > 1 and ends[-1] - ends[-2] < block // 2:
+        del ends[-2]
+    sizes = []
+    for lang, held in dictionaries.items():
+        total, at = 0, 0
+        for end in ends:
+            d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[at:end]))
+            at = end
+        sizes.append((total, lang))
+    (least, lang), (second, _) = sorted(sizes)[:2]
+    margin = (second - least) / second
+    return lang, min(1.0, 0.5 + 2 * margin), margin
+
+
+def test_language_by_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    long = [(900, "Das ist ein langer Satz und noch einer. " * 400), (901, "zz"), (902, "the same 12")]
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 60").collect()} | dict(long) | {903: None, 904: "", 905: "12 .."}
+    found = language_id.identify(frame(spark, list(texts.items())).select("doc_id", "text"), model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        lang, score, margin = plain_language(r["text"], model.dictionaries, model.level, model.block)
+        assert (r["lang_pred"], r["rejected"]) == (lang, lang == "und" or margin < language_id.MARGIN) and abs(r["score"] - score) < 1e-9
+    assert model.dictionaries == language_id.fit(docs.filter(~language_id.held_out()).repartition(7)).dictionaries
+
+
+def test_language_ties(spark):
+    model = language_id.Model({"fr": b"equal text " * 50, "en": b"equal text " * 50})
+    r = language_id.identify(frame(spark, [(1, "equal text here")]), model).first()
+    assert (r["lang_pred"], r["score"], r["rejected"]) == ("en", 0.5, True)
+
+
 def test_language_odd_rows(spark):
     model = language_id.Model({"en": b"the of and to a in is " * 50, "fr": b"le la les de des et en " * 50})
     got = {r["doc_id"]: r for r in language_id.identify(frame(spark, ODD), model).collect()}
