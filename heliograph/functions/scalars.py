@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -11,27 +13,45 @@ from pyspark.sql import types as T
 
 from heliograph.plans.params import EXTENSIONS, MONTHS, READY
 
-# Accented Latin letters and what is left of them without their marks.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+# Hangul syllables, which are composed by rule: the first and last, the first jamos of each kind, and how many vowels and finals.
+HANGUL, LEADS, VOWELS, FINALS, N_VOWELS, N_FINALS = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A7, 21, 28
+
+
+@cache
+def fold_table() -> tuple[str, str]:
+    """Characters and what is left of each without its marks; marks, which leave nothing, stand last."""
+    letters, marks = {}, []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c).startswith("M"):
+            marks.append(c)
+        elif (left := fold_literal(c)) != c.lower() and len(left) == 1:
+            letters[c] = left
+    return "".join(letters) + "".join(marks), "".join(letters.values())
+
+
+def _jamos(char: Column) -> Column:
+    """A Hangul syllable as its two or three jamos, any other character as it is."""
+    unit = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    at = F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("long") - HANGUL[0]
+    final = F.pmod(at, F.lit(N_FINALS))
+    vowel = F.pmod(F.floor(at / N_FINALS), F.lit(N_VOWELS))
+    jamos = F.concat(unit(F.floor(at / (N_VOWELS * N_FINALS)) + LEADS), unit(vowel + VOWELS), F.when(final > 0, unit(final + FINALS)).otherwise(""))
+    return F.when(char.between(chr(HANGUL[0]), chr(HANGUL[1])), jamos).otherwise(char)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, for the Latin repertoire; null stays null."""
-    return F.translate(F.lower(text), ACCENTED + "\u0300\u0301\u0302\u0303\u0308\u030a\u0327", PLAIN)
+    """Lower case without accents, for every script; null stays null."""
+    plain = F.translate(F.lower(text), *fold_table())
+    return F.when(plain.rlike(f"[{chr(HANGUL[0])}-{chr(HANGUL[1])}]"), F.array_join(F.transform(F.split(plain, ""), _jamos), "")).otherwise(plain)
 
 
 @F.pandas_udf(T.StringType())
 def fold_exact(text: pd.Series) -> pd.Series:
-    """The same for any script: decomposed, marks dropped, lower case."""
-    import unicodedata
-
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.category(c).startswith("M")).lower())
+    """The same in Python: decomposed, marks dropped, lower case."""
+    return text.map(lambda s: None if s is None else fold_literal(s))
 
 
 def fold_literal(text: str) -> str:
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M")).lower()
 
 

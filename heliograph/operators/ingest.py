@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
-from heliograph.plans.params import CLOUD, PENDING, READY
+from heliograph.plans.params import CLOUD, DOWNLOADING, PENDING, READY
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -110,7 +110,7 @@ def tumbling(events: DataFrame, width: str) -> DataFrame:
 
 def queue_order(jobs: DataFrame, priority: DataFrame, limit: int) -> DataFrame:
     """Jobs in the order workers take them: on-screen ones first, then first come; each id once."""
-    firsts = jobs.groupBy("id").agg(F.min("place").alias("place")).join(F.broadcast(priority.withColumn("_top", F.lit(0))), "id", "left")
+    firsts = jobs.groupBy("id").agg(F.min("place").alias("place")).join(priority.withColumn("_top", F.lit(0)), "id", "left")
     top = firsts.orderBy(F.coalesce("_top", F.lit(1)), "place").limit(limit)
     return top.select("id", F.row_number().over(Window.orderBy(F.coalesce("_top", F.lit(1)), "place")).alias("turn"))
 
@@ -123,10 +123,24 @@ def profile(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean"), F.sum("ms").alias("total"))
 
 
+EXIF_FIELDS = "path string, taken string, lat double, lon double, make string, model string, lens string, f_number double, exposure double, iso long, focal double, width long, height long"
+
+
+def details(images: DataFrame) -> DataFrame:
+    """What the info card shows of local files (path, thumb_status, content); files in the cloud aren't read."""
+    from heliograph.sources.exif import read_batches
+
+    local = images.filter(~F.col("thumb_status").isin(CLOUD, DOWNLOADING)).select("path", "content")
+    col, valid = F.col, S.valid_point(F.col("lat"), F.col("lon"))
+    labels = {"camera": S.camera_label(col("make"), col("model")), "f_number": S.f_number_label(col("f_number")), "exposure": S.exposure_label(col("exposure")), "iso": S.iso_label(col("iso")), "focal": S.focal_label(col("focal"))}
+    found = local.mapInPandas(read_batches, EXIF_FIELDS)
+    return found.select("path", "lens", *[v.alias(k) for k, v in labels.items()], "width", "height", F.when(valid, col("lat")).alias("lat"), F.when(valid, col("lon")).alias("lon"))
+
+
 def positions(images: DataFrame) -> DataFrame:
     """(path, taken_ts, lat, lon) from the EXIF block of JPEG bytes (path, content); nulls where there is none."""
     from heliograph.sources.exif import read_batches
 
-    return images.select("path", "content").mapInPandas(read_batches, "path string, taken string, lat double, lon double, make string, model string").select(
+    return images.select("path", "content").mapInPandas(read_batches, EXIF_FIELDS).select(
         "path", S.exif_datetime(F.col("taken")).alias("taken_ts"), F.when(S.valid_point(F.col("lat"), F.col("lon")), F.col("lat")).alias("lat"), F.when(S.valid_point(F.col("lat"), F.col("lon")), F.col("lon")).alias("lon"), S.camera_label(F.col("make"), F.col("model")).alias("camera")
     )

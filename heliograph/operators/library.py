@@ -18,7 +18,7 @@ def curation(tag: str) -> Column:
 def pictured(faces: DataFrame, identities: DataFrame, token: str) -> DataFrame:
     """Photos with a face of a person whose name holds the token."""
     named = identities.filter(F.contains(S.fold(F.col("name")), F.lit(token))).select(F.col("id").alias("identity_id"))
-    return faces.filter("ignored = 0").join(F.broadcast(named), "identity_id", "left_semi").select(F.col("photo_id").alias("id")).distinct()
+    return faces.filter("ignored = 0").join(named, "identity_id", "left_semi").select(F.col("photo_id").alias("id")).distinct()
 
 
 def search(photos: DataFrame, query: str | None, faces: DataFrame, identities: DataFrame) -> DataFrame:
@@ -113,7 +113,18 @@ def on_this_day_by_year(day_rows: DataFrame, now_year: int) -> DataFrame:
 
 
 def lookup(photos: DataFrame, ids: DataFrame) -> DataFrame:
-    return photos.join(F.broadcast(ids), "id", "left_semi")
+    return photos.join(ids, "id", "left_semi")
+
+
+def insert_sorted(rows: DataFrame, back: DataFrame) -> DataFrame:
+    """A person's rows with some put back where they were, newest first."""
+    return rows.unionByName(back.select(*rows.columns)).orderBy(F.desc("ts"), F.desc("id"))
+
+
+def in_look(rows: DataFrame, looks: DataFrame, look: int | None) -> DataFrame:
+    """A person's rows of one look (look, photo_ids); all of them if there is no such look."""
+    chosen = looks.filter(F.col("look") == F.lit(look)).select(F.explode("photo_ids").alias("id"))
+    return rows if look is None or not chosen.take(1) else rows.join(chosen, "id", "left_semi")
 
 
 def detail(photos: DataFrame, id_: int) -> DataFrame:
@@ -130,13 +141,19 @@ def not_ready(photos: DataFrame, visible: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(photos: DataFrame, limit: int | None = None) -> DataFrame:
-    """Visible photos of equal content with the bytes that extra copies take, most first."""
+    """Visible photos of equal content with the bytes that extra copies take, most first.
+
+    Groups are counted before their copies are gathered, so photos without a copy are never gathered.
+    """
     rows = photos.filter(F.col("content_hash").isNotNull() & (F.col("content_hash") != "") & (F.col("hidden") == 0))
     copy = F.struct("id", "path", S.sort_ts().alias("ts"), (F.col("favorite") != 0).alias("favorite"))
     n = F.count(F.lit(1))
-    groups = rows.groupBy("content_hash").agg((F.max("size") * (n - 1)).alias("wasted_bytes"), n.alias("copies_count"), F.array_sort(F.collect_list(copy)).alias("copies"))
-    groups = groups.filter("copies_count > 1").orderBy(F.desc("wasted_bytes"), "content_hash")
-    return groups.limit(limit) if limit else groups
+    order = [F.desc("wasted_bytes"), F.col("content_hash")]
+    groups = rows.groupBy("content_hash").agg((F.max("size") * (n - 1)).alias("wasted_bytes"), n.alias("copies_count")).filter("copies_count > 1")
+    if limit:
+        groups = groups.orderBy(*order).limit(limit)
+    copies = rows.join(groups, "content_hash").groupBy("content_hash", "wasted_bytes", "copies_count")
+    return copies.agg(F.array_sort(F.collect_list(copy)).alias("copies")).orderBy(*order)
 
 
 def keepers(groups: DataFrame) -> DataFrame:
@@ -147,7 +164,9 @@ def keepers(groups: DataFrame) -> DataFrame:
 
 
 def duplicate_totals(groups: DataFrame) -> DataFrame:
-    return groups.agg(F.coalesce(F.sum("wasted_bytes"), F.lit(0)).cast("long").alias("wasted"), F.count(F.lit(1)).alias("groups"))
+    """Bytes wasted, groups, and the first copy of the group that wastes most as cover."""
+    cover = F.min(F.struct((-F.col("wasted_bytes")).alias("less"), "content_hash", F.get("copies", F.lit(0))["id"].alias("id")))["id"]
+    return groups.agg(F.coalesce(F.sum("wasted_bytes"), F.lit(0)).cast("long").alias("wasted"), F.count(F.lit(1)).alias("groups"), cover.alias("cover"))
 
 
 # ---- places ----

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
 from heliograph.operators.people import group_key, symmetric
-from heliograph.plans.params import CLOUD, DOWNLOADING, PENDING, READY
+from heliograph.plans.params import CLAIMED, CLOUD, DOWNLOADING, PENDING, READY, UNSCANNED
 
 
 class StaleVersion(Exception):
@@ -329,3 +329,52 @@ def apply_clusters(faces: DataFrame, labels: DataFrame) -> DataFrame:
 def reset_decisions(faces: DataFrame) -> DataFrame:
     """Nothing the user said is left; every face stands for itself until the next clustering."""
     return _set(faces, F.lit(True), identity_id=F.lit(None), ignored=0, confirmed=0, cluster_id=F.col("id"))
+
+
+def reset_all_faces(photos: DataFrame, c: Catalog) -> Catalog:
+    """Nothing about faces is left, and every photo is to be looked through again."""
+    none = {n: getattr(c, n).limit(0) for n in ("faces", "identities", "cannot_link", "same_photo_ok")}
+    return c.commit(c.version, photos=photos.withColumn("faces_scanned", F.lit(UNSCANNED).cast(photos.schema["faces_scanned"].dataType)), **none)
+
+
+def claim_faces(photos: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The photos with the next ``limit`` of the face queue marked as taken, and those jobs."""
+    jobs = photos.filter((F.col("thumb_status") == READY) & (F.col("faces_scanned") == UNSCANNED)).orderBy("id").limit(limit)
+    rows, chosen = _in(jobs.select("id"), photos)
+    return _set(rows, chosen, faces_scanned=CLAIMED).select(*photos.columns), jobs
+
+
+def release_claims(photos: DataFrame) -> DataFrame:
+    """Photos that a crash left taken are in the queue again."""
+    return _set(photos, F.col("faces_scanned") == CLAIMED, faces_scanned=UNSCANNED)
+
+
+def confirm_into(c: Catalog, ids: list[int], group: int) -> tuple[Catalog, DataFrame]:
+    """Some faces go to a group's person for good, without a barrier to where they were; and their prior states."""
+    prior = capture(c.faces, ids)
+    faces, identities, own = ensure_identity(c.faces, c.identities, group)
+    return c.commit(c.version, faces=set_person(faces, ids, own), identities=identities), prior
+
+
+def name_faces(c: Catalog, ids: list[int], name: str) -> tuple[Catalog, int, DataFrame]:
+    """Some faces go to the person of exactly that name, or to a new one; the person, and prior states."""
+    name = name.strip()
+    if not name:
+        raise ValueError("a name is required")
+    prior, identities = capture(c.faces, ids), c.identities
+    held = identities.filter(F.col("name") == name).join(c.faces.filter("ignored = 0"), identities["id"] == c.faces["identity_id"], "left_semi").agg(F.min("id")).first()[0]
+    if held is None:
+        identities, held = new_identity(identities, name)
+    return c.commit(c.version, faces=set_person(c.faces, ids, held), identities=identities), held, prior
+
+
+def split(c: Catalog, tagged: dict[int, list[int]], others: list[int]) -> tuple[Catalog, DataFrame]:
+    """A mixed group's faces go to people by tag (group: faces), others stand in their cluster again; untagged ones stay.
+
+    The prior states of all of them undo it in one step.
+    """
+    prior = capture(c.faces, [i for ids in tagged.values() for i in ids] + others)
+    for group, ids in tagged.items():
+        if ids:
+            c, _ = confirm_into(c, ids, group)
+    return (c.commit(c.version, faces=detach(c.faces, others)) if others else c), prior

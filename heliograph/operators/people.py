@@ -22,7 +22,7 @@ def overview(faces: DataFrame, identities: DataFrame) -> DataFrame:
     best = F.max(F.struct("score", (-F.col("id")).alias("i")))["i"]
     groups = pool(faces).groupBy("g").agg(F.count(F.lit(1)).alias("count"), (-best).alias("cover_face_id"))
     named = identities.select((-F.col("id")).alias("g"), "name")
-    return groups.join(F.broadcast(named), "g", "left").select("g", "count", "cover_face_id", "name")
+    return groups.join(named, "g", "left").select("g", "count", "cover_face_id", "name")
 
 
 def ranked_overview(groups: DataFrame) -> DataFrame:
@@ -54,11 +54,11 @@ def group_faces(faces: DataFrame, group: int) -> DataFrame:
 def faces_in_photo(faces: DataFrame, identities: DataFrame, photo: int) -> DataFrame:
     rows = faces.filter((F.col("photo_id") == photo) & (F.col("ignored") == 0)).withColumn("g", group_key())
     named = identities.select(F.col("id").alias("identity_id"), "name")
-    return rows.join(F.broadcast(named), "identity_id", "left").select("id", "g", "name", "score", "x1", "y1", "x2", "y2").orderBy(F.desc("score"), "id")
+    return rows.join(named, "identity_id", "left").select("id", "g", "name", "score", "x1", "y1", "x2", "y2").orderBy(F.desc("score"), "id")
 
 
 def group_in_photos(faces: DataFrame, group: int, photo_ids: DataFrame) -> DataFrame:
-    return pool(faces).filter(F.col("g") == group).join(F.broadcast(photo_ids), "photo_id", "left_semi").select("id")
+    return pool(faces).filter(F.col("g") == group).join(photo_ids, "photo_id", "left_semi").select("id")
 
 
 def person_photos(photos: DataFrame, faces: DataFrame, group: int) -> DataFrame:
@@ -102,7 +102,7 @@ def implicit_cannot_links(identities: DataFrame) -> DataFrame:
     """People of different names are different people. Identities are people the user named, a short list."""
     a = identities.filter("name is not null")
     b = a.select(F.col("id").alias("b"), F.col("name").alias("b_name"))
-    return a.join(F.broadcast(b), (F.col("id") < F.col("b")) & (F.col("name") != F.col("b_name"))).select(F.col("id").alias("a"), "b")
+    return a.join(b, (F.col("id") < F.col("b")) & (F.col("name") != F.col("b_name"))).select(F.col("id").alias("a"), "b")
 
 
 def constraint_union(explicit: DataFrame, implicit: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def group_for_name(faces: DataFrame, identities: DataFrame, name: str) -> DataFr
 def other_named_person(faces: DataFrame, identities: DataFrame, own: int | None) -> DataFrame:
     """Groups that are people with a name and confirmed faces, other than ``own``."""
     named = identities.filter("name is not null").select(F.col("id").alias("identity_id"))
-    rows = faces.filter("confirmed = 1").join(F.broadcast(named), "identity_id").filter(F.col("identity_id") != (own if own is not None else 0))
+    rows = faces.filter("confirmed = 1").join(named, "identity_id").filter(F.col("identity_id") != (own if own is not None else 0))
     return rows.groupBy((-F.col("identity_id")).alias("g")).agg(F.count(F.lit(1)).alias("faces"))
 
 
@@ -142,3 +142,26 @@ def suggestions(identities: DataFrame, text: str, exclude: int | None = None, li
 def exact_name(identities: DataFrame, text: str, exclude: int | None = None) -> DataFrame:
     rows = identities.filter(S.fold(F.col("name")) == S.fold_literal(text.strip()))
     return (rows.filter(F.col("id") != exclude) if exclude is not None else rows).select("id", "name")
+
+
+def face_box(faces: DataFrame, face: int) -> DataFrame:
+    """The photo that a face is in, and where."""
+    return faces.filter(F.col("id") == face).select("photo_id", "x1", "y1", "x2", "y2")
+
+
+def must_links(faces: DataFrame) -> DataFrame:
+    """(id, identity_id) of faces that the user confirmed, which a clustering keeps together."""
+    return faces.filter(F.col("identity_id").isNotNull() & (F.col("confirmed") == 1)).select("id", "identity_id")
+
+
+def confirmed_photos(faces: DataFrame) -> DataFrame:
+    return faces.filter(F.col("identity_id").isNotNull() & (F.col("confirmed") == 1)).select("identity_id", "photo_id")
+
+
+def group_photos(faces: DataFrame) -> DataFrame:
+    return pool(faces).select("g", "photo_id")
+
+
+def embeddings(faces: DataFrame, layer: str = "groups") -> DataFrame:
+    """Vectors of the faces in play: with display groups, with clusters and photos, or with ids only."""
+    return pool(faces).select(*{"groups": ("id", "g"), "clusters": ("cluster_id", "photo_id"), "all": ("id",)}[layer], "embedding")

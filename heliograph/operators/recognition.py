@@ -39,6 +39,12 @@ def auto_fold(photos: DataFrame, faces: DataFrame, params: Params = DEFAULT, tri
     return mutations.assign_clusters(mutations.clear_tentative(faces), fold_decisions(faces, params, trim))
 
 
+def settled(photos: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Prompts, none of them until the sweep has settled: half a library suggests what the rest corrects."""
+    ready = library.face_progress(photos).select((F.col("eligible") > 0) & (F.col("scanned") >= F.col("eligible")))
+    return prompts.filter(ready.scalar())
+
+
 def growth_claims(faces: DataFrame, identities: DataFrame, params: Params = DEFAULT, trim: bool = True) -> DataFrame:
     """(identity_id, name, g, photos, sim, claimants): clusters that people with names might own.
 
@@ -50,7 +56,7 @@ def growth_claims(faces: DataFrame, identities: DataFrame, params: Params = DEFA
     better = every.join(rival, "g").filter((F.col("other") != F.col("identity_id")) & (F.col("other_sim") > F.col("max_sim") + params.fold_margin))
     anchored = vectors.anchors(faces, params.anchor_size).groupBy("identity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= params.min_anchor)
     named = identities.filter("name is not null").select(F.col("id").alias("identity_id"), "name").join(anchored, "identity_id", "left_semi")
-    own = every.filter("g > 0").join(F.broadcast(named), "identity_id")
+    own = every.filter("g > 0").join(named, "identity_id")
     own = own.join(people.cooccurrence(faces), ["g", "identity_id"], "left_anti").join(better.select("g", "identity_id"), ["g", "identity_id"], "left_anti")
     claimants = F.count(F.lit(1)).over(Window.partitionBy("g"))
     return own.select("identity_id", "name", "g", F.col("size").alias("photos"), F.col("max_sim").alias("sim")).withColumn("claimants", claimants)
@@ -101,7 +107,7 @@ def merge_suggestions(photos: DataFrame, faces: DataFrame, identities: DataFrame
     plain = marked.filter("first is null")
     twins = marked.filter(F.col("first").isNotNull() & (F.col("similarity") >= params.same_photo_ask)).join(taken, "source", "left_anti")
     keep = lambda df, kind: df.select(F.lit(kind).alias("kind"), "target", "source", "target_name", "similarity", "photos", F.col("first.photo_id").alias("photo_id"))
-    return keep(plain, "pairwise").unionByName(keep(twins, "twin"))
+    return settled(photos, keep(plain, "pairwise").unionByName(keep(twins, "twin")))
 
 
 def review_queue(claims: DataFrame, merges: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -119,6 +125,17 @@ def review_queue(claims: DataFrame, merges: DataFrame, params: Params = DEFAULT)
     return every.filter(F.col("photos") >= params.review_photos).orderBy(F.desc("photos"), "ord", "subject", "other").limit(params.review_queue)
 
 
+def queue_summary(queue: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cards and photos that wait in the queue, and how many groups have a name."""
+    waiting = queue.agg(F.count(F.lit(1)).alias("cards"), F.coalesce(F.sum("photos"), F.lit(0)).cast("long").alias("photos"))
+    return waiting.withColumn("named", groups.filter("name is not null").agg(F.count(F.lit(1))).scalar())
+
+
+def reviewable(cards: DataFrame) -> DataFrame:
+    """People with groups that may be theirs: how many, and of how many photos."""
+    return cards.filter("tier = 'maybe'").groupBy("identity_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("photos").alias("photos"))
+
+
 def prune_cards(cards: DataFrame, touched: DataFrame) -> DataFrame:
     """Cards that name none of the groups that a decision touched."""
     gone = touched.select("g")

@@ -8,6 +8,8 @@ ranking.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 
 from heliograph.plans.params import DEFAULT, Params
 
-#: Vectors in a block; two blocks and their products are what a task holds.
-BLOCK = 2048
+#: Vectors in a block; a task holds two blocks, and products of STRIPE of one's rows with the other.
+BLOCK = 16384
+STRIPE = 512
+#: Anchors sent to all tasks at once; more are sent in turns.
+ANCHORS_AT_ONCE = 16384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,21 +43,25 @@ def knn(faces: DataFrame, k: int, min_sim: float, block: int = BLOCK) -> DataFra
     n = faces.count()
     blocks = max(1, -(-n // block))
     base = faces.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    rows = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    cols = base.select(F.col("block").alias("other"), F.col("id").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+    # Every two blocks meet once, on the side of the smaller number, and give neighbours both ways.
+    rows = base.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long"))))
+    cols = base.select(F.col("block").alias("other"), F.col("id").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("block"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"i": [], "j": []}).astype("int64")
         a, b = np.vstack(left["v"]), np.vstack(right["w"])
-        sims = a @ b.T
         i, j = left["id"].to_numpy(), right["j"].to_numpy()
+        sides = [(a, b, i, j)] if left["block"].iloc[0] == left["other"].iloc[0] else [(a, b, i, j), (b, a, j, i)]
+        found = [stripe(x[at : at + STRIPE] @ y.T, m[at : at + STRIPE], n) for x, y, m, n in sides for at in range(0, len(x), STRIPE)]
+        return pd.DataFrame({"i": np.concatenate([f[0] for f in found]), "j": np.concatenate([f[1] for f in found])})
+
+    def stripe(sims: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sims[i[:, None] == j[None, :]] = -np.inf
         keep = min(k, sims.shape[1])
         edge = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-        near = (sims >= np.maximum(edge, min_sim)[:, None] - 1e-9) & np.isfinite(sims)
-        r, c = np.nonzero(near)
-        return pd.DataFrame({"i": i[r], "j": j[c]})
+        r, c = np.nonzero((sims >= np.maximum(edge, min_sim)[:, None] - 1e-9) & np.isfinite(sims))
+        return i[r], j[c]
 
     pairs = rows.groupBy("block", "other").cogroup(cols.groupBy("block", "other")).applyInPandas(best, "i long, j long")
     left = base.select(F.col("id").alias("i"), F.col("v").alias("a"))
@@ -100,19 +109,45 @@ def anchors(faces: DataFrame, size: int) -> DataFrame:
 def anchor_matches(pool: DataFrame, core: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """(identity_id, g, size, matched, max_sim) for every group that most of matches a person.
 
-    A face's score is the mean of its best similarities to the person's anchors. People have
-    ``anchor_size`` anchors at most, gathered into one row each; each face meets each person once.
+    A face's score is the mean of its best similarities to the person's anchors. Anchors are sent
+    to the faces, ANCHORS_AT_ONCE at a time, and multiplied there; only scores that clear the bar
+    come back, so that faces are never shuffled and never meet people in a join.
     """
-    packed = core.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("anchors"))
+    counts = core.groupBy("identity_id").agg(F.count(F.lit(1)).alias("n"))
+    turns = counts.withColumn("turn", F.pmod(F.xxhash64("identity_id"), F.lit(max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // ANCHORS_AT_ONCE)))))
+    numbers = sorted(r["turn"] for r in turns.select("turn").distinct().collect())
     faces = pool.select("id", "g", "embedding")
-    met = faces.join(packed, F.col("g") != -F.col("identity_id"))
-    sims = F.transform("anchors", lambda a: dot(F.col("embedding"), a["embedding"]))
-    best = F.slice(F.sort_array(sims, asc=False), 1, params.anchor_top)
-    scored = met.select("identity_id", "g", best.alias("best"))
-    scored = scored.withColumn("score", F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best"))
-    hit = F.col("score") >= params.link
-    tally = scored.groupBy("identity_id", "g").agg(F.count(F.lit(1)).alias("size"), F.count_if(hit).alias("matched"), F.max(F.when(hit, F.col("score"))).alias("max_sim"))
-    return tally.filter((2 * F.col("matched") >= F.col("size")) & (F.col("matched") >= F.greatest(F.lit(1), F.least(F.lit(2), F.col("size")))))
+    hits = [_hits(faces, core.join(turns.filter(F.col("turn") == turn), "identity_id", "left_semi"), params) for turn in numbers]
+    if not hits:
+        hits = [faces.filter("false").select("g", F.lit(0).cast("long").alias("identity_id"), F.lit(0.0).alias("score"))]
+    tally = reduce(DataFrame.unionByName, hits).groupBy("identity_id", "g").agg(F.count(F.lit(1)).alias("matched"), F.max("score").alias("max_sim"))
+    sizes = faces.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    return tally.join(sizes, "g").select("identity_id", "g", "size", "matched", "max_sim").filter((2 * F.col("matched") >= F.col("size")) & (F.col("matched") >= F.greatest(F.lit(1), F.least(F.lit(2), F.col("size")))))
+
+
+def _hits(faces: DataFrame, core: DataFrame, params: Params) -> DataFrame:
+    """(g, identity_id, score) of every face and person, not its own, whose score is ``link`` or more."""
+    held = core.select("identity_id", "id", "embedding").orderBy("identity_id", "id").toPandas()  # one turn's anchors
+    if held.empty:
+        return faces.filter("false").select("g", F.lit(0).cast("long").alias("identity_id"), F.lit(0.0).alias("score"))
+    owners = held["identity_id"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+    shared = faces.sparkSession.sparkContext.broadcast((np.vstack(held["embedding"]).astype("float64"), owners[starts], starts))
+    top, bar = params.anchor_top, params.link
+
+    def run(batches):
+        mat, people_, at = shared.value
+        ends = np.append(at[1:], len(mat))
+        for batch in batches:
+            for lo in range(0, len(batch), STRIPE):
+                some = batch.iloc[lo : lo + STRIPE]
+                sims = np.vstack(some["embedding"]).astype("float64") @ mat.T
+                best = [-np.sort(-sims[:, a:b], axis=1)[:, :top].mean(axis=1) for a, b in zip(at, ends)]
+                scores, g = np.column_stack(best), some["g"].to_numpy()
+                r, c = np.nonzero((scores >= bar) & (g[:, None] != -people_[None, :]))
+                yield pd.DataFrame({"g": g[r], "identity_id": people_[c], "score": scores[r, c]})
+
+    return faces.mapInPandas(run, "g long, identity_id long, score double")
 
 
 def mean_normalized(faces: DataFrame, key: str) -> DataFrame:

@@ -220,7 +220,7 @@ def duplicate_keepers(spark, d):
     return kept.select("content_hash", "keeper", F.size("others").alias("others"))
 
 
-@query(GROUPS + "SELECT CAST(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS wasted, count(*) AS groups FROM dup")
+@query(GROUPS + "SELECT CAST(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS wasted, count(*) AS groups, (SELECT id FROM copies ORDER BY wasted_bytes DESC, content_hash, id LIMIT 1) AS cover FROM dup")
 def duplicate_waste_total(spark, d):
     return library.duplicate_totals(library.duplicate_groups(X.photos(spark, d)))
 
@@ -551,10 +551,10 @@ def incremental_assign(spark, d):
     return clusters.assign_batch(faces.filter("id % 5 <> 0"), faces.filter("id % 5 = 0"), SYNTHETIC)
 
 
-@query("WITH mean AS (SELECT identity_id, list(v ORDER BY pos) AS v FROM (SELECT identity_id, pos, sum(embedding[pos]::DOUBLE) AS v FROM faces, range(1, 65) r(pos) WHERE identity_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1) SELECT identity_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS x, round(v[64] / sqrt(list_inner_product(v, v)), 6) AS y FROM mean")
+@query("WITH mean AS (SELECT identity_id, list(v ORDER BY pos) AS v FROM (SELECT identity_id, pos, sum(embedding[pos]::DOUBLE) AS v FROM faces, range(1, 65) r(pos) WHERE identity_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1) SELECT identity_id, CAST(p - 1 AS INTEGER) AS pos, round(v[p] / sqrt(list_inner_product(v, v)), 6) AS x FROM mean, range(1, 65) r(p)")
 def mean_vectors(spark, d):
     means = vectors.mean_normalized(X.faces(spark, d).filter("identity_id is not null"), "identity_id")
-    return means.select("identity_id", F.round(F.get("mean", F.lit(0)), 6).alias("x"), F.round(F.get("mean", F.lit(63)), 6).alias("y"))
+    return means.select("identity_id", F.posexplode("mean").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -577,12 +577,14 @@ def mutation_detach(spark, d):
     return mutations.detach(faces, faces.filter("id % 4 = 0").select("id")).select("id", "identity_id", "confirmed")
 
 
-@query("SELECT id, identity_id, ignored, confirmed FROM faces")
+@query("""SELECT 'changed' AS state, id, CASE WHEN id % 3 = 0 THEN 4 ELSE identity_id END AS identity_id, CASE WHEN id % 3 = 0 THEN 1 ELSE ignored END AS ignored, CASE WHEN id % 3 = 0 THEN 1 ELSE confirmed END AS confirmed FROM faces
+UNION ALL SELECT 'restored', id, identity_id, ignored, confirmed FROM faces""")
 def mutation_undo_roundtrip(spark, d):
     faces = X.faces(spark, d)
     ids = faces.filter("id % 3 = 0").select("id")
     changed = mutations.ignore(mutations.set_person(faces, ids, 4), ids)
-    return mutations.restore(changed, mutations.capture(faces, ids)).select("id", "identity_id", "ignored", "confirmed")
+    rows = lambda df, state: df.select(F.lit(state).alias("state"), "id", "identity_id", "ignored", "confirmed")
+    return rows(changed, "changed").unionByName(rows(mutations.restore(changed, mutations.capture(faces, ids)), "restored"))
 
 
 @query("SELECT id, CASE WHEN confirmed = 1 THEN identity_id END AS identity_id FROM faces")
@@ -787,6 +789,18 @@ def greetings(spark, d):
     return spark.range(24).select(F.col("id").cast("int").alias("hour"), S.greeting(F.col("id")).alias("greeting"))
 
 
+@query("SELECT id, mtime AS ts FROM photos")
+def exif_dates_of_photos(spark, d):
+    text = F.date_format(S.when_of(F.col("mtime")), "yyyy:MM:dd HH:mm:ss")
+    return X.photos(spark, d).select("id", S.exif_datetime(text).alias("ts"))
+
+
+@query("SELECT id, '1/' || (id % 900 + 2) || 's' AS exposure, 'ISO ' || (id % 6400 + 50) AS iso, (id % 300 + 10) || 'mm' AS focal, 'ƒ/' || (id % 20 + 1) || '.5' AS f_number FROM photos")
+def exposure_labels_of_photos(spark, d):
+    i = F.col("id")
+    return X.photos(spark, d).select("id", S.exposure_label(1.0 / (i % 900 + 2)).alias("exposure"), S.iso_label(i % 6400 + 50).alias("iso"), S.focal_label((i % 300 + 10).cast("double")).alias("focal"), S.f_number_label(i % 20 + 1.5).alias("f_number"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 # Thumbnail states.
 PENDING, READY, FAILED, CLOUD, DOWNLOADING = 0, 1, 2, 3, 4
+# Whether a photo's faces were looked for; a claimed one is being worked on.
+UNSCANNED, SCANNED, CLAIMED = 0, 1, 2
 # File extensions that are photos.
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "heic", "heif")
 # English month names.
@@ -14,7 +16,7 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 @dataclass(frozen=True)
 class Params:
-    """Thresholds of the vector and decision engines."""
+    """Thresholds of the vector and decision engines. The defaults."""
 
     k: int = 10
     link: float = 0.5

@@ -9,10 +9,27 @@ import pandas as pd
 
 # EXIF tags, and bytes of the TIFF types.
 MAKE, MODEL, EXIF_AT, GPS_AT, TAKEN = 0x010F, 0x0110, 0x8769, 0x8825, 0x9003
+LENS, F_NUMBER, EXPOSURE, ISO, FOCAL, PIXELS_X, PIXELS_Y = 0xA434, 0x829D, 0x829A, 0x8827, 0x920A, 0xA002, 0xA003
 LAT_REF, LAT, LON_REF, LON = 1, 2, 3, 4
 WIDTH = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
+FIELDS = ("taken", "lat", "lon", "make", "model", "lens", "f_number", "exposure", "iso", "focal", "width", "height")
+
+
+def header_size(content: bytes) -> tuple[int | None, int | None]:
+    """Width and height from a PNG's or JPEG's header, without decoding."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return struct.unpack_from(">II", content, 16)
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 <= len(content) and content[at] == 0xFF:
+        marker, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):  # the frame's own segment
+            return tuple(reversed(struct.unpack_from(">HH", content, at + 5)))
+        at += 2 + size
+    return None, None
+
+
 def tiff_block(content: bytes) -> bytes | None:
     at = 2
     if content[:2] != b"\xff\xd8":
@@ -53,8 +70,8 @@ def _degrees(parts, ref, negative: str):
 
 
 def read(content: bytes | None) -> dict:
-    """taken, lat, lon, make, model; whatever can't be read is None."""
-    out = dict.fromkeys(("taken", "lat", "lon", "make", "model"))
+    """FIELDS of an image; whatever can't be read is None. Without EXIF dimensions the header's count."""
+    out = dict.fromkeys(FIELDS) | dict(zip(("width", "height"), header_size(content or b"")))
     try:
         tiff = tiff_block(content or b"")
         if not tiff:
@@ -63,7 +80,11 @@ def read(content: bytes | None) -> dict:
         first = directory(tiff, struct.unpack_from(order + "I", tiff, 4)[0], order)
         out |= {"make": first.get(MAKE), "model": first.get(MODEL)}
         if EXIF_AT in first:
-            out["taken"] = directory(tiff, first[EXIF_AT], order).get(TAKEN)
+            shot = directory(tiff, first[EXIF_AT], order)
+            ratio = lambda tag: next((v for v in shot.get(tag) or [] if v == v), None) if isinstance(shot.get(tag), list) else None
+            out |= {"taken": shot.get(TAKEN), "lens": shot.get(LENS), "iso": shot.get(ISO), "f_number": ratio(F_NUMBER), "exposure": ratio(EXPOSURE), "focal": ratio(FOCAL)}
+            if shot.get(PIXELS_X):
+                out |= {"width": shot[PIXELS_X], "height": shot.get(PIXELS_Y)}
         if GPS_AT in first:
             gps = directory(tiff, first[GPS_AT], order)
             out |= {"lat": _degrees(gps.get(LAT), gps.get(LAT_REF), "S"), "lon": _degrees(gps.get(LON), gps.get(LON_REF), "W")}
@@ -74,4 +95,4 @@ def read(content: bytes | None) -> dict:
 
 def read_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([{"path": p} | read(c) for p, c in zip(batch["path"], batch["content"])], columns=["path", "taken", "lat", "lon", "make", "model"])
+        yield pd.DataFrame([{"path": p} | read(c) for p, c in zip(batch["path"], batch["content"])], columns=["path", *FIELDS])

@@ -53,15 +53,32 @@ def upserts(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], g
     return run
 
 
-def identities(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], params: Params = DEFAULT) -> Callable[[DataFrame, int], None]:
+def identities(read: Callable[[], DataFrame], versions: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], params: Params = DEFAULT) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that gives new faces their clusters, dropping results of superseded files.
 
-    Faces carry the version of their photo's file; ``read`` gives the clustered faces with the
-    current versions, so a late result for an older file is left out.
+    Faces carry ``cache_key``, the version of their photo's file. ``versions`` gives the current
+    one of every photo (photo_id, cache_key); a late result for an older file is left out.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write(clusters.assign_batch(read(), batch, params), batch_id)
+        current = batch.join(versions().select("photo_id", "cache_key"), ["photo_id", "cache_key"], "left_semi")
+        write(clusters.assign_batch(read(), current, params), batch_id)
+
+    return run
+
+
+def coordinator(step: Callable[[DataFrame, int], None], queued: Callable[[], DataFrame], consolidate: Callable[[], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that works off a batch and, once the queue has drained, clusters all faces anew."""
+    worked = False
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        nonlocal worked
+        if batch.take(1):
+            step(batch, batch_id)
+            worked = True
+        if worked and not queued().take(1):
+            consolidate()
+            worked = False
 
     return run
 

@@ -140,3 +140,61 @@ def test_defaults_are_added_once(spark):
     out = files.with_defaults(df, {"size": ("long", 0), "hidden": ("int", 0)})
     assert tuple(out.first()) == (1, 5, 0)
     assert [r["value"] for r in mutations.latest_by_key(spark.createDataFrame([("a", "1")], "key string, value string"), spark.createDataFrame([("a", "2")], "key string, value string")).collect()] == ["2"]
+
+
+def test_fold_of_every_character(spark):
+    """The native fold against the exact one, for every assigned character of the basic plane and some beyond."""
+    import unicodedata
+
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)] if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    texts = [f"x{c}y" for c in chars] + ["Nguyễn Thị Ánh", "ΆΝΘΡΩΠΟΣ Ёлка й", "한국어 각", "e\u0301\u0327", "İstanbul"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.fold(F.col("t")).alias("f")).collect()
+    wrong = [texts[r["i"]] for r in got if r["f"] != S.fold_literal(texts[r["i"]])]
+    assert not wrong, [hex(ord(w[1])) for w in wrong][:20]
+
+
+def test_search_in_other_scripts(spark):
+    photos = spark.createDataFrame([(1, "/lib/Nguyễn/Ёлка.jpg"), (2, "/lib/Άνθρωπος/각.jpg"), (3, "/lib/plain.jpg")], "id long, path string").withColumns({"taken_ts": F.lit(None).cast("long"), "mtime": F.lit(0).cast("long")})
+    faces = spark.createDataFrame([], "identity_id long, photo_id long, ignored int")
+    people = spark.createDataFrame([], "id long, name string")
+    found = lambda q: [r["id"] for r in library.search(photos, q, faces, people).select("id").collect()]
+    assert found("nguyen елка") == [1] and found("ανθρωπος") == [2] and found("각") == [2] and found("zzz") == []
+
+
+def test_exif_detail(spark):
+    import struct
+
+    entry = lambda tag, kind, n, value: struct.pack("<HHI", tag, kind, n) + value
+    ratio = lambda a, b: struct.pack("<II", a, b)
+    first = struct.pack("<H", 1) + entry(0x8769, 4, 1, struct.pack("<I", 40)) + b"\0" * 4
+    shot = struct.pack("<H", 6) + entry(0x829A, 5, 1, struct.pack("<I", 150)) + entry(0x829D, 5, 1, struct.pack("<I", 158)) + entry(0x8827, 3, 1, struct.pack("<HH", 200, 0))
+    shot += entry(0x920A, 5, 1, struct.pack("<I", 166)) + entry(0xA002, 4, 1, struct.pack("<I", 4000)) + entry(0xA003, 4, 1, struct.pack("<I", 3000)) + b"\0" * 4
+    tiff = bytearray(b"II*\0" + struct.pack("<I", 8) + first).ljust(180, b"\0")
+    tiff[40 : 40 + len(shot)], tiff[150:174] = shot, ratio(1, 250) + ratio(18, 10) + ratio(50, 1)
+    body = b"Exif\0\0" + bytes(tiff)
+    jpeg = b"\xff\xd8\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xd9"
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
+    plain = b"\xff\xd8\xff\xc0\0\x11\x08" + struct.pack(">HH", 30, 40) + b"\0" * 9
+    images = spark.createDataFrame([("a", 1, jpeg), ("b", 1, png), ("c", 1, plain), ("d", 3, jpeg), ("e", 1, None)], "path string, thumb_status int, content binary")
+    got = {r["path"]: r for r in ingest.details(images).collect()}
+    assert "d" not in got  # it is in the cloud
+    assert [got["a"][k] for k in ("exposure", "f_number", "iso", "focal", "width", "height")] == ["1/250s", "ƒ/1.8", "ISO 200", "50mm", 4000, 3000]
+    assert (got["b"]["width"], got["b"]["height"]) == (640, 480) and (got["c"]["width"], got["c"]["height"]) == (40, 30) and got["e"]["width"] is None
+
+
+def test_late_results_and_drained_queue(spark):
+    from heliograph.streaming import watch
+
+    faces = "id long, photo_id long, cache_key string, embedding array<float>"
+    known = spark.createDataFrame([], "id long, cluster_id long, photo_id long, embedding array<float>")
+    batch = spark.createDataFrame([(1, 10, "new", [1.0, 0.0]), (2, 11, "old", [0.0, 1.0])], faces)
+    versions = spark.createDataFrame([(10, "new"), (11, "newer")], "photo_id long, cache_key string")
+    written, passes, queue = [], [], [True]
+    step = watch.identities(lambda: known, lambda: versions, lambda df, n: written.extend(r["id"] for r in df.collect()))
+    run = watch.coordinator(step, lambda: versions if queue[0] else versions.limit(0), lambda: passes.append(1))
+    run(batch, 0)
+    assert written == [1] and passes == []
+    queue[0] = False
+    run(batch.limit(0), 1)
+    run(batch.limit(0), 2)
+    assert passes == [1]

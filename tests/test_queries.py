@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from heliograph.plans import catalogue
+from heliograph.plans import catalogue, decisions
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,7 +31,7 @@ def rows(values, names):
     return sorted((tuple(rounded(r[i]) for i in order) for r in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(decisions.queries()))
 def test_matches_duckdb(spark, con, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     got = rows([tuple(r) for r in df.collect()], df.columns)
