@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds until nothing changes. Each round's edges are written to
     shared storage. A round needs minima by node and a join, both of which take a node with very
-    many edges apart: minima are pre-aggregated and the join may be split.
+    many edges apart: minima are pre-aggregated and written, so that the join can be split.
     """
     tidy = lambda e: e.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(tidy(edges), "edges")
@@ -22,14 +22,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(tidy(large), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         following = materialize(tidy(small), "edges")
-        drop(now)
-        drop(large)
+        for done in (now, large, least, low):
+            drop(done)
         seen = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now = following
         if seen == state:

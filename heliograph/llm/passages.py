@@ -200,6 +200,7 @@ def repeated_windows(texts: DataFrame, keyed: DataFrame, gone: DataFrame, size:
     drop_all(marked)
     here = place(F.col("at"))
     first = listed.groupBy("key", "hash").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(F.col("first") != F.col("last"))
+    first = materialize(first, "first-windows")  # written, so that the join with windows of very many texts can be split
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_id").isNotNull() | (F.col("_row") == F.col("first.own")))
     later = ~same | (F.col("at") - F.col("first.within") >= size)
     apart = (F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.own") == F.col("last.own"))) == F.lit(False)
@@ -208,6 +209,7 @@ def repeated_windows(texts: DataFrame, keyed: DataFrame, gone: DataFrame, size:
     found = held.groupBy("_row").agg(F.collect_set(cut).alias("starts"), F.collect_set(F.when(F.col("later") | F.col("apart"), F.col("at").cast("int"))).alias("again"), F.collect_set(F.when(F.col("later"), F.col("holder"))).alias("firsts"))
     found = materialize(found, "repeated-windows")
     drop_all(listed)
+    drop_all(first)
     return found
 
 
