@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.packing import slices
-from heliograph.llm.storage import scratch_path
+from heliograph.llm.storage import brief_shuffles, materialize, scratch_path
 from heliograph.llm.tokenizers import encoder, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,8 +63,10 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, tokenizer: str
     # Partial aggregation leaves a row per content and task, so a text with many copies moves once a task.
     distinct = keyed.groupBy("content").agg(F.first("text").alias("text"))
     misses = distinct.join(cache().select("content").distinct(), "content", "left_anti")
-    (_encode(misses, tokenizer).select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path))
+    with brief_shuffles(spark):
+        _encode(misses, tokenizer).select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
 
-    counts = cache().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have appended the same
+    # Two runs may have appended the same. Written, so that the join with contents of very many documents can be split.
+    counts = materialize(cache().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     sized = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
     return sized.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
