@@ -6,8 +6,10 @@
    agree on a part. ``minhash_keys`` bands MinHashes for high recall. Tasks combine their own
    rows first, so a key that very many texts share has one row a task.
 3. Texts that share keys form stars, and the stars' components are blocks: a link can only
-   lie within a block, and a text is in one block. Blocks are dealt into nodes of NODE_TEXTS
-   texts by size range; pairs of nodes with compatible sizes are the units of work.
+   lie within a block, and a text is in one block. In a block of more than NODE_TEXTS texts each is
+   first compared with the smallest that it shares a key with. The block is then dealt into nodes
+   by size range, those that such a centre connects apart; pairs of nodes with compatible sizes
+   that aren't connected already are the units of work.
 4. In a unit, texts form signature trees whose nodes hold OR-combined bitmaps and size ranges.
    A dual traversal drops pairs of nodes whose largest possible overlap is too small or which
    are connected already, and verifies the pairs of texts that remain on whole sets.
@@ -16,7 +18,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -366,23 +368,56 @@ def _verify(batches: Iterable[pa.RecordBatch], size: int, num: int, den: int) ->
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _units(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, unit, side) from (id, n, block): nodes of blocks by size range, and pairs of nodes."""
+def _spokes(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """(id, unit, side, centre): each member of a large block beside the smallest text that it shares a key with.
+
+    A centre is in a unit of its own for every NODE_TEXTS of its members.
+    """
+    large = members.join(members.groupBy("block").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > NODE_TEXTS), "block", "left_semi")
+    nearest = stars.filter(F.col("a") > F.col("b")).groupBy("a").agg(F.min("b").alias("centre")).withColumnRenamed("a", "id")
+    own = large.select("id").join(nearest, "id")
+    counts = own.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / NODE_TEXTS).alias("parts"))
+    unit = F.xxhash64("centre", "part").alias("unit")
+    side1 = counts.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.col("centre").alias("id"), unit, F.lit(1).alias("side"), "centre")
+    side2 = own.join(counts, "centre").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).select("id", unit, F.lit(2).alias("side"), "centre")
+    return side1.union(side2)
+
+
+def _tied(links: DataFrame, spokes: DataFrame) -> DataFrame:
+    """(id, tie): texts that are known to be connected through one centre, where that joins half a node or more."""
+    near = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a"))
+    own = spokes.filter("side = 2").join(near, (F.col("id") == F.col("x")) & (F.col("centre") == F.col("y")), "left_semi").select("id", F.col("centre").alias("tie"))
+    large = own.groupBy("tie").agg(F.count(F.lit(1)).alias("texts")).filter(2 * F.col("texts") >= NODE_TEXTS).select("tie")
+    mine = own.join(large, "tie").select("id", "tie")
+    # A centre is tied to its own members, unless it is a member elsewhere.
+    return mine.union(large.select(F.col("tie").alias("id"), "tie").join(mine, "id", "left_anti"))
+
+
+def _units(members: DataFrame, num: int, den: int, tied: DataFrame | None = None) -> DataFrame:
+    """(id, unit, side) from (id, n, block): nodes of blocks by size range, and pairs of nodes.
+
+    Texts that are ``tied`` (id, tie) are nodes of their own, which don't meet within a tie: they are
+    connected already. So near copies of one text, however many, cost no more than what is left.
+    """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int")  # similar sizes are one band apart, or two by rounding
     blocks = members.groupBy("block").agg(F.count(F.lit(1)).alias("texts"))
     sized = members.join(blocks, "block")
     small = sized.filter(F.col("texts") <= NODE_TEXTS).select("id", F.xxhash64("block").alias("unit"), F.lit(0).alias("side"))
     large = sized.filter(F.col("texts") > NODE_TEXTS).select("id", "block", band.alias("band"))
-    bands = large.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / NODE_TEXTS).alias("nodes"))
-    placed = large.join(bands, ["block", "band"]).withColumn("salt", F.pmod(F.xxhash64("id"), "nodes"))
-    nodes = bands.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1))).select("block", "band", "salt")
-    other = nodes.select("block", F.explode(F.sequence(F.col("band"), F.col("band") + 2)).alias("band"), F.col("band").alias("low"), F.col("salt").alias("low_salt"))
-    pairs = nodes.join(other, ["block", "band"]).filter((F.col("low") < F.col("band")) | (F.col("low_salt") <= F.col("salt")))
-    pairs = pairs.withColumn("unit", F.xxhash64("block", "low", "low_salt", "band", "salt"))
-    own = (F.col("low") == F.col("band")) & (F.col("low_salt") == F.col("salt"))
-    first = pairs.select("block", F.col("low").alias("band"), F.col("low_salt").alias("salt"), "unit", F.when(own, 0).otherwise(1).alias("side"))
-    second = pairs.filter(~own).select("block", "band", "salt", "unit", F.lit(2).alias("side"))
-    return small.union(placed.join(first.union(second), ["block", "band", "salt"]).select("id", "unit", "side"))
+    large = large.join(tied, "id", "left") if tied is not None else large.withColumn("tie", F.lit(None).cast("long"))
+    large = large.withColumns({"loose": F.col("tie").isNull(), "tie": F.coalesce("tie", F.lit(0).cast("long"))})
+    kind = ("loose", "tie")
+    bands = large.groupBy("block", "band", *kind).agg(F.ceil(F.count(F.lit(1)) / NODE_TEXTS).alias("nodes"))
+    placed = large.join(bands, ["block", "band", *kind]).withColumn("salt", F.pmod(F.xxhash64("id"), "nodes"))
+    nodes = bands.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1))).select("block", "band", F.struct(*kind, "salt").alias("node"))
+    other = nodes.select("block", F.explode(F.sequence(F.col("band"), F.col("band") + 2)).alias("band"), F.col("band").alias("low"), F.col("node").alias("low_node"))
+    connected = ~F.col("node.loose") & ~F.col("low_node.loose") & (F.col("node.tie") == F.col("low_node.tie"))
+    pairs = nodes.join(other, ["block", "band"]).filter(((F.col("low") < F.col("band")) | (F.col("low_node") <= F.col("node"))) & ~connected)
+    pairs = pairs.withColumn("unit", F.xxhash64("block", "low", "low_node", "band", "node"))
+    own = (F.col("low") == F.col("band")) & (F.col("low_node") == F.col("node"))
+    first = pairs.select("block", F.col("low").alias("band"), "low_node.*", "unit", F.when(own, 0).otherwise(1).alias("side"))
+    second = pairs.filter(~own).select("block", "band", "node.*", "unit", F.lit(2).alias("side"))
+    return small.union(placed.join(first.union(second), ["block", "band", *kind, "salt"]).select("id", "unit", "side"))
 
 
 def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of: Callable) -> DataFrame:
@@ -398,26 +433,37 @@ def similar_components(texts: DataFrame, size: int, num: int, den: int, keys_of:
     return components_of(summary, keyed, wanted, size, num, den)
 
 
+def _links(units: DataFrame, texts_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect the similar texts of every unit (id, unit, side)."""
+    rows = texts_of(units.select("id").distinct()).join(units.select("id", "unit", "side"), "id").select("unit", "side", "id", "text")
+    ordered = rows.repartition("unit").sortWithinPartitions("unit", "side", "id")
+    return ordered.mapInArrow(partial(_verify, size=size, num=num, den=den), "a long, b long")
+
+
 def components_of(summary: DataFrame, keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int) -> DataFrame:
     """``similar_components`` of texts given by ``summary`` (id, n, d0, d1) and ``keyed`` (key, id, other).
 
     ``texts_of`` gives (id, text), a row each, of the ids asked for.
     """
     known = summary.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.first("n").alias("n"))
-    first = materialize(known.join(classes.drop("n"), ["d0", "d1"]).select("id", "first", "n").distinct(), "set-classes")
+    least = materialize(known.groupBy("d0", "d1").agg(F.min("id").alias("first")), "set-firsts")  # written, so that the join with very large classes can be split
+    first = materialize(known.join(least, ["d0", "d1"]).select("id", "first", "n").distinct(), "set-classes")
 
     stars = materialize(keyed.repartition("key").mapInArrow(_meet, "a long, b long").distinct(), "stars")
     named = stars.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     blocks = connected_components(named.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
 
     members = materialize(blocks.withColumnRenamed("component", "block").join(first.filter(F.col("id") == F.col("first")).select("id", "n"), "id"), "block-members")
-    units = materialize(_units(members, num, den), "units")
-    rows = texts_of(units.select("id").distinct()).join(units, "id").select("unit", "side", "id", "text")
-    ordered = rows.repartition("unit").sortWithinPartitions("unit", "side", "id")
-    links = ordered.mapInArrow(partial(_verify, size=size, num=num, den=den), "a long, b long")
-    found = materialize(connected_components(links), "components")
-    for done in (stars, members, units):
+    pair = named.select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter(F.col("a") != F.col("b"))
+    spokes = materialize(_spokes(members, pair.union(pair.select("b", "a"))), "spokes")
+    links, tied = [], None
+    if spokes.take(1):
+        links.append(materialize(_links(spokes, texts_of, size, num, den), "spoke-links"))
+        tied = _tied(links[0], spokes)
+    units = materialize(_units(members, num, den, tied), "units")
+    links.append(_links(units, texts_of, size, num, den))
+    found = materialize(connected_components(reduce(DataFrame.union, links)), "components")
+    for done in (stars, members, spokes, units, *links[:-1]):
         drop_all(done)
 
     named = first.select("id", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))

@@ -122,6 +122,23 @@ def test_join_splits_large_blocks(spark, monkeypatch):
     check_join(spark, docs)
 
 
+def test_large_block_of_near_texts(spark, monkeypatch):
+    """Near copies of one text meet its first copy and what that leaves, not each other."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for d in range(400):
+        own = list(base)
+        for _ in range(min(d, rng.randrange(0, 4))):
+            own[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        docs.append((d, " ".join(own)))
+    monkeypatch.setattr(similar, "NODE_TEXTS", 32)
+    rows, kept = [], similar._units
+    monkeypatch.setattr(similar, "_units", lambda *a: rows.append((out := kept(*a)).count()) or out)
+    check_join(spark, docs)
+    assert rows[0] < 400 * 400 / 32 / 3
+
+
 def test_join_generated_documents(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert len(set(check_join(spark, docs).values())) < len(docs)
