@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.llm.storage import materialize
+from heliograph.llm.storage import fresh_names, materialize
 from heliograph.llm.words import BROADCAST_ROWS, gram_hash, small_side, words
 
 WINDOW = 10
@@ -105,7 +105,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of ``docs`` that hold no window; a row without a doc_id is judged with all such rows."""
-    found = decontaminate(docs, items, window, shingle).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    found = materialize(found, "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti").select(*docs.columns)
+    """Rows of ``docs`` that hold no window. Each row is judged by its own text, whatever its doc_id.
+
+    Null and empty texts hold none and stay; repeated rows share a fate; an empty table gives no rows.
+    """
+    tag, = fresh_names(docs.columns, "tag")
+    found = decontaminate(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, window, shingle)
+    found = materialize(found.filter("contaminated").select(F.col("doc_id").alias(tag)).distinct(), "contaminated")
+    return docs.withColumn(tag, F.xxhash64("text")).join(found, tag, "left_anti").select(*docs.columns)

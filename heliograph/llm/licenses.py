@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heliograph.llm.storage import materialize
-from heliograph.llm.words import gram_hash, small_side, words
+from heliograph.llm.words import BROADCAST_ROWS, gram_hash, small_side, words
 
 K = 2
 # Phrases that must stand word for word, and their labels.
@@ -72,8 +72,11 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> D
     templates = default_templates() if templates is None else templates
     cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
     at = cut.select("row", "doc_id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("at", "word")).drop("word")
-    voted = at.withColumn("hash", gram_hash("words", "at", K)).join(template_grams(spark, templates), "hash", "left")
-    same = F.col("template").isNotNull() & (F.slice("words", F.col("at") + 1, K) == F.col("gram"))
+    hashed, grams, here = at.withColumn("hash", gram_hash("words", "at", K)), template_grams(spark, templates), F.slice("words", F.col("at") + 1, K)
+    if sum(len(t.words) for t in templates) > BROADCAST_ROWS:  # a gram, and not the document's words, is shuffled then
+        hashed, here = hashed.withColumn("here", F.when(F.col("at").isNotNull(), here)).drop("words"), F.col("here")
+    voted = hashed.join(grams, "hash", "left")
+    same = F.col("template").isNotNull() & (here == F.col("gram"))
     last = F.col("at").isNull() | (F.col("at") == F.col("n_words") - 1)
     voted = voted.withColumn("same", F.coalesce(same, F.lit(False))).filter(F.col("same") | last)
     keep = lambda name: F.when(F.col("same"), F.col(name)).alias(name)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.similar import partition_keys, similar_components
+from heliograph.llm.storage import fresh_names, materialize
 from heliograph.llm.substring_dedup import numbered
 
 SIZE = 3
@@ -35,11 +36,13 @@ def keep_one(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN)
     are alike, one stays. Rows without a doc_id come after all others, and ties are settled in
     order of reading. Rows without words are linked with nothing and all stay.
     """
-    rows = numbered(docs)
+    number, = fresh_names(docs.columns, "row_number")
+    rows = numbered(docs, number)
+    own = rows.select(F.col(number).alias("id"), "doc_id", "text")
     keys = partial(partition_keys, num=num, den=den)
-    found = similar_components(rows.select(F.col("_row").alias("id"), "text"), size, num, den, keys)
-    placed = rows.select("_row", "doc_id").join(found.select(F.col("id").alias("_row"), "component"), "_row")
-    placed = placed.select("_row", "component", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row").alias("place"))
-    first = placed.groupBy("component").agg(F.min("place").alias("first"))
-    later = placed.join(first, "component").filter(F.col("_row") != F.col("first._row")).select("_row")
-    return rows.join(later, "_row", "left_anti").select(*docs.columns)
+    found = similar_components(own.select("id", "text"), size, num, den, keys)
+    placed = own.select("id", "doc_id").join(found.select("id", "component"), "id")
+    placed = placed.select("id", "component", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id").alias("place"))
+    first = materialize(placed.groupBy("component").agg(F.min("place").alias("first")), "group-firsts")
+    later = placed.join(first, "component").filter(F.col("id") != F.col("first.id")).select(F.col("id").alias(number))
+    return rows.join(later, number, "left_anti").select(*docs.columns)

@@ -33,6 +33,38 @@ def test_extra_columns_survive(spark, sf_dir):
     assert set(language_id.identify(docs, model).columns) >= set(docs.columns)
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _id int, _gone int, tag string, left int, row long, _row int, component int"
+ENGLISH = "the quick brown fox and the lazy dog went to the river in the morning and it was cold"
+
+
+def rows_of(spark, texts):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, 2, "t", 3, 4, 5, 6) for d, t in texts], COLUMNS)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty, very long and repeated rows, rows without a doc_id, clashing names, and empty tables."""
+    long = " ".join(f"w{i}" for i in range(30000))
+    odd = rows_of(spark, [(1, ENGLISH), (1, ENGLISH), (1, ENGLISH + " indeed it was"), (None, ENGLISH), (2, None), (3, ""), (4, " \n "), (5, long), (None, None), (6, "one line\n" + ENGLISH)])
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 100").first()["text"]
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect() if r["text"])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf_dir)
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
+        if name != "packing":
+            assert got.columns == odd.columns, name
+        if name == "line_dedup":  # the row without a doc_id comes first, so that all others lose the line
+            assert texts(got) == [("4", " \n "), ("5", long), ("6", "one line"), ("None", ENGLISH)]
+            assert sum(r["text"] == "" for r in got.collect()) == 1 and sum(r["text"] is None for r in got.collect()) == 2
+        if name == "ngram_join":
+            assert [d for d, t in texts(got) if t == ENGLISH] == ["1"] and got.count() == 8
+        if name == "decontamination":
+            assert got.count() == odd.count()
+            more = odd.unionByName(rows_of(spark, [(1, f"before {benchmark} after")]))
+            assert texts(stage(spark, more, sf_dir)) == texts(odd)  # only the row that holds it goes
+        if name == "packing":
+            assert got.count() >= odd.count()
+
+
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}

@@ -2,6 +2,7 @@
 
 import random
 
+import brute
 import duckdb
 import public_tokenizers
 import pytest
@@ -120,6 +121,59 @@ def test_chains_and_likeness(spark, sf_dir):
             assert abs(got[d]["near_edited"] - jaccard(own, other)) < 1e-9 and abs(got[d]["near_next"] - jaccard(own, follows)) < 1e-9
 
 
+def diagonal_votes(text, templates):
+    """(labels, score) by plain loops over every place of every template."""
+    w, labels, score = brute.words(text), set(), 0.0
+    for t in templates:
+        places = {}
+        for at in range(len(w) - 1):
+            for p in range(len(t.words) - 1):
+                if (w[at], w[at + 1]) == t.words[p : p + 2]:
+                    places.setdefault(at - p, set()).add(p)
+        if t.base:
+            if any(len(held) == len(t.words) - 1 for held in places.values()):
+                labels.add(t.label)
+                score = 1.0
+            continue
+        spans, before = [], None
+        for diagonal in sorted(places):
+            if before is None or diagonal - before > licenses.NEIGHBOURS:
+                spans.append(set())
+            spans[-1] |= places[diagonal]
+            before = diagonal
+        for span in spans:
+            cover = len({q for p in span for q in (p, p + 1)}) / len(t.words)
+            if cover >= licenses.COVER:
+                labels.add(t.label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), score
+
+
+@pytest.mark.parametrize("rows_at_once", [200_000, 0])
+def test_license_votes(spark, sf_dir, monkeypatch, rows_at_once):
+    from heliograph.llm import words
+
+    monkeypatch.setattr(words, "BROADCAST_ROWS", rows_at_once)
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", rows_at_once)
+    rng, templates = random.Random(4), licenses.default_templates()
+    docs = []
+    for d in range(120):
+        own = []
+        for _ in range(rng.randrange(1, 4)):
+            part = list(rng.choice(templates).words)
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.randrange(len(part))
+                part[at : at + rng.randrange(0, 2)] = rng.choice([[], ["odd"], ["two", "odd"]])
+            own += ["and"] * rng.randrange(0, 3) + part
+        docs.append((d, " ".join(own)))
+    docs += [(1000 + d, t) for d, t in small(spark, sf_dir)] + [(9000, None), (9001, ""), (9002, LONG)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, docs)).collect()}
+    for d, t in docs:
+        labels, score = diagonal_votes(t, templates)
+        assert (got[d]["labels"], round(got[d]["score"], 9)) == (labels, round(score, 9)), t
+    assert len({got[d]["labels"] for d in range(120)}) > 10
+
+
 def test_fingerprints(spark, sf_dir):
     for docs in (ODD, [], [(5, "only one of the rows")], small(spark, sf_dir)):
         got = fingerprints.fingerprint_documents(frame(spark, docs)).collect()
