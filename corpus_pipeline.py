@@ -18,30 +18,39 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told clearly; learned from those outside the held-out fold."""
+    """Documents whose language is told clearly; learned from those outside the held-out fold.
+
+    Null texts and texts without a letter go, and so do ties. Repeated rows stay as they are.
+    """
     model = language_id.fit(docs.filter(~language_id.held_out()))
     found = language_id.identify(docs, model)
     return found.filter(~F.col("rejected")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later matching lines; n_chars follows the text; emptied ones go."""
+    """Documents without later matching lines; n_chars follows the text; emptied ones go.
+
+    Null, empty and wordless texts stay. Repeated rows are one place and stay for the next stage.
+    """
     left = line_dedup.dedup_lines(docs, drop_emptied=True).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first by doc_id, of each group of similar ones."""
+    """One document, the first by doc_id, of each group of similar ones; one of repeated rows.
+
+    Null, empty and wordless texts are like nothing and stay. Rows without a doc_id come last.
+    """
     return ngram_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences; a null or empty text is one end token."""
     return packing.pack(docs)
 
 
