@@ -23,14 +23,19 @@ def unit_rows(vectors_: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def complete_linkage(ids: list[int], mat: np.ndarray, edges: list[tuple[float, int, int]], tau: float, photo: dict, identity: dict, apart: set, exempt: set) -> list[int]:
-    """A group number for every id. Edges (sim, a, b) hold positions; the strongest goes first, ties by position."""
+def complete_linkage(ids: list[int], mat: np.ndarray, edges: list[tuple[float, int, int]], tau: float, photo: dict, identity: dict, apart: set, exempt: set, names: dict | None = None) -> list[int]:
+    """A group number for every id. Edges (sim, a, b) hold positions; the strongest goes first, ties by position.
+
+    People in ``apart`` never meet, nor do people of different ``names``.
+    """
+    named = names or {}
+    differ = lambda p, q: (min(p, q), max(p, q)) in apart or (named.get(p) is not None and named.get(q) is not None and named[p] != named[q])
     owner = list(range(len(ids)))
     members = [[i] for i in owner]
     people = [{identity[f]} if f in identity else set() for f in ids]
     for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
         x, y = owner[a], owner[b]
-        if x == y or any((min(p, q), max(p, q)) in apart for p in people[x] for q in people[y]):
+        if x == y or any(differ(p, q) for p in people[x] for q in people[y]):
             continue
         clash = any(
             photo.get(ids[i]) is not None and photo.get(ids[i]) == photo.get(ids[j]) and (min(ids[i], ids[j]), max(ids[i], ids[j])) not in exempt
@@ -63,27 +68,35 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, component): the smallest id that edges (a, b) lead to, for every id."""
     both = _cut(edges.select("a", "b").union(edges.select("b", "a")))
     label = ids.select("id", F.col("id").alias("component"))
-    while True:
+
+    def lowered(label: DataFrame) -> DataFrame:
+        """Labels after a look at all neighbours, and then at the label of the label."""
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        joined = label.join(near, label["id"] == near["a"], "left")
-        moved = joined.select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
+        moved = label.join(near, label["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
         hop = moved.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        moved = _cut(moved.join(hop, "component").select("id", F.least("component", "far").alias("component"), "was"))
+        return moved.join(hop, "component").select("id", F.least("component", "far").alias("component"))
+
+    while True:
+        twice = lowered(lowered(label)).withColumnRenamed("component", "now")  # two rounds for each time that lineage is cut
+        moved = _cut(twice.join(label, "id").select("id", F.col("now").alias("component"), (F.col("now") != F.col("component")).alias("moved")))
         label = moved.select("id", "component")
-        if not moved.filter("component <> was").take(1):
+        if not moved.filter("moved").take(1):
             return label
 
 
 def recluster(faces: DataFrame, params: Params = DEFAULT, photo_of: DataFrame | None = None, identity_of: DataFrame | None = None, cannot_link: DataFrame | None = None, same_photo_ok: DataFrame | None = None) -> DataFrame:
     """(id, cluster): pure groups of faces, numbered from 1 by their smallest face.
 
-    ``photo_of`` (id, photo_id) and ``identity_of`` (id, identity_id) may name any subset of faces.
-    Constraint pairs are what the user said, and are sent along with every component.
+    ``photo_of`` (id, photo_id) and ``identity_of`` (id, identity_id, and name if people of different
+    names are different people) may name any subset of faces. Names are compared within each
+    component. Constraint pairs are what the user said, and are sent along with every component.
     """
     spark = faces.sparkSession
     edges = vectors.candidate_edges(vectors.knn(faces, params.k, params.link))
     label = components(edges, faces)
     rows = faces.select("id", "embedding").join(label, "id")
+    titled = identity_of is not None and "name" in identity_of.columns
+    rows = rows.join(identity_of.select("id", "name"), "id", "left") if titled else rows.withColumn("name", F.lit(None).cast("string"))
     for extra, name in ((photo_of, "photo_id"), (identity_of, "identity_id")):
         rows = rows.join(extra.select("id", name), "id", "left") if extra is not None else rows.withColumn(name, F.lit(None).cast("long"))
     per = edges.join(label.withColumnRenamed("id", "a"), "a")
@@ -96,8 +109,9 @@ def recluster(faces: DataFrame, params: Params = DEFAULT, photo_of: DataFrame |
         at = {f: i for i, f in enumerate(ids)}
         photo = {f: int(p) for f, p in zip(ids, nodes["photo_id"]) if not pd.isna(p)}
         person = {f: int(p) for f, p in zip(ids, nodes["identity_id"]) if not pd.isna(p)}
+        names = {int(p): n for p, n in zip(nodes["identity_id"], nodes["name"]) if not pd.isna(p) and not pd.isna(n)}
         links = [(s, at[a], at[b]) for a, b, s in zip(own["a"], own["b"], own["sim"])]
-        owner = complete_linkage(ids, unit_rows(np.vstack(nodes["embedding"])), links, tau, photo, person, apart.value, exempt.value)
+        owner = complete_linkage(ids, unit_rows(np.vstack(nodes["embedding"])), links, tau, photo, person, apart.value, exempt.value, names)
         first: dict[int, int] = {}
         for f, o in zip(ids, owner):
             first.setdefault(o, f)

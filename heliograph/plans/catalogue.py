@@ -506,9 +506,8 @@ def review_queue(spark, d):
 
 def _clusters(spark, d):
     faces = X.faces(spark, d)
-    named = faces.filter("confirmed = 1").select("id", "identity_id")
-    apart = people.constraint_union(X.cannot_link(spark), people.implicit_cannot_links(X.identities(spark)))
-    return faces, clusters.recluster(faces, SYNTHETIC, faces.select("id", "photo_id"), named, apart, people.double_detections(faces, 0.4).select("a", "b"))
+    named = faces.filter("confirmed = 1").select("id", "identity_id").join(X.identities(spark).select(F.col("id").alias("identity_id"), "name"), "identity_id", "left")
+    return faces, clusters.recluster(faces, SYNTHETIC, faces.select("id", "photo_id"), named, X.cannot_link(spark), people.double_detections(faces, 0.4).select("a", "b"))
 
 
 @query()
