@@ -218,17 +218,80 @@ class Index:
         return found
 
 
+def _near_known(known: DataFrame, arrivals: DataFrame, params: Params) -> DataFrame:
+    """(id, other, cluster, sim, low, n) of arrivals against the known faces, which stay where they are.
+
+    Rows with ``sim`` are an arrival's best faces of a part of the known ones; rows with ``low`` say
+    that all ``n`` faces of a cluster in that part are at least so similar to it.
+    """
+    fields, held = "id long, other long, cluster long, sim double, low double, n long", arrivals.select("id", "embedding").orderBy("id").toPandas()
+    if held.empty:
+        return known.sparkSession.createDataFrame([], fields)
+    shared = known.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), unit_rows(np.vstack(held["embedding"]))))
+    k, link = params.k, params.link
+
+    def run(batches):
+        ids, mat = shared.value
+        for batch in batches:
+            own = batch.sort_values("cluster_id", kind="stable")
+            cluster, other = own["cluster_id"].to_numpy(), own["id"].to_numpy()
+            sims = unit_rows(np.vstack(own["embedding"])) @ mat.T
+            start = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+            low, n = np.minimum.reduceat(sims, start, axis=0), np.diff(np.append(start, len(cluster)))
+            c, a = np.nonzero(low >= link)
+            yield pd.DataFrame({"id": ids[a], "other": 0, "cluster": cluster[start][c], "sim": None, "low": low[c, a], "n": n[c]})
+            edge = -np.partition(-sims, min(k, len(sims)) - 1, axis=0)[min(k, len(sims)) - 1]
+            r, a = np.nonzero((sims >= edge) & (sims >= link))
+            yield pd.DataFrame({"id": ids[a], "other": other[r], "cluster": cluster[r], "sim": sims[r, a], "low": None, "n": 0})
+
+    return known.select("id", "cluster_id", "embedding").mapInPandas(run, fields)
+
+
 def assign_batch(known: DataFrame, arrivals: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(id, cluster) for new faces in id order; each sees those before it, so the batch is one task's work."""
+    """(id, cluster) for a batch of new faces in id order; each sees those before it.
 
-    def solve(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        index = Index(old["cluster_id"].tolist(), old["photo_id"].tolist(), np.vstack(old["embedding"]) if len(old) else np.zeros((0, 1)), params)
+    The batch is sent to the known faces, and only its best ones, and the clusters that are
+    similar enough as a whole, come back. What arrivals do to each other is serial, so the batch
+    alone is one task's work; its size is the caller's.
+    """
+    found = _cut(_near_known(known, arrivals, params))
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    top = found.filter("sim IS NOT NULL").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.k)
+    top = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "cluster", "sim"))).alias("top"))
+    sizes = known.groupBy(F.col("cluster_id").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    whole = found.filter("low IS NOT NULL").groupBy("id", "cluster").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    whole = whole.join(sizes, "cluster").filter(F.col("n") == F.col("size")).groupBy("id").agg(F.collect_set("cluster").alias("fits"))
+    barred = arrivals.select("id", "photo_id").join(known.select("photo_id", F.col("cluster_id").alias("cluster")), "photo_id").groupBy("id").agg(F.collect_set("cluster").alias("barred"))
+    last = known.agg(F.coalesce(F.max("cluster_id"), F.lit(0)).alias("last"))
+    rows = arrivals.select("id", "photo_id", "embedding").join(top, "id", "left").join(whole, "id", "left").join(barred, "id", "left").withColumn("last", last.scalar())
+
+    def solve(new: pd.DataFrame) -> pd.DataFrame:
         new = new.sort_values("id")
-        return pd.DataFrame({"id": new["id"], "cluster": [index.assign(v, p) for v, p in zip(new["embedding"], new["photo_id"])]}).astype("int64")
-
-    one = F.lit(0).alias("one")
-    columns = ("photo_id", "embedding")
-    return known.select(one, "id", "cluster_id", *columns).groupBy("one").cogroup(arrivals.select(one, "id", *columns).groupBy("one")).applyInPandas(solve, "id long, cluster long")
+        mat, photo, first_new = unit_rows(np.vstack(new["embedding"])), new["photo_id"].tolist(), int(new["last"].iloc[0]) + 1
+        assigned: list[int] = []
+        following = first_new
+        listed = lambda v: list(v) if hasattr(v, "__len__") else []
+        for t, (best, fits, away) in enumerate(zip(new["top"], new["fits"], new["barred"])):
+            sims = mat[:t] @ mat[t]
+            near = [(-float(r["sim"]), 0, int(r["rank"]), int(r["cluster"])) for r in listed(best)] + [(-float(sims[j]), 1, j, assigned[j]) for j in np.flatnonzero(sims >= params.link)]
+            near = sorted(near)[: params.k]
+            out = {int(c) for c in listed(away)} | {assigned[j] for j in range(t) if photo[j] == photo[t]}
+            able = {int(c) for c in listed(fits)}
+            lowest: dict[int, float] = defaultdict(lambda: np.inf)
+            for j in range(t):
+                lowest[assigned[j]] = min(lowest[assigned[j]], float(sims[j]))
+            votes = Counter(c for *_, c in near)
+            good = [(-n, c) for c, n in votes.items() if n >= params.min_votes and c not in out and (c >= first_new or c in able) and lowest[c] >= params.link]
+            if near and -near[0][0] >= params.duplicate and near[0][3] not in out:
+                choice = near[0][3]
+            elif good:
+                choice = min(good)[1]
+            else:
+                choice, following = following, following + 1
+            assigned.append(choice)
+        return pd.DataFrame({"id": new["id"], "cluster": assigned}).astype("int64")
+
+    return rows.groupBy(F.lit("batch").alias("one")).applyInPandas(solve, "id long, cluster long")
 
 
 def suppress(boxes: list[tuple[float, float, float, float]], scores: list[float], iou: float = 0.4) -> list[int]:

@@ -163,6 +163,51 @@ def test_incremental_votes(spark):
     assert {r["id"]: r["cluster"] for r in clusters.assign_batch(known, new).collect()} == {50: 1, 51: 2}
 
 
+def test_batches_give_what_an_index_gives(spark):
+    """Arrivals by distributed neighbours against one index that sees every face in turn."""
+    rng = np.random.default_rng(5)
+    mat = rng.normal(size=(160, 4)).astype(np.float32)
+    params = DEFAULT.__class__(**{**DEFAULT.__dict__, "k": 5, "link": 0.55, "duplicate": 0.97})
+    photo = [int(x) for x in rng.integers(0, 60, 160)]
+    cluster = [int(x) for x in np.argmax(mat[:90] @ rng.normal(size=(4, 9)), axis=1) + 1]
+    known = spark.createDataFrame([(i, cluster[i], photo[i], mat[i].tolist()) for i in range(90)], "id long, cluster_id long, photo_id long, embedding array<float>").repartition(5)
+    new = spark.createDataFrame([(i, photo[i], mat[i].tolist()) for i in range(90, 160)], "id long, photo_id long, embedding array<float>")
+    index = clusters.Index(cluster, photo[:90], mat[:90].astype(float), params)
+    want = {i: index.assign(mat[i].astype(float), photo[i]) for i in range(90, 160)}
+    assert {r["id"]: r["cluster"] for r in clusters.assign_batch(known, new, params).collect()} == want
+    assert len({c for c in want.values() if c < index.next}) > 5
+    assert clusters.assign_batch(known, new.limit(0), params).count() == 0
+    assert {r["cluster"] for r in clusters.assign_batch(known.limit(0), new.limit(1), params).collect()} == {1}
+
+
+def test_matches_with_anchor_cores(spark, sf_dir):
+    """The default, trimmed form by plain loops: anchors, their dominant look, scores, and groups that match."""
+    from heliograph.operators import recognition
+    from heliograph.plans.catalogue import LOOSE
+    from heliograph.sources import fixtures
+
+    table = fixtures.faces(spark, sf_dir)
+    every = [r for r in table.collect() if r["cluster_id"] is not None and not r["ignored"]]
+    pool = [(r["id"], -r["identity_id"] if r["identity_id"] else r["cluster_id"], np.array(r["embedding"], dtype=np.float64)) for r in every]
+    core = {}
+    for person in {r["identity_id"] for r in every if r["confirmed"] == 1 and r["identity_id"]}:
+        own = sorted((r for r in every if r["identity_id"] == person and r["confirmed"] == 1), key=lambda r: (-r["score"], r["id"]))[: LOOSE.anchor_size]
+        vectors_ = np.array([r["embedding"] for r in own], dtype=np.float64)
+        if len(own) >= LOOSE.core_floor:
+            biggest = max(reversed(clusters.leader_groups(vectors_, LOOSE.core_tau)), key=len)
+            vectors_ = vectors_[sorted(biggest)] if 2 * len(biggest) >= len(own) else vectors_
+        core[person] = vectors_
+    want = {}
+    for person, anchors_ in core.items():
+        for g in {g for _, g, _ in pool if g != -person}:
+            scores = [float(np.sort(anchors_ @ v)[::-1][: LOOSE.anchor_top].mean()) for _, h, v in pool if h == g]
+            hits = [x for x in scores if x >= LOOSE.link]
+            if 2 * len(hits) >= len(scores) and len(hits) >= max(1, min(2, len(scores))):
+                want[(person, g)] = (len(scores), len(hits), round(max(hits), 6))
+    got = {(r["identity_id"], r["g"]): (r["size"], r["matched"], round(r["max_sim"], 6)) for r in recognition.matches(table, LOOSE).collect()}
+    assert got == want and want
+
+
 def test_leaders_and_core(spark):
     mat = np.array([blob(0, 0), blob(8, 0), blob(0, 1), blob(8, 1), blob(0, 2)])
     assert clusters.leader_groups(mat, 0.5) == [[0, 2, 4], [1, 3]]
