@@ -167,20 +167,20 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float, part
     return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def later_classes(docs: DataFrame, classes: DataFrame, pairs: DataFrame, settled: DataFrame | None, similarity: float) -> DataFrame:
+def later_classes(docs: DataFrame, places: DataFrame, pairs: DataFrame, settled: DataFrame | None, similarity: float) -> DataFrame:
     """(id) of classes in ``pairs`` that are similar to an earlier class of theirs, by their words; ``settled`` ones aren't asked.
 
     Of each class one pair is verified first, and the others only if that settles nothing.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = materialize(classes.join(ids, "id", "left_semi").select("id", "k0", "k1", "first"), "wanted-classes")
+    wanted = materialize(places.join(ids, "id", "left_semi"), "wanted-classes")
     # A bitmap of hashed keys keeps most other lines out of the shuffle.
     cell = lambda key: F.shiftrightunsigned(key, 6).bitwiseAND(_long(MARK_WORDS - 1)).cast("int")
     bit = lambda key: F.call_function("shiftleft", _long(1), key.bitwiseAND(_long(63)).cast("int"))
     marks = materialize(_dense(wanted.select(cell(F.col("k0")), bit(F.col("k0"))), MARK_WORDS), "wanted-marks")
     some = _lines(docs).withColumn("marks", marks.scalar()).filter(F.get("marks", cell(F.col("k0"))).bitwiseAND(bit(F.col("k0"))) != 0)
     texts = some.groupBy("k0", "k1").agg(F.min("line").alias("line"))
-    sets = materialize(wanted.join(texts, ["k0", "k1"]).select("id", F.array_distinct(line_words(F.col("line"))).alias("words")), "line-sets")
+    sets = materialize(wanted.join(texts, ["k0", "k1"]).select("id", "line"), "wanted-lines")  # shorter than their words apart
 
     placed = pairs.join(wanted.select(*_named("a_", "id", "first")), F.col("a") == F.col("a_id")).join(wanted.select(*_named("b_", "id", "first")), F.col("b") == F.col("b_id"))
     swap = F.col("a_first") > F.col("b_first")
@@ -188,10 +188,11 @@ def later_classes(docs: DataFrame, classes: DataFrame, pairs: DataFrame, settled
     asked = materialize(asked if settled is None else asked.join(settled, "id", "left_anti"), "asked-pairs")
     found = []
     for step in (lambda: asked.groupBy("id").agg(F.min("earlier").alias("earlier")), lambda: asked.join(found[0], "id", "left_anti")):
-        own = step().join(sets, "id").withColumnRenamed("words", "own")
+        own = step().join(sets, "id").withColumnRenamed("line", "own")
+        met = own.join(sets.withColumnRenamed("id", "earlier"), "earlier")
+        met = met.select("id", F.array_distinct(line_words(F.col("own"))).alias("own"), F.array_distinct(line_words(F.col("line"))).alias("words"))
         both = F.size(F.array_intersect("own", "words"))
-        similar = both >= F.lit(similarity) * (F.size("own") + F.size("words") - both) - 1e-9
-        met = own.join(sets.withColumnRenamed("id", "earlier"), "earlier").filter(similar)
+        met = met.filter(both >= F.lit(similarity) * (F.size("own") + F.size("words") - both) - 1e-9)
         found.append(materialize(met.select("id").distinct(), "later-classes"))
     later = materialize(found[0].union(found[1]), "later-classes")
     for done in (wanted, marks, sets, asked, *found):
@@ -205,15 +206,17 @@ def first_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     levels = rarity_levels(docs)
     classes = line_classes(docs, levels, similarity)
     drop_all(levels)
+    places = materialize(classes.select("id", "k0", "k1", "first"), "class-places")
     stars = materialize(star_pairs(classes, similarity), "star-pairs")
-    settled = [later_classes(docs, classes, stars, None, similarity)]
+    settled = [later_classes(docs, places, stars, None, similarity)]
     met = [materialize(prefix_pairs(classes, settled[0], similarity, part), "prefix-pairs") for part in range(PARTS)]
-    settled.append(later_classes(docs, classes, reduce(DataFrame.union, met).distinct(), settled[0], similarity))
+    drop_all(classes)
+    settled.append(later_classes(docs, places, reduce(DataFrame.union, met).distinct(), settled[0], similarity))
     for done in (stars, *met):
         drop_all(done)
-    kept = classes.join(reduce(DataFrame.union, settled), "id", "left_anti").select("first.*")
+    kept = places.join(reduce(DataFrame.union, settled), "id", "left_anti").select("first.*")
     kept = materialize(kept, "first-lines")
-    for done in (classes, *settled):
+    for done in (places, *settled):
         drop_all(done)
     return kept
 

@@ -7,11 +7,9 @@ folders have unique names and are left for the folder's owner to expire.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -103,17 +101,6 @@ def drop_all(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of steps whose results are written.
-
-    What a first collection frees may hold what a later one finds, and the cleaner works beside.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
