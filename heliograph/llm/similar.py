@@ -454,16 +454,18 @@ def components_of(summary: DataFrame, keyed: DataFrame, texts_of: Callable[[Data
     blocks = connected_components(named.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
 
     members = materialize(blocks.withColumnRenamed("component", "block").join(first.filter(F.col("id") == F.col("first")).select("id", "n"), "id"), "block-members")
+    held = materialize(texts_of(members.select("id")), "member-texts")  # fetched once for all that follows
+    own_texts = lambda ids: held.join(ids, "id", "left_semi")
     pair = named.select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter(F.col("a") != F.col("b"))
     spokes = materialize(_spokes(members, pair.union(pair.select("b", "a"))), "spokes")
     links, tied = [], None
     if spokes.take(1):
-        links.append(materialize(_links(spokes, texts_of, size, num, den), "spoke-links"))
+        links.append(materialize(_links(spokes, own_texts, size, num, den), "spoke-links"))
         tied = _tied(links[0], spokes)
     units = materialize(_units(members, num, den, tied), "units")
-    links.append(_links(units, texts_of, size, num, den))
+    links.append(_links(units, own_texts, size, num, den))
     found = materialize(connected_components(reduce(DataFrame.union, links)), "components")
-    for done in (stars, members, spokes, units, *links[:-1]):
+    for done in (stars, members, held, spokes, units, *links[:-1]):
         drop_all(done)
 
     named = first.select("id", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
