@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontamination, fingerprints, language_id, licenses, line_dedup, ngram_join, packing, substring_dedup, token_counts, url_filter
+from heliograph.llm import conversation_repair, decontamination, fingerprints, language_id, licenses, line_dedup, ngram_join, packing, substring_dedup, suffix_dedup, token_counts, url_filter, vector_codes
 from heliograph.llm.storage import table
 
 
@@ -54,9 +54,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_decontamination, op3_url_filter, op4_ngram_join, op5_fingerprints,
         op6_token_counts, op7_substring_dedup, op8_language_id, op9_line_dedup, op10_licenses,
+        op11_vector_codes, op12_suffix_dedup, op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
