@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
-from heliograph.operators import clusters, ingest, library, mutations, people, recognition, vectors
+from heliograph.operators import clusters, ingest, library, maps, mutations, people, recognition, vectors
 from heliograph.plans.params import SYNTHETIC
 from heliograph.sources import fixtures as X
 
@@ -264,6 +264,33 @@ def geo_tiles(spark, d):
     return library.geo_tiles(library.geo_points(X.photos(spark, d)), 3).select("cell_x", "cell_y", "n", "cover")
 
 
+def _levels_sql() -> str:
+    """Every zoom's clusters: a fold over nodes in id order keeps the founders, and nodes join the smallest one near them."""
+    steps = ""
+    for z in range(maps.MAX_ZOOM, -1, -1):
+        r2, prior = maps.reach(z) ** 2, f"level{z + 1}"
+        far = "(f.x - {0}.x) * (f.x - {0}.x) + (f.y - {0}.y) * (f.y - {0}.y)"
+        steps += f""",
+ heads{z} AS (SELECT unnest(list_reduce(list([{{'id': id, 'x': sx // n, 'y': sy // n}}] ORDER BY id), lambda a, e: CASE WHEN len(list_filter(a, lambda f: {far.format("e[1]")} <= {r2})) > 0 THEN a ELSE list_concat(a, e) END)) AS f FROM {prior}),
+ owned{z} AS (SELECT m.id, any_value(n) AS n, any_value(sx) AS sx, any_value(sy) AS sy, min(f.id) AS up FROM (SELECT *, sx // n AS x, sy // n AS y FROM {prior}) m JOIN heads{z} ON {far.format("m")} <= {r2} GROUP BY m.id),
+ level{z} AS MATERIALIZED (SELECT up AS id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sx) AS BIGINT) AS sx, CAST(sum(sy) AS BIGINT) AS sy FROM owned{z} GROUP BY up)"""
+    inside = lambda v: f"CAST(greatest(least(floor(({v}) * {maps.WORLD}), {maps.WORLD - 1}), 0) AS BIGINT)"
+    sin = "sin(radians(greatest(least(lat, 85.0511), -85.0511)))"
+    placed = f"placed AS (SELECT id, {inside('lon / 360 + 0.5')} AS x, {inside(f'0.5 - ln((1 + {sin}) / (1 - {sin})) / (4 * 3.141592653589793)')} AS y FROM points)"
+    every = " UNION ALL ".join(f"SELECT {z} AS zoom, * FROM level{z}" for z in range(maps.MAX_ZOOM + 1))
+    return POINTS + f""", {placed},
+ level{maps.MAX_ZOOM + 1} AS MATERIALIZED (SELECT min(id) AS id, count(*) AS n, x * count(*) AS sx, y * count(*) AS sy FROM placed GROUP BY x, y){steps},
+ every AS ({every}), whole AS (SELECT id, n, max(zoom) AS last FROM every GROUP BY 1, 2)
+SELECT CAST(zoom AS INTEGER) AS zoom, id AS cover, n, sx // n AS x, sy // n AS y, CASE WHEN n > 1 THEN CAST(least(last + 1, {maps.MAX_ZOOM}) AS INTEGER) END AS expansion FROM every JOIN whole USING (id, n) WHERE zoom IN (1, 3, 6)"""
+
+
+@query(_levels_sql())
+def map_markers(spark, d):
+    levels = maps.levels(library.geo_points(X.photos(spark, d)))
+    shown = [maps.markers(levels, zoom).select("zoom", "cover", "n", "x", "y", "expansion") for zoom in (1, 3, 6)]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 # ---- people ----
 
 OVER = "WITH best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY g) AS n FROM pool),\ngroups AS (SELECT g, n AS count, best.id AS cover_face_id, i.name FROM best LEFT JOIN identities i ON i.id = -g WHERE rn = 1)\n"
