@@ -1,7 +1,8 @@
 """Order-dependent clustering: constrained complete linkage, leaders, incremental votes.
 
-Complete linkage merges along candidate edges only, so components of the candidate graph are
-independent and each runs the greedy pass by itself; its guards look at nothing outside.
+Complete linkage takes candidate edges from the strongest on. Whether an edge joins its groups
+depends on these two groups alone, so it is decided as soon as no stronger edge of either is
+left, and a round decides all such edges at once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from heliograph.operators import vectors
 from heliograph.plans.params import DEFAULT, Params
+from heliograph.scratch import written
 
 
 def unit_rows(vectors_: np.ndarray) -> np.ndarray:
@@ -23,112 +25,160 @@ def unit_rows(vectors_: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def complete_linkage(ids: list[int], mat: np.ndarray, edges: list[tuple[float, int, int]], tau: float, photo: dict, identity: dict, apart: set, exempt: set, names: dict | None = None) -> list[int]:
-    """A group number for every id. Edges (sim, a, b) hold positions; the strongest goes first, ties by position.
+def link_block(groups: dict[int, list[int]], edges: list[tuple], mat: np.ndarray, tau: float, photo: list, person: list, name: list, foes: list, mates: list, ids: list[int]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Where groups went, and pairs that can't be one, after the strongest edges of a block are decided.
 
-    People in ``apart`` never meet, nor do people of different ``names``.
+    ``groups`` holds rows by group; edges (x, y, inner) come strongest first. A group goes on until
+    an edge leads out of the block, or to a group that stopped: from there on its turn depends on
+    what others decide first.
     """
-    named = names or {}
-    differ = lambda p, q: (min(p, q), max(p, q)) in apart or (named.get(p) is not None and named.get(q) is not None and named[p] != named[q])
-    owner = list(range(len(ids)))
-    members = [[i] for i in owner]
-    people = [{identity[f]} if f in identity else set() for f in ids]
-    for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
-        x, y = owner[a], owner[b]
-        if x == y or any(differ(p, q) for p in people[x] for q in people[y]):
+    owner = {g: g for g in groups}
+    members = {g: list(rows) for g, rows in groups.items()}
+    people = {g: {person[i] for i in rows if person[i] is not None} for g, rows in groups.items()}
+    called = {g: {name[i] for i in rows if name[i] is not None} for g, rows in groups.items()}
+    barred = {g: {f for i in rows for f in foes[i]} for g, rows in groups.items()}
+    stopped: set[int] = set()
+    refused: set[tuple[int, int]] = set()
+
+    def find(g: int) -> int:
+        while owner[g] != g:
+            owner[g] = owner[owner[g]]
+            g = owner[g]
+        return g
+
+    def fit(x: int, y: int) -> bool:
+        if people[x] & barred[y] or len(called[x] | called[y]) > 1:
+            return False
+        small, big = sorted((members[x], members[y]), key=len)
+        seen = defaultdict(list)
+        for i in small:
+            if photo[i] is not None:
+                seen[photo[i]].append(i)
+        if any(ids[i] not in mates[j] for j in big if photo[j] in seen for i in seen[photo[j]]):
+            return False
+        return bool((mat[members[x]] @ mat[members[y]].T).min() >= tau)
+
+    for x, y, inner in edges:
+        ends = [find(g) for g in (x, y) if g in owner]
+        if not inner or any(g in stopped for g in ends):
+            stopped |= set(ends)
             continue
-        clash = any(
-            photo.get(ids[i]) is not None and photo.get(ids[i]) == photo.get(ids[j]) and (min(ids[i], ids[j]), max(ids[i], ids[j])) not in exempt
-            for i in members[x]
-            for j in members[y]
-        )
-        if clash or (mat[members[x]] @ mat[members[y]].T).min() < tau:
+        x, y = ends
+        if x == y or (x, y) in refused:
             continue
-        if len(members[x]) < len(members[y]):
-            x, y = y, x
-        for i in members[y]:
-            owner[i] = x
-        members[x] += members[y]
-        people[x] |= people[y]
-        members[y] = []
-    return owner
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the checkpoint folder; kept in memory where none is set."""
-    spark = df.sparkSession
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
-    if not where:
-        return df.cache()
-    spark.sparkContext.setCheckpointDir(where) if not spark.sparkContext.getCheckpointDir() else None
-    return df.checkpoint()
-
-
-def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that edges (a, b) lead to, for every id."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")))
-    label = ids.select("id", F.col("id").alias("component"))
-
-    def lowered(label: DataFrame) -> DataFrame:
-        """Labels after a look at all neighbours, and then at the label of the label."""
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        moved = label.join(near, label["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        hop = moved.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        return moved.join(hop, "component").select("id", F.least("component", "far").alias("component"))
-
-    while True:
-        twice = lowered(lowered(label)).withColumnRenamed("component", "now")  # two rounds for each time that lineage is cut
-        moved = _cut(twice.join(label, "id").select("id", F.col("now").alias("component"), (F.col("now") != F.col("component")).alias("moved")))
-        label = moved.select("id", "component")
-        if not moved.filter("moved").take(1):
-            return label
-
-
-def recluster(faces: DataFrame, params: Params = DEFAULT, photo_of: DataFrame | None = None, identity_of: DataFrame | None = None, cannot_link: DataFrame | None = None, same_photo_ok: DataFrame | None = None) -> DataFrame:
+        if not fit(x, y):
+            refused |= {(x, y), (y, x)}
+            continue
+        x, y = (x, y) if len(members[x]) >= len(members[y]) else (y, x)
+        owner[y] = x
+        members[x] += members.pop(y)
+        for kept in (people, called, barred):
+            kept[x] |= kept.pop(y)
+    return {g: find(g) for g in groups}, sorted({(min(p, q), max(p, q)) for p, q in ((find(x), find(y)) for x, y in refused)})
+
+
+#: Faces that a task links at once.
+BLOCK_FACES = 50_000
+
+
+def _blocks(edges: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """(g, block): two groups that are each other's strongest neighbour share a block, and others follow theirs.
+
+    Where that makes a block too large, only its two central groups stay in it.
+    """
+    ends = edges.select(F.col("ga").alias("g"), F.col("gb").alias("other"), "rank").union(edges.select("gb", "ga", "rank"))
+    best = ends.groupBy("g").agg(F.max(F.struct("rank", "other")).getField("other").alias("best"))
+    back = best.select(F.col("g").alias("best"), F.col("best").alias("back"))
+    core = written(best.join(back, "best").select("g", "best", (F.col("back") == F.col("g")).alias("core")), "link-best")
+    at = core.select("g", "core", F.when(F.col("core"), F.least("g", "best")).otherwise(F.col("best")).alias("block"))
+    step = core.select(F.col("g").alias("block"), F.when(F.col("core"), F.least("g", "best")).otherwise(F.col("best")).alias("next"))
+    for _ in range(2):
+        at = at.join(step, "block").select("g", "core", F.when(F.col("core"), F.col("block")).otherwise(F.col("next")).alias("block"))
+    at = written(at.join(sizes, "g"), "link-blocks")
+    wide = at.groupBy("block").agg(F.sum("n").alias("total")).filter(F.col("total") > limit).select("block", F.lit(True).alias("wide"))
+    return at.join(wide, "block", "left").select("g", F.when(F.col("core") | F.col("wide").isNull(), F.col("block")).otherwise(F.col("g")).alias("block"))
+
+
+def linked(edges: DataFrame, faces: DataFrame, tau: float, limit: int = BLOCK_FACES) -> DataFrame:
+    """(id, g) of the faces that edges (a, b, sim) name, by constrained complete linkage.
+
+    Edges go strongest first, ties by (a, b), and an edge joins two groups if all of their faces
+    clear ``tau`` and nothing keeps any two of them apart. An edge is decided as soon as it is the
+    strongest one left for both of its groups, so all such edges are decided in one round, each
+    in the block of its groups; a pair that can't be one never can again. ``faces`` has id,
+    embedding, photo_id, identity_id, name, foes (identities) and mates (faces of the same photo that
+    may be one).
+    """
+    edges = written(edges.select(F.col("a").alias("ga"), F.col("b").alias("gb"), F.struct("sim", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("rank")), "link-edges")
+    named = edges.select(F.col("ga").alias("id")).union(edges.select("gb")).distinct()
+    held = written(faces.join(named, "id"), "link-faces")
+    label = held.select("id", F.col("id").alias("g"))
+    total = held.count()
+
+    def solve(nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if nodes.empty:
+            return pd.DataFrame({"x": [], "y": [], "apart": []}).astype({"x": "int64", "y": "int64", "apart": bool})
+        whole = lambda c: [None if pd.isna(v) else v for v in nodes[c]]
+        groups: dict[int, list[int]] = defaultdict(list)
+        for i, g in enumerate(nodes["g"].tolist()):
+            groups[g].append(i)
+        keys = [(-r["sim"], -r["a"], -r["b"]) for r in own["rank"]]
+        order = sorted(range(len(own)), key=keys.__getitem__)
+        pairs = list(zip(own["ga"].tolist(), own["gb"].tolist(), own["inner"].tolist()))
+        to, refused = link_block(groups, [pairs[i] for i in order], unit_rows(np.vstack(nodes["embedding"])), tau, whole("photo_id"), whole("identity_id"), whole("name"), [set(v) for v in nodes["foes"]], [set(v) for v in nodes["mates"]], nodes["id"].tolist())
+        moved = [(g, t, False) for g, t in to.items() if g != t]
+        return pd.DataFrame(moved + [(x, y, True) for x, y in refused], columns=["x", "y", "apart"]).astype({"x": "int64", "y": "int64", "apart": bool})
+
+    while edges.take(1):
+        if total <= limit:
+            blocks = label.select("g").distinct().withColumn("block", F.lit(0).cast("long"))
+        else:
+            blocks = _blocks(edges, label.groupBy("g").agg(F.count(F.lit(1)).alias("n")), limit)
+        of = lambda g: blocks.select(F.col("g").alias(g), F.col("block").alias(f"{g}_block"))
+        inner = F.col("ga_block") == F.col("gb_block")
+        dealt = edges.join(of("ga"), "ga").join(of("gb"), "gb").withColumn("inner", inner).withColumn("block", F.explode(F.array_distinct(F.array("ga_block", "gb_block"))))
+        nodes = held.join(label, "id").join(blocks, "g")
+        said = written(nodes.groupBy("block").cogroup(dealt.select("block", "ga", "gb", "rank", "inner").groupBy("block")).applyInPandas(solve, "x long, y long, apart boolean"), "link-decisions")
+        moves = said.filter("NOT apart").select(F.col("x").alias("g"), F.col("y").alias("to"))
+        label = written(label.join(moves, "g", "left").select("id", F.coalesce("to", "g").alias("g")), "link-labels")
+        if total <= limit:  # one block decides everything
+            break
+        go = lambda g: moves.select(F.col("g").alias(g), F.col("to").alias(f"{g}_to"))
+        moved = edges.join(go("ga"), "ga", "left").join(go("gb"), "gb", "left").select(F.coalesce("ga_to", "ga").alias("p"), F.coalesce("gb_to", "gb").alias("q"), "rank").filter("p <> q")
+        apart = said.filter("apart").select(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb"))
+        left = moved.groupBy(F.least("p", "q").alias("ga"), F.greatest("p", "q").alias("gb")).agg(F.max("rank").alias("rank"))
+        edges = written(left.join(apart, ["ga", "gb"], "left_anti"), "link-edges")
+    return label
+
+
+def recluster(faces: DataFrame, params: Params = DEFAULT, photo_of: DataFrame | None = None, identity_of: DataFrame | None = None, cannot_link: DataFrame | None = None, same_photo_ok: DataFrame | None = None, limit: int = BLOCK_FACES) -> DataFrame:
     """(id, cluster): pure groups of faces, numbered from 1 by their smallest face.
 
     ``photo_of`` (id, photo_id) and ``identity_of`` (id, identity_id, and name if people of different
-    names are different people) may name any subset of faces. Names are compared within each
-    component. Constraint pairs are what the user said, and are sent along with every component.
+    names are different people) may name any subset of faces. Constraint pairs travel with the
+    faces that they are about.
     """
-    spark = faces.sparkSession
-    edges = vectors.candidate_edges(vectors.knn(faces, params.k, params.link))
-    label = components(edges, faces)
-    rows = faces.select("id", "embedding").join(label, "id")
+    edges = written(vectors.candidate_edges(vectors.knn(faces, params.k, params.link)), "candidate-edges")
+    rows = faces.select("id", "embedding")
     titled = identity_of is not None and "name" in identity_of.columns
-    rows = rows.join(identity_of.select("id", "name"), "id", "left") if titled else rows.withColumn("name", F.lit(None).cast("string"))
-    for extra, name in ((photo_of, "photo_id"), (identity_of, "identity_id")):
-        rows = rows.join(extra.select("id", name), "id", "left") if extra is not None else rows.withColumn(name, F.lit(None).cast("long"))
-    per = edges.join(label.withColumnRenamed("id", "a"), "a")
-    pairs = lambda df: {(min(r[0], r[1]), max(r[0], r[1])) for r in df.select("a", "b").collect()} if df is not None else set()
-    apart, exempt, tau = spark.sparkContext.broadcast(pairs(cannot_link)), spark.sparkContext.broadcast(pairs(same_photo_ok)), params.link
-
-    def solve(nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("id")
-        ids = nodes["id"].tolist()
-        at = {f: i for i, f in enumerate(ids)}
-        photo = {f: int(p) for f, p in zip(ids, nodes["photo_id"]) if not pd.isna(p)}
-        person = {f: int(p) for f, p in zip(ids, nodes["identity_id"]) if not pd.isna(p)}
-        names = {int(p): n for p, n in zip(nodes["identity_id"], nodes["name"]) if not pd.isna(p) and not pd.isna(n)}
-        links = [(s, at[a], at[b]) for a, b, s in zip(own["a"], own["b"], own["sim"])]
-        owner = complete_linkage(ids, unit_rows(np.vstack(nodes["embedding"])), links, tau, photo, person, apart.value, exempt.value, names)
-        first: dict[int, int] = {}
-        for f, o in zip(ids, owner):
-            first.setdefault(o, f)
-        return pd.DataFrame({"id": ids, "first": [first[o] for o in owner]})
-
-    # Faces without an edge are groups of their own and need no task.
-    linked = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    solved = rows.join(linked, "id", "left_semi").groupBy("component").cogroup(per.groupBy("component")).applyInPandas(solve, "id long, first long")
-    alone = rows.join(linked, "id", "left_anti").select("id", F.col("id").alias("first"))
-    every = solved.unionByName(alone)
+    for extra, name, kind in ((photo_of, "photo_id", "long"), (identity_of, "identity_id", "long"), (identity_of if titled else None, "name", "string")):
+        rows = rows.join(extra.select("id", name), "id", "left") if extra is not None else rows.withColumn(name, F.lit(None).cast(kind))
+    for pairs, key, name in ((cannot_link, "identity_id", "foes"), (same_photo_ok, "id", "mates")):
+        if pairs is None:
+            rows = rows.withColumn(name, F.array().cast("array<long>"))
+            continue
+        both = pairs.select(F.col("a").cast("long").alias(key), F.col("b").cast("long").alias("other")).union(pairs.select("b", "a"))
+        rows = rows.join(both.groupBy(key).agg(F.collect_set("other").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
+    label = linked(edges, rows, params.link, limit)
+    first = label.groupBy("g").agg(F.min("id").alias("first"))
+    every = faces.select("id").join(label.join(first, "g").select("id", "first"), "id", "left").select("id", F.coalesce("first", "id").alias("first"))
     return every.join(numbered(every.select("first").distinct(), "first"), "first").select("id", "cluster")
 
 
 def numbered(ids: DataFrame, key: str, out: str = "cluster") -> DataFrame:
     """Numbers from 1 in key order without one global sort task: ranges are ranked and offset."""
     ranged = ids.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    ranged = _cut(ranged)
+    ranged = written(ranged, "number-ranges")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
@@ -254,7 +304,7 @@ def assign_batch(known: DataFrame, arrivals: DataFrame, params: Params = DEFAULT
     similar enough as a whole, come back. What arrivals do to each other is serial, so the batch
     alone is one task's work; its size is the caller's.
     """
-    found = _cut(_near_known(known, arrivals, params))
+    found = written(_near_known(known, arrivals, params), "near-known")
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     top = found.filter("sim IS NOT NULL").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.k)
     top = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "cluster", "sim"))).alias("top"))

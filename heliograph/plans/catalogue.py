@@ -537,7 +537,29 @@ def _clusters(spark, d):
     return faces, clusters.recluster(faces, SYNTHETIC, faces.select("id", "photo_id"), named, X.cannot_link(spark), people.double_detections(faces, 0.4).select("a", "b"))
 
 
-@query()
+#: One edge a step, strongest first: groups join unless any two of their faces are unlike or kept apart.
+LABELS = "WITH RECURSIVE " + knn_sql("faces", SYNTHETIC.link) + """,
+strong AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(sim) AS sim FROM near GROUP BY 1, 2),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM (SELECT a AS id FROM strong UNION SELECT b FROM strong)),
+edges AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sim DESC, a, b) AS k, x.p AS a, y.p AS b FROM strong JOIN ids x ON x.id = a JOIN ids y ON y.id = b),
+people AS (SELECT ids.p, f.id, f.photo_id, f.embedding, CASE WHEN f.confirmed = 1 THEN f.identity_id END AS person, CASE WHEN f.confirmed = 1 THEN i.name END AS name FROM ids JOIN faces f ON f.id = ids.id LEFT JOIN identities i ON i.id = f.identity_id),
+boxes AS (SELECT a.id AS a, b.id AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0.0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0.0) AS inter,
+ (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas FROM pool a JOIN pool b ON a.photo_id = b.photo_id AND a.id < b.id),
+twice AS (SELECT a, b FROM boxes WHERE inter / greatest(areas - inter, 1e-9) >= 0.4),
+bad AS (SELECT a.p AS x, b.p AS y, """ + DOT + f""" < {SYNTHETIC.link} OR (a.photo_id = b.photo_id AND NOT EXISTS (SELECT 1 FROM twice t WHERE t.a = least(a.id, b.id) AND t.b = greatest(a.id, b.id)))
+ OR EXISTS (SELECT 1 FROM cannot_link c WHERE c.a = least(a.person, b.person) AND c.b = greatest(a.person, b.person)) OR coalesce(a.person <> b.person AND a.name <> b.name, false) AS apart FROM people a JOIN people b ON a.p <> b.p),
+sided AS (SELECT x, list_prepend(false, list(apart ORDER BY y)) AS row FROM (SELECT * FROM bad UNION ALL SELECT p, p, false FROM ids) GROUP BY x),
+matrix AS MATERIALIZED (SELECT list(row ORDER BY x) AS apart, len(list(x)) AS m FROM sided),
+steps AS (SELECT 0::BIGINT AS k, (SELECT list(p ORDER BY p) FROM ids) AS g
+ UNION ALL SELECT e.k, CASE WHEN g[e.a] = g[e.b] OR len(list_filter(range(1, m + 1), lambda x: g[x] = g[e.a] AND len(list_filter(range(1, m + 1), lambda y: g[y] = g[e.b] AND apart[x][y + 1])) > 0)) > 0 THEN g
+  ELSE list_transform(g, lambda v: CASE WHEN v = greatest(g[e.a], g[e.b]) THEN least(g[e.a], g[e.b]) ELSE v END) END FROM steps s JOIN edges e ON e.k = s.k + 1, matrix),
+last AS (SELECT unnest(g) AS g, unnest(range(1, len(g) + 1)) AS p FROM (SELECT g FROM steps ORDER BY k DESC LIMIT 1)),
+firsts AS (SELECT f.id, coalesce(h.id, f.id) AS first FROM faces f LEFT JOIN ids ON ids.id = f.id LEFT JOIN last ON last.p = ids.p LEFT JOIN ids h ON h.p = last.g),
+labels AS (SELECT id, dense_rank() OVER (ORDER BY first) AS cluster FROM firsts)
+"""
+
+
+@query(LABELS + "SELECT id, cluster FROM labels")
 def cluster_labels(spark, d):
     return _clusters(spark, d)[1]
 
@@ -560,7 +582,7 @@ def cluster_constraint_violations(spark, d):
     return pairs.join(ok, ["id", "b"], "left_anti").agg(F.count(F.lit(1)).alias("violations"))
 
 
-@query()
+@query(LABELS + "SELECT cluster, count(*) AS faces FROM labels GROUP BY cluster")
 def cluster_sizes(spark, d):
     return _clusters(spark, d)[1].groupBy("cluster").agg(F.count(F.lit(1)).alias("faces"))
 

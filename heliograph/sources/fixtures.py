@@ -51,7 +51,8 @@ def duck(sql: str) -> str:
         "cannot_link": _values(CANNOT_LINK, "a, b"),
         "pool": "SELECT *, coalesce(-identity_id, cluster_id) AS g FROM faces WHERE cluster_id IS NOT NULL AND ignored = 0",
     }
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes.items()) + ("," + sql[4:] if sql.lstrip().startswith("WITH") else "\n" + sql)
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if sql.startswith(h)), "")
+    return (head or "WITH ") + ",\n".join(f"{n} AS ({q})" for n, q in ctes.items()) + (", " if head else "\n") + sql.removeprefix(head)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -134,22 +134,6 @@ def test_constraints_keep_faces_apart(spark):
     assert free == [[1, 2, 3, 4]]
 
 
-def test_components_give_what_the_whole_gives(spark):
-    rng = random.Random(2)
-    np.random.seed(2)
-    for _ in range(3):
-        mat = clusters.unit_rows(np.random.randn(50, 5))
-        f = vectors_of(spark, *mat.tolist(), photos=[rng.randrange(30) for _ in range(50)])
-        p = Params(link=0.75, k=4)
-        got = groups_of(clusters.recluster(f, p, f.select("id", "photo_id")))
-        near = vectors.candidate_edges(vectors.knn(f, 4, 0.75)).collect()
-        photo = {r["id"]: r["photo_id"] for r in f.collect()}
-        owner = clusters.complete_linkage(list(range(1, 51)), mat.astype(np.float32).astype(float), [(r["sim"], r["a"] - 1, r["b"] - 1) for r in near], 0.75, photo, {}, set(), set())
-        want = {}
-        for i, o in enumerate(owner):
-            want.setdefault(o, []).append(i + 1)
-        assert got == sorted(want.values())
-
 
 def test_incremental_votes(spark):
     index = clusters.Index([1, 1, 1], [1, 2, 3], np.array([blob(0, k) for k in range(3)]))
