@@ -1,9 +1,9 @@
 """Similarity over vectors: neighbours, edges, evidence, anchors.
 
 Dot products fold an ordered array in double, so they don't depend on partitioning. The exact
-neighbour search deals both sides into blocks and multiplies a pair of blocks at a time, so
-that neither side has to fit into one task; each block keeps its own best before the final
-ranking.
+neighbour search gathers vectors in blocks around pivots, and a vector calls only on blocks that
+may hold a near one; a block and its callers are multiplied in parts of bounded size, and each
+part keeps its own best before the final ranking.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.plans.params import DEFAULT, Params
+from heliograph.scratch import ship, written
 
 #: Vectors in a block; a task holds two blocks, and products of STRIPE of one's rows with the other.
 BLOCK = 16384
 STRIPE = 512
+#: Blocks' centres, which every task gets; components that are multiplied first.
+PIVOTS, HEAD = 1024, 16
 #: Anchors sent to all tasks at once; more are sent in turns.
 ANCHORS_AT_ONCE = 16384
 
@@ -34,38 +37,103 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / length)
 
 
-def knn(faces: DataFrame, k: int, min_sim: float, block: int = BLOCK) -> DataFrame:
+def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.linalg.norm(v, axis=1)
+    return v / np.maximum(norm, 1e-12)[:, None], norm
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, min_sim: float, head: int = HEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, similarities of these): no pair left out can reach ``min_sim``.
+
+    The leading components are multiplied first; what the others can add is at most the product
+    of their lengths, and rows that reach nothing with that are multiplied no further.
+    """
+    if a.shape[1] <= head or min_sim <= 0:
+        return np.arange(len(a)), np.arange(len(b)), a @ b.T
+    most = a[:, :head] @ b[:, :head].T
+    most += np.outer(np.linalg.norm(a[:, head:], axis=1), np.linalg.norm(b[:, head:], axis=1))
+    able = most >= min_sim - 1e-9
+    r, c = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+    return r, c, a[r] @ b[c].T
+
+
+def visits(faces: DataFrame, min_sim: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(id, v, home, calls): every vector's own block, and the blocks that may hold one of ``min_sim`` or more.
+
+    Blocks gather around pivots, at most ``pivots`` of them, that are broadcast. An angle to a
+    block's vector is at least the angle to its pivot less the block's radius; blocks beyond the
+    angle of ``min_sim`` aren't called on.
+    """
+    spark = faces.sparkSession
+    ship(spark)
+    base = faces.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    n = base.count()
+    some = min(pivots, -(-n // block))
+    if some <= 1:
+        return base.select("id", "v", F.lit(0).alias("home"), F.array(F.lit(0)).alias("calls"))
+    held = base.orderBy(F.xxhash64("id"), "id").limit(some).select("v").collect()
+    shared = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in held]))[0])
+    angles = lambda v: np.arccos(np.clip(_unit(v)[0] @ shared.value.T, -1, 1))
+
+    def nearest(batches):
+        for batch in batches:
+            far, norm = angles(np.vstack(batch["v"])), np.linalg.norm(np.vstack(batch["v"]), axis=1)
+            yield pd.DataFrame({"home": far.argmin(1), "far": far.min(1), "norm": norm})
+
+    rows = base.mapInPandas(nearest, "home int, far double, norm double").groupBy("home").agg(F.max("far").alias("far"), F.max("norm").alias("norm")).collect()  # a row a pivot
+    radius, longest = {r["home"]: r["far"] for r in rows}, max(r["norm"] for r in rows)
+    limit = np.arccos(min(1.0, min_sim / max(1.0, longest**2))) if min_sim > 0 else np.pi
+    reach = np.array([radius.get(p, -10.0) + limit + 1e-6 for p in range(len(held))])  # nothing calls on an empty block
+
+    def place(batches):
+        for batch in batches:
+            far = angles(np.vstack(batch["v"]))
+            calls = [np.flatnonzero(row) for row in far <= reach]
+            yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "home": far.argmin(1), "calls": calls})
+
+    return written(base.mapInPandas(place, "id long, v array<double>, home int, calls array<int>"), "knn-places")
+
+
+def knn(faces: DataFrame, k: int, min_sim: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(i, j, sim, rank): every vector's best ``k`` others at ``min_sim`` or above, ties by id.
 
-    Candidates come from blocked matrix products with a little slack; sims and order then come
-    from the ordered fold.
+    Candidates come from matrix products of a block's vectors and those that call on it, with a
+    little slack; sims and order then come from the ordered fold. A block with many vectors or many
+    callers is split on both sides.
     """
-    n = faces.count()
-    blocks = max(1, -(-n // block))
-    base = faces.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    # Every two blocks meet once, on the side of the smaller number, and give neighbours both ways.
-    rows = base.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long"))))
-    cols = base.select(F.col("block").alias("other"), F.col("id").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("block"))
+    placed = visits(faces, min_sim, block, pivots)
+    called = placed.select("id", "v", F.explode("calls").alias("block"))
+    totals = called.groupBy("block").agg(F.count(F.lit(1)).alias("callers")).join(placed.groupBy(F.col("home").alias("block")).agg(F.count(F.lit(1)).alias("own")), "block")
+    split = totals.select("block", F.ceil(F.col("callers") / block).alias("sides"), F.ceil(F.col("own") / block).alias("parts"))  # a row a pivot
+    shard = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    rows = called.join(F.broadcast(split), "block").withColumn("side", shard("sides")).withColumn("part", every("parts")).select("block", "side", "part", "id", "v")
+    homes = placed.select("id", "v", F.col("home").alias("block")).join(F.broadcast(split), "block").withColumn("part", shard("parts")).withColumn("side", every("sides"))
+    cols = homes.select("block", "side", "part", F.col("id").alias("j"), F.col("v").alias("w"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"i": [], "j": []}).astype("int64")
         a, b = np.vstack(left["v"]), np.vstack(right["w"])
         i, j = left["id"].to_numpy(), right["j"].to_numpy()
-        sides = [(a, b, i, j)] if left["block"].iloc[0] == left["other"].iloc[0] else [(a, b, i, j), (b, a, j, i)]
-        found = [stripe(x[at : at + STRIPE] @ y.T, m[at : at + STRIPE], n) for x, y, m, n in sides for at in range(0, len(x), STRIPE)]
+        found = [stripe(a[at : at + STRIPE], b, i[at : at + STRIPE], j) for at in range(0, len(a), STRIPE)]
         return pd.DataFrame({"i": np.concatenate([f[0] for f in found]), "j": np.concatenate([f[1] for f in found])})
 
-    def stripe(sims: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def stripe(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r, c, sims = near_pairs(a, b, min_sim)
+        i, j = i[r], j[c]
+        if not sims.size:
+            return i[:0], j[:0]
         sims[i[:, None] == j[None, :]] = -np.inf
         keep = min(k, sims.shape[1])
         edge = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
         r, c = np.nonzero((sims >= np.maximum(edge, min_sim)[:, None] - 1e-9) & np.isfinite(sims))
         return i[r], j[c]
 
-    pairs = rows.groupBy("block", "other").cogroup(cols.groupBy("block", "other")).applyInPandas(best, "i long, j long")
-    left = base.select(F.col("id").alias("i"), F.col("v").alias("a"))
-    right = base.select(F.col("id").alias("j"), F.col("v").alias("b"))
+    keys = ("block", "side", "part")
+    pairs = rows.groupBy(*keys).cogroup(cols.groupBy(*keys)).applyInPandas(best, "i long, j long")
+    left = placed.select(F.col("id").alias("i"), F.col("v").alias("a"))
+    right = placed.select(F.col("id").alias("j"), F.col("v").alias("b"))
     exact = pairs.join(left, "i").join(right, "j").select("i", "j", dot(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= min_sim)
     order = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
     return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
