@@ -2,26 +2,90 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import time
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
 from heliograph.plans.params import CLOUD, DOWNLOADING, PENDING, READY
+from heliograph.scratch import ship, written
+
+
+ENTRY = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("mtime", pa.int64()), ("size", pa.int64())])
+#: Bytes of a file that are read at once.
+CHUNK = 1 << 20
+
+
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in folders; those that can't be listed and links give nothing."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            try:
+                files, inner = fs.FileSystem.from_uri(path)
+                infos = files.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            except (OSError, pa.ArrowException):
+                continue
+            scheme = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+            local = files.type_name == "local"
+            found += [(scheme + i.path, i.type == fs.FileType.Directory, i.mtime, i.size) for i in infos if i.type in (fs.FileType.Directory, fs.FileType.File) and not (local and os.path.islink(i.path))]
+        times = [t and int(t.timestamp()) for _, _, t, _ in found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([p for p, *_ in found], [d for _, d, _, _ in found], times, [n for *_, n in found]), ENTRY)], schema=ENTRY)
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of all files below a folder, a level of folders at a time.
+
+    A folder or file that can't be read is skipped; contents are never read.
+    """
+    kind = "path string, folder boolean, mtime long, size long"
+    level, out = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    while True:
+        found = written(level.repartition("path").mapInArrow(_entries, kind), "folder-entries")
+        files = found.filter("NOT folder").select("path", "mtime", "size")
+        out = files if out is None else out.unionByName(files)
+        level = found.filter("folder").select("path")
+        if not level.take(1):
+            return out
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata of the photos under a folder; contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = files.select(F.regexp_replace("path", "^file:", "").alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    """Metadata of the photos under a folder."""
+    rows = walk(spark, root).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
     return scannable(rows).withColumn("cache_key", S.version_key(F.col("path"), F.col("mtime"), F.col("size")))
 
 
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, out = batch.column("path").to_pylist(), []
+        for path in paths:
+            try:
+                files, inner = fs.FileSystem.from_uri(path)
+                sha = hashlib.sha256()
+                with files.open_input_stream(inner) as f:
+                    while part := f.read(CHUNK):
+                        sha.update(part)
+                out.append(sha.hexdigest())
+            except (OSError, pa.ArrowException):
+                out.append("")
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.string())], names=["path", "content_hash"])
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """(path, content_hash) of files (path), read in parts whatever their size; '' of those that can't be read."""
+    ship(files.sparkSession)
+    return files.select("path").repartition("path").mapInArrow(_digests, "path string, content_hash string")
+
+
 def hashes(spark: SparkSession, root: str) -> DataFrame:
-    """Content digests of the files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_replace("path", "^file:", "").alias("path"), F.sha2("content", 256).alias("content_hash"))
+    """Content digests of the files under a folder that aren't hidden."""
+    return digests(walk(spark, root).filter(~S.is_hidden_path(F.col("path")))).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
 
 
 def scannable(files: DataFrame) -> DataFrame:
@@ -138,7 +202,7 @@ def details(images: DataFrame) -> DataFrame:
 
 
 def positions(images: DataFrame) -> DataFrame:
-    """(path, taken_ts, lat, lon) from the EXIF block of JPEG bytes (path, content); nulls where there is none."""
+    """(path, taken_ts, lat, lon) from the EXIF block of photos (path, content); nulls where there is none."""
     from heliograph.sources.exif import read_batches
 
     return images.select("path", "content").mapInPandas(read_batches, EXIF_FIELDS).select(

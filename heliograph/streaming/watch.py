@@ -1,13 +1,11 @@
-"""Structured Streaming forms of the watcher, the ingest loop and the announcements."""
+"""Structured Streaming forms of the watcher and the ingest loop."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heliograph.functions import scalars as S
 from heliograph.operators import clusters, ingest
@@ -42,13 +40,20 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 minute") -> DataFra
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upserts(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], generation: Callable[[int], int]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that brings each batch of files into the catalogue, once a batch id."""
+def upserts(read: Callable[[], DataFrame], last: Callable[[], int | None], write: Callable[[DataFrame, int], None], generation: Callable[[int], int]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that brings each batch of files into the catalogue, once a batch id.
+
+    ``write`` keeps the batch id with the table that it replaces, and ``last`` tells it; a batch that
+    is run again after it was written changes nothing.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        done = last()
+        if done is not None and batch_id <= done:
+            return
         known = read()
         first = (known.agg(F.max("id")).first()[0] or 0) + 1
-        write(ingest.upsert(known, batch, generation(batch_id), first))
+        write(ingest.upsert(known, batch, generation(batch_id), first), batch_id)
 
     return run
 
@@ -67,51 +72,22 @@ def identities(read: Callable[[], DataFrame], versions: Callable[[], DataFrame],
     return run
 
 
-def coordinator(step: Callable[[DataFrame, int], None], queued: Callable[[], DataFrame], consolidate: Callable[[], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that works off a batch and, once the queue has drained, clusters all faces anew."""
-    worked = False
+def coordinator(step: Callable[[DataFrame, int], None], queued: Callable[[], DataFrame], loose: Callable[[], DataFrame], consolidate: Callable[[], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that works off a batch and, once the queue has drained, clusters all faces anew.
+
+    ``loose`` gives the faces that were assigned since the last clustering, from their table, so a
+    restart in between forgets nothing.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        nonlocal worked
         if batch.take(1):
             step(batch, batch_id)
-            worked = True
-        if worked and not queued().take(1):
+        if not queued().take(1) and loose().take(1):
             consolidate()
-            worked = False
 
     return run
 
 
-ANNOUNCED = "g long, count long, ts timestamp"
-
-
-def announcements(groups: DataFrame, floor: int = 8, cooldown_s: int = 45) -> DataFrame:
-    """Unnamed groups (shelf, g, count, ts) that reach the floor: the largest new one, not too often.
-
-    Each shelf keeps which groups it has announced. What its first batch holds counts as known.
-    """
-
-    def step(key: tuple, batches, state: GroupState):
-        rows = pd.concat(list(batches))
-        rows = rows[rows["count"] >= floor].sort_values(["count", "g"], ascending=[False, True])
-        seen, last = state.get if state.exists else (None, 0)
-        known = set() if seen is None else set(seen)
-        fresh = rows[~rows["g"].isin(known)]
-        out = fresh.head(0)
-        if seen is not None and len(fresh):
-            now = int(fresh["ts"].max().timestamp())
-            if now - last >= cooldown_s:
-                out, last = fresh.head(1), now
-                known.add(int(out["g"].iloc[0]))
-        elif seen is None:
-            known |= set(fresh["g"].astype(int))
-        state.update((sorted(known), last))
-        yield out[["g", "count", "ts"]]
-
-    return groups.groupBy("shelf").applyInPandasWithState(step, ANNOUNCED, "seen array<long>, last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def coalesced(requests: DataFrame) -> DataFrame:
     """Of all rescans that were asked for during a pass, the one that follows it."""
     return requests.agg(F.max("epoch").alias("epoch"), F.count(F.lit(1)).alias("asked")).filter("asked > 0")

@@ -191,10 +191,27 @@ def test_late_results_and_drained_queue(spark):
     versions = spark.createDataFrame([(10, "new"), (11, "newer")], "photo_id long, cache_key string")
     written, passes, queue = [], [], [True]
     step = watch.identities(lambda: known, lambda: versions, lambda df, n: written.extend(r["id"] for r in df.collect()))
-    run = watch.coordinator(step, lambda: versions if queue[0] else versions.limit(0), lambda: passes.append(1))
+    loose = lambda: versions.limit(len(written) if not passes else 0)
+    run = watch.coordinator(step, lambda: versions if queue[0] else versions.limit(0), loose, lambda: passes.append(1))
     run(batch, 0)
     assert written == [1] and passes == []
     queue[0] = False
     run(batch.limit(0), 1)
     run(batch.limit(0), 2)
     assert passes == [1]
+
+
+def test_a_batch_of_files_is_written_once(spark):
+    from heliograph.streaming import watch
+
+    kept = {"id": None, "times": 0}
+    table = spark.createDataFrame([], "id long, path string, mtime long, size long, seen long, thumb_status int, faces_scanned int, content_hash string, taken_ts long, lat double, lon double, favorite int, hidden int")
+
+    def write(df, batch_id):
+        kept.update(id=batch_id, times=kept["times"] + 1)
+
+    run = watch.upserts(lambda: table, lambda: kept["id"], write, lambda n: n + 1)
+    batch = spark.createDataFrame([("/a.jpg", 1, 2)], "path string, mtime long, size long")
+    for batch_id in (0, 0, 1, 1, 0):
+        run(batch, batch_id)
+    assert kept == {"id": 1, "times": 2}

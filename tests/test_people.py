@@ -261,7 +261,7 @@ def test_knn_blocks_agree(spark):
     assert one == sorted(map(tuple, vectors.knn(f, 5, 0.1, block=17).select("i", "j", "rank").collect())) and one
 
 
-def test_announcements_and_bursts(spark, tmp_path):
+def test_bursts(spark, tmp_path):
     from heliograph.streaming import watch
 
     events = pd.DataFrame({"root": ["r"] * 4, "path": ["/a.jpg", "/b.jpg", "/.x/c.jpg", "/d.jpg"], "ts": pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:02", "2024-01-01 00:10:00"])})
@@ -271,16 +271,3 @@ def test_announcements_and_bursts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["n"] for r in spark.sql("select * from bursts").collect()] == [2]
-
-    def batch(n, rows):
-        spark.createDataFrame(rows, "shelf long, g long, count long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "groups"))
-
-    stamp = lambda s: pd.Timestamp(s).to_pydatetime()
-    batch(0, [(0, 1, 9, stamp("2024-01-01"))])
-    groups = spark.readStream.schema("shelf long, g long, count long, ts timestamp").parquet(str(tmp_path / "groups"))
-    q = watch.announcements(groups).writeStream.format("memory").queryName("news").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    batch(1, [(0, 1, 9, stamp("2024-01-02")), (0, 2, 10, stamp("2024-01-02")), (0, 3, 12, stamp("2024-01-02")), (0, 4, 2, stamp("2024-01-02"))])
-    q.processAllAvailable()
-    q.stop()
-    assert [r["g"] for r in spark.sql("select * from news").collect()] == [3]
