@@ -137,9 +137,9 @@ def valid_point(lat: Column, lon: Column) -> Column:
 
 
 def short_number(value: Column) -> Column:
-    """A whole number where the value is within 0.05 of one, else one decimal."""
+    """A whole number where the value is within 0.05 of one, else one decimal, quarters to the even one."""
     whole = F.round(value)
-    return F.when(F.abs(value - whole) < 0.05, whole.cast("long").cast("string")).otherwise(F.format_string("%.1f", value))
+    return F.when(F.abs(value - whole) < 0.05, whole.cast("long").cast("string")).otherwise(F.format_string("%.1f", F.bround(value, 1)))
 
 
 def f_number_label(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
-from heliograph.operators import clusters, ingest, library, maps, mutations, people, recognition, vectors
+from heliograph.operators import clusters, detector, ingest, library, maps, mutations, pages, people, recognition, vectors
 from heliograph.plans.params import SYNTHETIC
 from heliograph.sources import fixtures as X
 
@@ -40,6 +40,13 @@ def timeline_page(spark, d):
     return library.page(X.photos(spark, d).filter(library.curation("visible")), 100, 200)
 
 
+@query(f"""WITH v AS (SELECT {READY_ROWS} FROM photos WHERE hidden = 0) SELECT * FROM (SELECT * FROM v ORDER BY ts DESC, id DESC LIMIT 40 OFFSET 130)
+UNION ALL SELECT * FROM (SELECT * FROM v ORDER BY ts DESC, id DESC LIMIT 40 OFFSET 780)""")
+def timeline_deep_pages(spark, d):
+    index = pages.timeline(X.photos(spark, d).filter(library.curation("visible")), per_part=100)
+    return pages.page(index, 130, 40).unionByName(pages.page(index, 780, 40))
+
+
 @query(f"SELECT {READY_ROWS} FROM photos WHERE hidden = 0 ORDER BY id LIMIT 200 OFFSET 400")
 def discovery_page(spark, d):
     return library.page(X.photos(spark, d).filter(library.curation("anything")), 400, 200, by_date=False)
@@ -184,14 +191,16 @@ def folded_paths_udf(spark, d):
     return X.photos(spark, d).select("id", S.fold_exact("path").alias("folded"))
 
 
-@query("SELECT id, name FROM identities WHERE contains(strip_accents(lower(name)), 'an') ORDER BY name, id LIMIT 6")
+@query("SELECT id, name FROM named WHERE contains(strip_accents(lower(name)), 'al n') ORDER BY name, id LIMIT 6")
 def people_suggestions(spark, d):
-    return people.suggestions(X.identities(spark), "án")
+    return people.suggestions(X.named(spark, d), "Ál n")
 
 
-@query("SELECT id, name FROM identities WHERE strip_accents(lower(name)) = 'angel' AND id <> 1")
+@query("SELECT id, name FROM named WHERE strip_accents(lower(name)) = (SELECT min(strip_accents(lower(name))) FROM named) AND id <> 1")
 def exact_name_match(spark, d):
-    return people.exact_name(X.identities(spark), " ANGEL ", exclude=1)
+    who = X.named(spark, d)
+    wanted = who.select(F.min(S.fold(F.col("name")))).first()[0]
+    return people.exact_name(who, f" {wanted.upper()} ", exclude=1)
 
 
 # ---- duplicates ----
@@ -364,17 +373,17 @@ def double_detections(spark, d):
     return people.double_detections(X.faces(spark, d), 0.1).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
-IMPLICIT = "SELECT a.id AS a, b.id AS b FROM identities a JOIN identities b ON a.id < b.id AND a.name <> b.name"
+IMPLICIT = "SELECT a.id AS a, b.id AS b FROM named a JOIN named b ON a.id < b.id AND a.name <> b.name"
 
 
 @query(IMPLICIT)
 def implicit_cannot_links(spark, d):
-    return people.implicit_cannot_links(X.identities(spark))
+    return people.implicit_cannot_links(X.named(spark, d))
 
 
-@query(f"SELECT a, b FROM cannot_link UNION ({IMPLICIT})")
+@query(f"SELECT a, b FROM apart UNION ({IMPLICIT})")
 def constraint_union(spark, d):
-    return people.constraint_union(X.cannot_link(spark), people.implicit_cannot_links(X.identities(spark)))
+    return people.constraint_union(X.apart(spark, d), people.implicit_cannot_links(X.named(spark, d)))
 
 
 VETO = "SELECT DISTINCT p.g, c.identity_id FROM pool p JOIN faces c ON c.photo_id = p.photo_id WHERE c.confirmed = 1 AND c.ignored = 0 AND c.identity_id IS NOT NULL AND p.g <> -c.identity_id"
@@ -538,7 +547,7 @@ def _clusters(spark, d):
 
 
 #: One edge a step, strongest first: groups join unless any two of their faces are unlike or kept apart.
-LABELS = "WITH RECURSIVE " + knn_sql("faces", SYNTHETIC.link) + """,
+CLUSTERED = "WITH RECURSIVE " + knn_sql("faces", SYNTHETIC.link) + """,
 strong AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(sim) AS sim FROM near GROUP BY 1, 2),
 ids AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM (SELECT a AS id FROM strong UNION SELECT b FROM strong)),
 edges AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sim DESC, a, b) AS k, x.p AS a, y.p AS b FROM strong JOIN ids x ON x.id = a JOIN ids y ON y.id = b),
@@ -559,7 +568,26 @@ labels AS (SELECT id, dense_rank() OVER (ORDER BY first) AS cluster FROM firsts)
 """
 
 
-@query(LABELS + "SELECT id, cluster FROM labels")
+#: A vector as the three grids of a 64 pixel detector: its numbers, over and over.
+TENSORS = """SELECT vec_id AS photo_id, 40 + vec_id % 100 AS width, 30 + vec_id % 130 AS height, stride, transform(cells, i -> 0.5e0 + 3 * CAST(embedding[i % 64] AS DOUBLE)) AS cls, transform(cells, i -> 0.5e0 + 3 * CAST(embedding[(i + 7) % 64] AS DOUBLE)) AS obj,
+ transform(flatten(transform(cells, i -> array(4 * i, 4 * i + 1, 4 * i + 2, 4 * i + 3))), i -> CAST(embedding[i % 64] AS DOUBLE)) AS bbox, transform(sequence(0, 10 * size(cells) - 1), i -> CAST(embedding[(3 * i + 1) % 64] AS DOUBLE)) AS kps
+FROM (SELECT *, sequence(0, CAST((64 / stride) * (64 / stride) AS INT) - 1) AS cells FROM (SELECT *, explode(array(8, 16, 32)) AS stride FROM {embeddings} WHERE size(embedding) = 64))"""
+
+
+@query("""WITH base AS (SELECT vec_id AS photo_id, 40 + vec_id % 100 AS width, 30 + vec_id % 130 AS height, embedding AS e, unnest([8, 16, 32]) AS stride FROM embeddings WHERE len(embedding) = 64),
+grid AS (SELECT *, unnest(range(0, CAST((64 // stride) * (64 // stride) AS BIGINT))) AS cell, 64e0 / greatest(width, height) AS scale FROM base),
+scored AS (SELECT *, (0.5e0 + 3 * e[1 + cell % 64]::DOUBLE) * (0.5e0 + 3 * e[1 + (cell + 7) % 64]::DOUBLE) AS score, floor((64 - least(greatest(floor(width * scale + 0.5), 1), 64)) / 2) AS px, floor((64 - least(greatest(floor(height * scale + 0.5), 1), 64)) / 2) AS py,
+ cell % (64 // stride) + e[1 + (4 * cell) % 64]::DOUBLE AS x, cell // (64 // stride) + e[1 + (4 * cell + 1) % 64]::DOUBLE AS y, exp(e[1 + (4 * cell + 2) % 64]::DOUBLE) / 2 AS w, exp(e[1 + (4 * cell + 3) % 64]::DOUBLE) / 2 AS h FROM grid)
+SELECT photo_id, stride, CAST(cell AS INTEGER) AS cell, round(score, 6) AS score, round(((x - w) * stride - px) / scale / width, 6) AS x1, round(((y - h) * stride - py) / scale / height, 6) AS y1,
+ round(((x + w) * stride - px) / scale / width, 6) AS x2, round(((y + h) * stride - py) / scale / height, 6) AS y2, round(((cell % (64 // stride) + e[1 + (3 * (10 * cell + 4) + 1) % 64]::DOUBLE) * stride - px) / scale, 6) AS nose_x FROM scored WHERE score >= 0.6""")
+def detected_candidates(spark, d):
+    outputs = spark.sql(TENSORS, embeddings=X.table(spark, d, "embeddings"))
+    found = detector.candidates(outputs, 64)
+    rounded = [F.round(c, 6).alias(c) for c in ("score", "x1", "y1", "x2", "y2")]
+    return found.select("photo_id", "stride", "cell", *rounded, F.round(F.col("landmarks")[2]["x"], 6).alias("nose_x"))
+
+
+@query(CLUSTERED + "SELECT id, cluster FROM labels")
 def cluster_labels(spark, d):
     return _clusters(spark, d)[1]
 
@@ -582,7 +610,7 @@ def cluster_constraint_violations(spark, d):
     return pairs.join(ok, ["id", "b"], "left_anti").agg(F.count(F.lit(1)).alias("violations"))
 
 
-@query(LABELS + "SELECT cluster, count(*) AS faces FROM labels GROUP BY cluster")
+@query(CLUSTERED + "SELECT cluster, count(*) AS faces FROM labels GROUP BY cluster")
 def cluster_sizes(spark, d):
     return _clusters(spark, d)[1].groupBy("cluster").agg(F.count(F.lit(1)).alias("faces"))
 
@@ -697,10 +725,10 @@ def rearm_faces(spark, d):
     return mutations.rearm(photos, X.faces(spark, d), photos.filter("id % 9 = 0").select("id"))[1].select("id")
 
 
-@query("SELECT a, b FROM (VALUES (2, 5), (1, 3)) t(a, b)")
+@query("SELECT DISTINCT least(id, id * 3 % 40) AS a, greatest(id, id * 3 % 40) AS b FROM named EXCEPT SELECT a, b FROM apart")
 def new_exemptions(spark, d):
-    asked = spark.createDataFrame([(5, 2), (2, 1), (3, 1), (1, 3)], "a long, b long")
-    return mutations.new_pairs(X.cannot_link(spark), asked)
+    asked = X.named(spark, d).select(F.col("id").alias("a"), (F.col("id") * 3 % 40).alias("b"))
+    return mutations.new_pairs(X.apart(spark, d), asked)
 
 
 # ---- scan and change capture ----
@@ -784,24 +812,27 @@ def cache_buckets(spark, d):
 
 # ---- scalars over small tables of cases ----
 
-NAMES = [
-    "PXL_20240614_155210823.jpg", "IMG_20230101.jpg", "2024-06-14 12.30.00.jpg", "VID_2022_12_25.mp4", "DSC_0042.jpg", "99999999.jpg", "a19991231T235959", "x20230231.jpg", "20240101_256199.jpg", "120240101.jpg",
-]
 DUCK_DATE = r"(?:^|[^0-9])(199[0-9]|20[0-2][0-9]|203[0-5])[-_. T:/]?(0[1-9]|1[0-2])[-_. T:/]?(0[1-9]|[12][0-9]|3[01])(?:[-_. T:/]?([0-9]{2})[-_. T:/]?([0-9]{2})(?:[-_. T:/]?([0-9]{2}))?)?"
+#: File names with an order's date in several styles, some without one, and times beyond the clock.
+FILES = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat('PXL_', {day}, '_', lpad(CAST(o_orderkey % 259999 AS {S}), 6, '0'), '123.jpg') WHEN 1 THEN concat('IMG_', {day}, '.jpg') WHEN 2 THEN concat({dashed}, ' 12.30.00.jpg')
+ WHEN 3 THEN concat('DSC_', CAST(o_orderkey AS {S}), '.jpg') WHEN 4 THEN concat('1', {day}, '.jpg') ELSE concat('a', {day}, 'T', lpad(CAST(o_orderkey * 7919 % 1000000 AS {S}), 6, '0')) END AS name FROM {orders}"""
+DUCK_DAYS = {"day": "strftime(o_orderdate, '%Y%m%d')", "dashed": "strftime(o_orderdate, '%Y-%m-%d')", "S": "VARCHAR", "orders": "orders"}
+SPARK_DAYS = {"day": "date_format(o_orderdate, 'yyyyMMdd')", "dashed": "date_format(o_orderdate, 'yyyy-MM-dd')", "S": "STRING"}
 
 
-@query("WITH names AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + f""") t(name)), parts AS (SELECT name, {', '.join(f"try_cast(regexp_extract(name, '{DUCK_DATE}', {i}) AS BIGINT) AS p{i}" for i in range(1, 7))} FROM names)
-SELECT name, CASE WHEN p1 IS NOT NULL THEN epoch_us(make_timestamp(p1, p2, 1, 0, 0, 0)) // 1000000 + (p3 - 1) * 86400 + CASE WHEN p4 <= 23 AND p5 <= 59 AND coalesce(p6, 0) <= 59 THEN p4 * 3600 + p5 * 60 + coalesce(p6, 0) ELSE 0 END END AS ts FROM parts""")
+@query(f"""WITH names AS ({FILES.format(**DUCK_DAYS)}), parts AS (SELECT id, {', '.join(f"try_cast(regexp_extract(name, '{DUCK_DATE}', {i}) AS BIGINT) AS p{i}" for i in range(1, 7))} FROM names)
+SELECT id, CASE WHEN p1 IS NOT NULL THEN epoch_us(make_timestamp(p1, p2, 1, 0, 0, 0)) // 1000000 + (p3 - 1) * 86400 + CASE WHEN p4 <= 23 AND p5 <= 59 AND coalesce(p6, 0) <= 59 THEN p4 * 3600 + p5 * 60 + coalesce(p6, 0) ELSE 0 END END AS ts FROM parts""")
 def filename_dates(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", S.filename_date(F.col("name")).alias("ts"))
-
-
-EXIF = [("2024:06:14 12:30:05", 1718368205), ("2024-06-14", 1718323200), ("2023:02:31 00:00:00", 1677801600), ("1899:01:01 00:00:00", None), ("2024:13:01", None), ("x", None), ("2024:06:14 aa:30", 1718325000), (" 2000:01:01 1:2:3 ", 946688523)]
+    names = spark.sql(FILES.format(**SPARK_DAYS, orders="{orders}"), orders=X.table(spark, d, "orders"))
+    return names.select("id", S.filename_date(F.col("name")).alias("ts"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else f'CAST({b} AS BIGINT)'})" for a, b in EXIF) + ") t(text, ts)")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN epoch_us(o_orderdate) // 1000000 + o_orderkey % 86400 WHEN 1 THEN epoch_us(o_orderdate) // 1000000 WHEN 2 THEN epoch_us(date_trunc('month', o_orderdate)) // 1000000 + 30 * 86400 END AS ts FROM orders")
 def exif_dates(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in EXIF], "text string").select("text", S.exif_datetime(F.col("text")).alias("ts"))
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    clock = F.date_format(F.timestamp_seconds(key % 86400), "HH:mm:ss")
+    text = F.when(key % 4 == 0, F.concat(F.date_format(day, "yyyy:MM:dd "), clock)).when(key % 4 == 1, F.date_format(day, "yyyy-MM-dd")).when(key % 4 == 2, F.date_format(day, "yyyy:MM:31 00:00:00")).otherwise(F.date_format(day, "yyyy:13:dd"))
+    return X.table(spark, d, "orders").select(key.alias("id"), S.exif_datetime(text).alias("ts"))
 
 
 @query("SELECT id, round(lat_ + m / 60.0 + s / 3600.0, 6) * CASE WHEN ref = 'S' THEN -1 ELSE 1 END + 0.0 AS degrees FROM (SELECT id, CAST(id % 90 AS DOUBLE) AS lat_, CAST(id % 60 AS DOUBLE) AS m, CAST(id % 59 AS DOUBLE) AS s, CASE WHEN id % 2 = 0 THEN 'S' ELSE 'N' END AS ref FROM photos)")
@@ -816,15 +847,19 @@ def format_bytes(spark, d):
     return X.photos(spark, d).select("id", S.human_bytes(F.col("size") * F.col("size") * 3).alias("label"))
 
 
-SHOTS = [(0.004, 1.8, 100, 24.0, "Canon", "Canon EOS R6"), (0.5, 2.0, 3200, 50.04, "Google", "Pixel 7"), (2.0, 5.6, 64, 35.5, None, "X100"), (1.3, 11.0, 800, 85.0, "NIKON", None)]
-LABELS = [("1/250s", "ƒ/1.8", "ISO 100", "24mm", "Canon EOS R6"), ("1/2s", "ƒ/2", "ISO 3200", "50mm", "Google Pixel 7"), ("2s", "ƒ/5.6", "ISO 64", "35.5mm", "X100"), ("1.3s", "ƒ/11", "ISO 800", "85mm", "NIKON")]
+SHORT = "CASE WHEN abs({0} - floor({0} + 0.5)) < 0.05 THEN CAST(CAST(floor({0} + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', {0}) END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in LABELS) + ") t(exposure, f_number, iso, focal, camera)")
+@query(f"""WITH shots AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) / 16 AS f, 1e0 / (1 + p_partkey % 250) * CASE WHEN p_partkey % 5 = 0 THEN 300 ELSE 1 END AS t, CAST(p_partkey % 240 AS DOUBLE) / 4 AS mm,
+ CASE WHEN p_partkey % 11 > 0 THEN left(p_brand, 5) END AS make, CASE WHEN p_partkey % 13 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_name END END AS model FROM part)
+SELECT id, CASE WHEN t < 1 THEN '1/' || CAST(CAST(floor(1 / t + 0.5) AS BIGINT) AS VARCHAR) || 's' ELSE {SHORT.format('t')} || 's' END AS exposure, 'ƒ/' || {SHORT.format('f')} AS f_number, 'ISO ' || id AS iso, {SHORT.format('mm')} || 'mm' AS focal,
+ CASE WHEN make IS NULL THEN model WHEN model IS NULL THEN make WHEN contains(lower(model), lower(make)) THEN model ELSE make || ' ' || model END AS camera FROM shots""")
 def exposure_label(spark, d):
-    shots = spark.createDataFrame(SHOTS, "t double, f double, iso int, mm double, make string, model string")
-    col = F.col
-    return shots.select(S.exposure_label(col("t")).alias("exposure"), S.f_number_label(col("f")).alias("f_number"), S.iso_label(col("iso")).alias("iso"), S.focal_label(col("mm")).alias("focal"), S.camera_label(col("make"), col("model")).alias("camera"))
+    key, col = F.col("p_partkey"), F.col
+    make = F.when(key % 11 > 0, F.left(F.col("p_brand"), F.lit(5)))
+    model = F.when(key % 13 > 0, F.when(key % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_name")))
+    shots = X.table(spark, d, "part").select(key.alias("id"), (F.col("p_size").cast("double") / 16).alias("f"), (F.lit(1.0) / (1 + key % 250) * F.when(key % 5 == 0, 300).otherwise(1)).alias("t"), ((key % 240).cast("double") / 4).alias("mm"), make.alias("make"), model.alias("model"))
+    return shots.select("id", S.exposure_label(col("t")).alias("exposure"), S.f_number_label(col("f")).alias("f_number"), S.iso_label(col("id")).alias("iso"), S.focal_label(col("mm")).alias("focal"), S.camera_label(col("make"), col("model")).alias("camera"))
 
 
 @query("SELECT n, CASE WHEN n > 999 THEN CAST(CAST(floor(n / 1000 + 0.5) AS BIGINT) AS VARCHAR) || 'k' ELSE CAST(n AS VARCHAR) END AS badge FROM (SELECT DISTINCT size AS n FROM photos)")
@@ -832,9 +867,9 @@ def count_badges(spark, d):
     return X.photos(spark, d).select(F.col("size").alias("n")).distinct().select("n", S.count_badge(F.col("n")).alias("badge"))
 
 
-@query("SELECT CAST(h AS INTEGER) AS hour, CASE WHEN h < 12 THEN 'Good morning' WHEN h < 18 THEN 'Good afternoon' ELSE 'Good evening' END AS greeting FROM range(24) t(h)")
+@query("SELECT event_id AS id, CASE WHEN hour(ts) < 12 THEN 'Good morning' WHEN hour(ts) < 18 THEN 'Good afternoon' ELSE 'Good evening' END AS greeting FROM events")
 def greetings(spark, d):
-    return spark.range(24).select(F.col("id").cast("int").alias("hour"), S.greeting(F.col("id")).alias("greeting"))
+    return X.table(spark, d, "events").select(F.col("event_id").alias("id"), S.greeting(F.hour("ts")).alias("greeting"))
 
 
 @query("SELECT id, mtime AS ts FROM photos")

@@ -33,6 +33,11 @@ SELECT vec_id AS id, CAST(floor(CAST(vec_id * 2 AS DOUBLE) / 5) AS BIGINT) AS ph
  CASE WHEN vec_id % 23 = 0 THEN 1 ELSE 0 END AS ignored, embedding
 FROM embeddings"""
 
+#: People by the hundred, many of one name, and pairs of them that someone told apart.
+NAMED = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN concat('Ál ', n_name) ELSE n_name END AS name
+FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey"""
+APART = "SELECT DISTINCT least(s_suppkey, s_suppkey * 7 % 50) AS a, greatest(s_suppkey, s_suppkey * 7 % 50) AS b FROM {supplier} WHERE s_suppkey % 4 = 1 AND s_suppkey <> s_suppkey * 7 % 50"
+
 IDENTITIES = [(1, "Mía"), (2, "Ángel"), (3, "Omar"), (4, "Kevin"), (5, None)]
 CANNOT_LINK = [(1, 2), (3, 4)]
 
@@ -47,6 +52,8 @@ def duck(sql: str) -> str:
     ctes = {
         "photos": PHOTOS.format(S="VARCHAR", H="sha256(d.text)"),
         "faces": FACES,
+        "named": NAMED.format(supplier="supplier", nation="nation"),
+        "apart": APART.format(supplier="supplier"),
         "identities": _values(IDENTITIES, "id, name"),
         "cannot_link": _values(CANNOT_LINK, "a, b"),
         "pool": "SELECT *, coalesce(-identity_id, cluster_id) AS g FROM faces WHERE cluster_id IS NOT NULL AND ignored = 0",
@@ -71,6 +78,14 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FACES.replace("FROM embeddings", "FROM {embeddings}"), embeddings=table(spark, sf_dir, "embeddings"))
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(NAMED, supplier=table(spark, sf_dir, "supplier"), nation=table(spark, sf_dir, "nation"))
+
+
+def apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(APART, supplier=table(spark, sf_dir, "supplier"))
+
+
 def identities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(IDENTITIES, "id long, name string")
 
