@@ -7,24 +7,34 @@ benchmark windows, and best-fit packing lays out what is left as sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from heliograph.llm.storage import materialize, table
+from heliograph.llm.storage import fresh_names, materialize, table
 
 #: No SQL engine expresses compression or tokenizers; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
+def with_own_columns(docs: DataFrame, replaced: tuple[str, ...], operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operate`` leaves of ``docs``, with docs' own columns of names that it replaces brought back."""
+    taken = [c for c in docs.columns if c.lower() in replaced]
+    aside = dict(zip(taken, fresh_names(docs.columns, *(f"_{c}" for c in taken))))
+    left = operate(docs.withColumnsRenamed(aside))
+    return left.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told clearly; learned from those outside the held-out fold.
 
     Null texts and texts without a letter go, and so do ties. Repeated rows stay as they are.
     """
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    found = language_id.identify(docs, model)
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    clear = lambda rows: language_id.identify(rows, model).filter(~F.col("rejected"))
+    return with_own_columns(docs, ("lang_pred", "score", "rejected"), clear)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts stay. Repeated rows are one place and stay for the next stage.
     """
-    left = line_dedup.dedup_lines(docs, drop_emptied=True).select(*docs.columns)
+    left = with_own_columns(docs, ("n_lines", "n_removed"), lambda rows: line_dedup.dedup_lines(rows, drop_emptied=True))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

@@ -97,7 +97,7 @@ def identify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame
     with equally many bytes the first by name is predicted, with score 0.5, and rejected. Whole
     texts are compressed; EXCERPT bounds only what a dictionary takes from a document.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DICTIONARY_BYTES a language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

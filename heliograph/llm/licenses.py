@@ -54,6 +54,8 @@ def default_templates() -> list[Template]:
 
 
 def template_grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    if short := [t.words for t in templates if len(t.words) < K]:
+        raise ValueError(f"a template needs {K} words at least, as places are found by {K}-word grams: {short}")
     rows = [(t.number, t.label, t.base, len(t.words), p, list(t.words)) for t in templates for p in range(len(t.words) - K + 1)]
     grams = spark.createDataFrame(rows, "template int, label string, base boolean, size int, place int, template_words array<string>")
     grams = grams.withColumn("hash", gram_hash("template_words", "place", K)).withColumn("gram", F.slice("template_words", F.col("place") + 1, K))
@@ -66,7 +68,8 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> D
     n_base, first_word and last_word count and bound the places of base phrases; base_labels and
     labels are distinct, sorted and comma-joined ('' for none). score is the largest covered share
     of a template, 1 with a base phrase, 0 with nothing found. A null text is empty. Repeated
-    rows keep a row each, an empty table gives none, and other columns are ignored.
+    rows keep a row each, an empty table gives none, and other columns are ignored. Templates of
+    fewer than K words are an error.
     """
     spark = docs.sparkSession
     templates = default_templates() if templates is None else templates

@@ -22,11 +22,21 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
     shingles; a document of fewer words has one shingle of them all, and one without words, or a
     null, links with nothing. component_id is the smallest doc_id reachable. No link between
     different sets is lost: candidate keys are exact. Sets are held as 64-bit hashes. Repeated
-    rows keep a row each; a null doc_id keeps null; an empty table gives no rows.
+    rows keep a row each, and rows of one doc_id with different texts are documents of their own;
+    a null doc_id keeps null; an empty table gives no rows.
     """
     keys = partial(partition_keys, num=num, den=den)
-    found = similar_components(docs.select(F.col("doc_id").alias("id"), "text"), size, num, den, keys)
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    docs = docs.select("doc_id", "text")
+    told = ["doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")]
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if not repeated.take(1):
+        return similar_components(docs.select(F.col("doc_id").alias("id"), "text"), size, num, den, keys).withColumnRenamed("id", "doc_id").select(*told)
+    rows = numbered(docs, "row")
+    found = materialize(similar_components(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("id"), "text"), size, num, den, keys), "row-components")
+    placed = rows.select(F.col("row").alias("id"), "doc_id").join(found, "id").withColumnRenamed("component", "group")
+    least = materialize(placed.groupBy("group").agg(F.min("doc_id").alias("component")), "group-ids")
+    unnamed = found.filter("id IS NULL").select(F.col("id").alias("doc_id"), "n", "component")
+    return placed.join(least, "group").select("doc_id", "n", "component").unionByName(unnamed).select(*told)
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:

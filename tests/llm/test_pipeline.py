@@ -33,6 +33,15 @@ def test_extra_columns_survive(spark, sf_dir):
     assert set(language_id.identify(docs, model).columns) >= set(docs.columns)
 
 
+def test_stages_keep_the_values_of_columns_with_their_names(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    docs = base.selectExpr("*", "doc_id * 2 AS Rejected", "'x' AS lang_pred", "7.5 AS score", "42 AS n_lines", "doc_id + 1 AS N_Removed", "1 AS _Rejected")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.dedup_lines):
+        left = stage(spark, docs, sf_dir)
+        assert left.columns == docs.columns and left.count() > 100
+        assert left.filter("Rejected <> doc_id * 2 or lang_pred <> 'x' or score <> 7.5 or n_lines <> 42 or N_Removed <> doc_id + 1 or _Rejected <> 1").count() == 0
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _id int, _gone int, tag string, left int, row long, _row int, component int"
 ENGLISH = "the quick brown fox and the lazy dog went to the river in the morning and it was cold"
 

@@ -71,6 +71,11 @@ def test_license_with_an_inserted_word(spark):
     assert got == {1: "apache-2.0", 2: ""}
 
 
+def test_license_templates_of_one_word_are_refused(spark):
+    with pytest.raises(ValueError, match="unlicense"):
+        licenses.scan_licenses(frame(spark, ODD), [licenses.Template(0, "u", ("unlicense",), True)])
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     """The join of many shingles, and rows that come in another order whenever they are read."""
     from heliograph.llm import words
