@@ -13,7 +13,7 @@ join over cells.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ RADIUS, EXTENT, MAX_ZOOM = 64, 512, 17
 #: Units around the world.
 WORLD = 1 << 28
 #: Cells along a block's side; nodes that one task may hold for all zooms left.
-SIDE, SMALL = 8, 50_000
+SIDE, SMALL = 8, 10_000
 
 FREE, FOUNDER, TAKEN = 0, 1, 2
 NODE = "id long, n long, sx long, sy long"
@@ -50,29 +50,31 @@ def degrees(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan(F.sinh(3.141592653589793 * (1 - 2 * y / WORLD)))), x / WORLD * 360 - 180
 
 
-def settle(ids: list[int], xs: list[int], ys: list[int], state: list[int], own: list[bool], r: int) -> list[int]:
+def settle(ids: list[int], xs: list[int], ys: list[int], state: list[int], own: list[bool], r: int, block: list | None = None) -> list[int]:
     """States after a walk in id order; a free node stays so if a smaller one near it does.
 
     Nodes that aren't ``own`` are a halo: what is known of them counts, but nothing is decided.
+    Nodes of different ``block`` don't meet.
     """
     founders, open_ = defaultdict(list), defaultdict(list)
-    state = list(state)
-    for i, (x, y) in enumerate(zip(xs, ys)):
-        if state[i] == FOUNDER:
-            founders[x // r, y // r].append((ids[i], x, y))
+    state, block = list(state), block or [0] * len(ids)
+    cells = [(k, x // r, y // r) for k, x, y in zip(block, xs, ys)]
+    for i in np.flatnonzero(np.array(state) == FOUNDER).tolist():
+        founders[cells[i]].append((ids[i], xs[i], ys[i]))
+    shared = Counter(cells)
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     for i in sorted(range(len(ids)), key=ids.__getitem__):
         if state[i] != FREE:
             continue
-        x, y, f = xs[i], ys[i], ids[i]
-        cells = [(x // r + a, y // r + b) for a, b in around]
-        if any(g < f and (x - p) ** 2 + (y - q) ** 2 <= r * r for c in cells for g, p, q in founders.get(c, ())):
+        x, y, f, (k, cx, cy) = xs[i], ys[i], ids[i], cells[i]
+        near = [c for c in ((k, cx + a, cy + b) for a, b in around) if c in shared]
+        if any(g < f and (x - p) ** 2 + (y - q) ** 2 <= r * r for c in near for g, p, q in founders.get(c, ())):
             state[i] = TAKEN
-        elif not own[i] or any((x - p) ** 2 + (y - q) ** 2 <= r * r for c in cells for p, q in open_.get(c, ())):
-            open_[x // r, y // r].append((x, y))
+        elif not own[i] or any((x - p) ** 2 + (y - q) ** 2 <= r * r for c in near for p, q in open_.get(c, ())):
+            open_[cells[i]].append((x, y))
         else:
             state[i] = FOUNDER
-            founders[x // r, y // r].append((f, x, y))
+            founders[cells[i]].append((f, x, y))
     return state
 
 
@@ -80,17 +82,30 @@ def _founders(nodes: DataFrame, r: int, side: int) -> DataFrame:
     """(id, x, y, state) of nodes (id, x, y), in rounds until every node is a founder or taken."""
     left = nodes.select("id", "x", "y", F.lit(FREE).alias("state"))
 
-    def walk(block: pd.DataFrame) -> pd.DataFrame:
-        state = settle(block["id"].tolist(), block["x"].tolist(), block["y"].tolist(), block["state"].tolist(), block["own"].tolist(), r)
-        block["state"] = state
-        return block.loc[block["own"], ["id", "x", "y", "state"]]
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole blocks as they come, sorted by block; the last one of a batch waits for its rest."""
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch])
+            last = held[["bx", "by"]].iloc[-1]
+            open_ = (held["bx"] == last["bx"]) & (held["by"] == last["by"])
+            yield decided(held[~open_])
+            held = held[open_]
+        if held is not None:
+            yield decided(held)
+
+    def decided(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = [rows[c].tolist() for c in ("id", "x", "y", "state", "own")]
+        state = settle(*columns, r, list(zip(rows["bx"].tolist(), rows["by"].tolist())))
+        return rows.assign(state=state).loc[rows["own"], ["id", "x", "y", "state"]]
 
     while True:
         cell = lambda name, step: F.floor((F.floor(F.col(name) / r) + step) / side)
         blocks = F.array_distinct(F.array(*[F.struct(cell("x", a).alias("bx"), cell("y", b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
         held = left.withColumn("home", F.struct(cell("x", 0).alias("bx"), cell("y", 0).alias("by"))).withColumn("block", F.explode(blocks))
         halo = held.select("id", "x", "y", "state", (F.col("home") == F.col("block")).alias("own"), "block.bx", "block.by")
-        left = written(halo.groupBy("bx", "by").applyInPandas(walk, "id long, x long, y long, state int"), "map-states")
+        dealt = halo.repartition("bx", "by").sortWithinPartitions("bx", "by")
+        left = written(dealt.mapInPandas(walk, "id long, x long, y long, state int"), "map-states")
         if not left.filter(F.col("state") == FREE).take(1):
             return left
 
