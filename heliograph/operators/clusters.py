@@ -78,13 +78,14 @@ def link_block(groups: dict[int, list[int]], edges: list[tuple], mat: np.ndarray
 
 
 #: Faces that a task links at once.
-BLOCK_FACES = 50_000
+BLOCK_FACES = 100_000
 
 
-def _blocks(edges: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+def _blocks(edges: DataFrame, sizes: DataFrame, limit: int, total: int) -> DataFrame:
     """(g, block): two groups that are each other's strongest neighbour share a block, and others follow theirs.
 
-    Where that makes a block too large, only its two central groups stay in it.
+    Where that brings too many together, only the two central groups stay. Small gatherings share a
+    block, as a task's groups cost more than their rows.
     """
     ends = edges.select(F.col("ga").alias("g"), F.col("gb").alias("other"), "rank").union(edges.select("gb", "ga", "rank"))
     best = ends.groupBy("g").agg(F.max(F.struct("rank", "other")).getField("other").alias("best"))
@@ -96,7 +97,8 @@ def _blocks(edges: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
         at = at.join(step, "block").select("g", "core", F.when(F.col("core"), F.col("block")).otherwise(F.col("next")).alias("block"))
     at = written(at.join(sizes, "g"), "link-blocks")
     wide = at.groupBy("block").agg(F.sum("n").alias("total")).filter(F.col("total") > limit).select("block", F.lit(True).alias("wide"))
-    return at.join(wide, "block", "left").select("g", F.when(F.col("core") | F.col("wide").isNull(), F.col("block")).otherwise(F.col("g")).alias("block"))
+    gathered = F.when(F.col("core") | F.col("wide").isNull(), F.col("block")).otherwise(F.col("g"))
+    return at.join(wide, "block", "left").select("g", F.pmod(F.xxhash64(gathered), F.lit(-(-4 * total // limit))).alias("block"))
 
 
 def linked(edges: DataFrame, faces: DataFrame, tau: float, limit: int = BLOCK_FACES) -> DataFrame:
@@ -133,7 +135,7 @@ def linked(edges: DataFrame, faces: DataFrame, tau: float, limit: int = BLOCK_FA
         if total <= limit:
             blocks = label.select("g").distinct().withColumn("block", F.lit(0).cast("long"))
         else:
-            blocks = _blocks(edges, label.groupBy("g").agg(F.count(F.lit(1)).alias("n")), limit)
+            blocks = _blocks(edges, label.groupBy("g").agg(F.count(F.lit(1)).alias("n")), limit, total)
         of = lambda g: blocks.select(F.col("g").alias(g), F.col("block").alias(f"{g}_block"))
         inner = F.col("ga_block") == F.col("gb_block")
         dealt = edges.join(of("ga"), "ga").join(of("gb"), "gb").withColumn("inner", inner).withColumn("block", F.explode(F.array_distinct(F.array("ga_block", "gb_block"))))
