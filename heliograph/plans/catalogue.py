@@ -191,12 +191,12 @@ def folded_paths_udf(spark, d):
     return X.photos(spark, d).select("id", S.fold_exact("path").alias("folded"))
 
 
-@query("SELECT id, name FROM named WHERE contains(strip_accents(lower(name)), 'al n') ORDER BY name, id LIMIT 6")
+@query("SELECT id, name FROM crowd WHERE contains(strip_accents(lower(name)), 'al n') ORDER BY name, id LIMIT 6")
 def people_suggestions(spark, d):
     return people.suggestions(X.named(spark, d), "Ál n")
 
 
-@query("SELECT id, name FROM named WHERE strip_accents(lower(name)) = (SELECT min(strip_accents(lower(name))) FROM named) AND id <> 1")
+@query("SELECT id, name FROM crowd WHERE strip_accents(lower(name)) = (SELECT min(strip_accents(lower(name))) FROM crowd) AND id <> 1")
 def exact_name_match(spark, d):
     who = X.named(spark, d)
     wanted = who.select(F.min(S.fold(F.col("name")))).first()[0]
@@ -373,7 +373,7 @@ def double_detections(spark, d):
     return people.double_detections(X.faces(spark, d), 0.1).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
-IMPLICIT = "SELECT a.id AS a, b.id AS b FROM named a JOIN named b ON a.id < b.id AND a.name <> b.name"
+IMPLICIT = "SELECT a.id AS a, b.id AS b FROM crowd a JOIN crowd b ON a.id < b.id AND a.name <> b.name"
 
 
 @query(IMPLICIT)
@@ -725,7 +725,7 @@ def rearm_faces(spark, d):
     return mutations.rearm(photos, X.faces(spark, d), photos.filter("id % 9 = 0").select("id"))[1].select("id")
 
 
-@query("SELECT DISTINCT least(id, id * 3 % 40) AS a, greatest(id, id * 3 % 40) AS b FROM named EXCEPT SELECT a, b FROM apart")
+@query("SELECT DISTINCT least(id, id * 3 % 40) AS a, greatest(id, id * 3 % 40) AS b FROM crowd EXCEPT SELECT a, b FROM apart")
 def new_exemptions(spark, d):
     asked = X.named(spark, d).select(F.col("id").alias("a"), (F.col("id") * 3 % 40).alias("b"))
     return mutations.new_pairs(X.apart(spark, d), asked)

@@ -52,7 +52,7 @@ def duck(sql: str) -> str:
     ctes = {
         "photos": PHOTOS.format(S="VARCHAR", H="sha256(d.text)"),
         "faces": FACES,
-        "named": NAMED.format(supplier="supplier", nation="nation"),
+        "crowd": NAMED.format(supplier="supplier", nation="nation"),
         "apart": APART.format(supplier="supplier"),
         "identities": _values(IDENTITIES, "id, name"),
         "cannot_link": _values(CANNOT_LINK, "a, b"),
