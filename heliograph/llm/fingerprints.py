@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.llm.storage import materialize
-from heliograph.llm.words import LOWER, UPPER
+from heliograph.llm.storage import drop, materialize
+from heliograph.llm.words import LOWER, UPPER, small_side
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = (
@@ -26,6 +26,8 @@ ANCHORS = (
 CHAIN = 2
 #: What is put between an anchor and the word after it, and at a text's end; in texts they are blanks.
 GLUE, END = "\x01", "\x02"
+#: Buckets of chains whose frequencies order them for the join.
+LEVEL_BUCKETS = 1 << 16
 #: Buckets of consecutive doc_ids for each shuffle partition, so that uneven hashing evens out.
 BUCKETS_PER_PARTITION = 4
 
@@ -52,7 +54,7 @@ def chains(text: Column, chain: int = CHAIN) -> Column:
     plain = F.concat(F.regexp_replace(F.trim(_plain(text)), " +", " "), F.lit(f" {END}"))
     # Content words, each with the anchors right before it glued on, and the end.
     words = F.filter(F.split(F.regexp_replace(plain, f"(?<![^ ])({anchor}) ", f"$1{GLUE}"), " "), lambda w: w != "")
-    hashed = lambda *of: F.xxhash64(*of).bitwiseAND(F.lit(0xFFFFFFFF))
+    hashed = F.xxhash64
     none = F.array().cast("array<bigint>")
 
     def of_words(words: Column, content: Column) -> Column:
@@ -68,8 +70,8 @@ def chains(text: Column, chain: int = CHAIN) -> Column:
 
 
 def render(signature: Column) -> Column:
-    """A fingerprint as text: eight hexadecimal digits a chain."""
-    return F.array_join(F.transform(signature, lambda h: F.lpad(F.hex(h), 8, "0")), "")
+    """A fingerprint as text: sixteen hexadecimal digits a chain."""
+    return F.array_join(F.transform(signature, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -83,12 +85,14 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     return F.when(a == b, 1.0).when((few == 0) | (few < F.lit(floor) * many), 0.0).otherwise(exact)
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Every row with ``next_<column>`` of the row that follows by (doc_id, text), the last with the first's.
+def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """Every row of (doc_id, text) and columns derived from them, with ``next_<column>`` of the row that follows, the last with the first's.
 
     Rows are dealt to many buckets of consecutive ids; each bucket also gets a copy of the row
-    that begins the next one, so that no global order in one task is needed.
+    that begins the next one, so that no global order in one task is needed. Only texts are
+    shuffled; columns are derived from them where they arrive.
     """
+    carried = ["text", *derived]
     spark = docs.sparkSession
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
     shares = [i / wanted for i in range(1, wanted)]
@@ -100,63 +104,154 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     firsts = {r["bucket"]: r["doc_id"] for r in bucketed.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).collect()}  # a row a bucket
     order = sorted(firsts)
     if not order:
-        return bucketed.select("*", *[F.col(c).alias(f"next_{c}") for c in carried], F.lit(False).alias("ghost")).drop("bucket", "ghost")
+        return docs.withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     before = [(firsts[b], order[i - 1] if i else order[-1]) for i, b in enumerate(order)]
     heads = spark.createDataFrame(before, "doc_id long, bucket int")
     first_ids = [d for d, _ in before if d is not None]
     wanted_rows = F.col("doc_id").isin(first_ids) | (F.col("doc_id").isNull() if None in firsts.values() else F.lit(False))
-    begin = docs.filter(wanted_rows).groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in carried if c != "text"])).alias("own"))
-    begin = begin.join(F.broadcast(heads), begin["doc_id"].eqNullSafe(heads["doc_id"])).select(begin["doc_id"], "bucket", "own.*")
+    begin = docs.filter(wanted_rows).groupBy("doc_id").agg(F.min("text").alias("text"))
+    begin = begin.join(F.broadcast(heads), begin["doc_id"].eqNullSafe(heads["doc_id"])).select(begin["doc_id"], "bucket", "text")
     both = bucketed.withColumn("ghost", F.lit(False)).unionByName(begin.withColumn("ghost", F.lit(True)), allowMissingColumns=True)
     follow = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "text")
-    moved = both.select("*", F.lead(F.struct(*carried)).over(follow).alias("following"))
+    moved = both.repartition("bucket").withColumns(derived).select("*", F.lead(F.struct(*carried)).over(follow).alias("following"))
     return moved.filter(~F.col("ghost")).select("*", *[F.col(f"following.{c}").alias(f"next_{c}") for c in carried]).drop("bucket", "ghost", "following")
 
 
-def fingerprint_documents(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
-    """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text, and likenesses.
+def fingerprint_documents(docs: DataFrame, chain: int = CHAIN, threshold: float = 0.8) -> DataFrame:
+    """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text, likenesses, classes and links.
 
     The edited text has its last quarter (n_chars div 4 code points) replaced by as many of the
     first of the next row's, or all if it has fewer. A null text is empty, and its fingerprint
     too. Rows of equal doc_id follow each other by text. Repeated rows keep a row each; an
     empty table gives no rows; other columns are ignored; a single row follows itself.
+
+    ``class_id`` is the smallest doc_id of the rows with this fingerprint, and ``n_links`` the
+    number of other fingerprints at ``threshold`` or above, found by the length-partitioned join.
+    A row without chains is its own class and linked with nothing.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("spots", chains(F.col("text"), chain))
-    rows = with_next(own, ["text", "spots"])
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(own, {"spots": chains(F.col("text"), chain)})
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))"))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "spots", "next_spots")
     rows = rows.withColumn("edited_spots", chains(F.col("edited"), chain))
-    return rows.select(
+    rows = rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        render(F.col("spots")).alias("fingerprint"),
-        render(F.col("edited_spots")).alias("edited_fingerprint"),
+        "spots",
+        "edited_spots",
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        class_key(F.col("spots")).alias("key"),
+    )
+    prints = materialize(rows, "fingerprints")
+    classes = fingerprint_classes(prints)
+    links = class_links(classes, threshold)
+    drop(classes)
+    return prints.join(small_side(links), "key", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        render(F.col("spots")).alias("fingerprint"),
+        render(F.col("edited_spots")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
+def chain_levels(classes: DataFrame) -> DataFrame:
+    """One row with ``cells``: for each bucket of chains about 2 x the binary logarithm of how often its chains occur.
+
+    The order of chains by these is the same for all sets, which is all that prefixes need: a
+    coarse one costs work, not results. ``LEVEL_BUCKETS`` bounds what comes together here.
+    """
+    spark = classes.sparkSession
+    held = classes.select(F.explode("spots").alias("spot")).groupBy(_bucket(F.col("spot")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    filled = held.union(spark.range(LEVEL_BUCKETS).select("id", F.lit(0).cast("long"))).groupBy("bucket").agg(F.max("n").alias("n"))
+    level = F.floor(2 * F.log2(F.col("n") + 1)).cast("tinyint")
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda c: c["level"])
+    return materialize(filled.groupBy().agg(cells.alias("cells")), "chain-levels")
+
+
+def _bucket(spot: Column) -> Column:
+    return spot.bitwiseAND(F.lit(LEVEL_BUCKETS - 1).cast("long"))
+
+
+def _parities(spots: Column) -> list[Column]:
+    """Four times 64 bits: for each value of eight bits of a chain, whether an odd number of chains has it."""
+    one = F.lit(1).cast("long")
+    value = lambda s: F.shiftrightunsigned(s, 20).bitwiseAND(F.lit(255).cast("long"))
+    part = lambda k: F.aggregate(
+        F.filter(spots, lambda s: F.shiftrightunsigned(value(s), 6) == k), F.lit(0).cast("long"),
+        lambda bits, s: bits.bitwiseXOR(F.call_function("shiftleft", one, value(s).bitwiseAND(F.lit(63).cast("long")).cast("int"))),
+    )
+    return [part(k).alias(f"parity{k}") for k in range(4)]
+
+
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """(row, key, id: the smallest doc_id, spots) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
+
+    A key is 128 bits of a digest of the set. The id of rows that all have no doc_id is null.
+    """
+    held = prints.filter(F.size("spots") > 0).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("spots").alias("spots"))
+    return materialize(held.select(F.monotonically_increasing_id().alias("row"), "key", "id", "spots"), "spot-classes")
+
+
+def class_key(spots: Column) -> Column:
+    return F.unhex(F.md5(render(spots)))
+
+
+def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: rows of classes that share a prefix chain where sizes, places and parities allow ``threshold``.
+
+    Sets are partitioned by length so that only neighbouring partitions can hold a similar pair;
+    a prefix is the rarest chains, as many as a similar set can't all miss.
+    """
+    levels = chain_levels(classes)
+    n = F.size("spots")
+    level = lambda s: F.get(F.col("cells"), _bucket(s).cast("int"))
+    ordered = F.array_sort(F.transform("spots", lambda s: F.struct(level(s).alias("level"), s.alias("spot"))))
+    length = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
+    sized = classes.withColumn("cells", levels.scalar()).select("row", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("prefix"), *_parities(F.col("spots")))
+    part = F.floor(F.log(F.col("n")) / -F.log(F.lit(threshold)))
+    fields = ["row", "n", *[f"parity{k}" for k in range(4)]]
+    listed = sized.select(*fields, part.alias("part"), F.posexplode("prefix").alias("place", "held")).select(*fields, "part", "place", "held.spot")
+    left = listed.select("spot", "part", *[F.col(c).alias(f"a_{c}") for c in (*fields, "place")])
+    right = listed.select("spot", F.explode(F.array("part", F.col("part") + 1, F.col("part") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in (*fields, "place")])
+    few, many = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)  # chains that similar sets share
+    differ = sum((F.bit_count(F.col(f"a_parity{k}").bitwiseXOR(F.col(f"b_parity{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_parity0").bitwiseXOR(F.col("b_parity0"))))
+    room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))  # what can be shared from here on
+    passed = F.least("a_place", "b_place")  # shared before, at most
+    possible = (few >= F.lit(threshold) * many - 1e-9) & (differ <= F.col("a_n") + F.col("b_n") - 2 * least) & (room + passed >= least)
+    return left.join(right, ["spot", "part"]).filter((F.col("a_row") < F.col("b_row")) & possible).select(F.col("a_row").alias("a"), F.col("b_row").alias("b")).distinct()
+
+
+def class_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, a_id, b_id, likeness) of ``fingerprint_classes`` at ``threshold`` or above, a and b their rows."""
+    pairs = materialize(candidate_pairs(classes, threshold), "spot-pairs")
+    side = lambda p: classes.select(F.col("row").alias(p), F.col("id").alias(f"{p}_id"), F.col("spots").alias(f"{p}_spots"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "a_id", "b_id", likeness(F.col("a_spots"), F.col("b_spots"), threshold).alias("likeness")).filter(F.col("likeness") >= threshold)
+
+
+def class_links(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(key, class_id, n_links) of every class: how many others are at ``threshold`` or above; written down."""
+    ends = class_pairs(classes, threshold).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = classes.select("row", "key", F.col("id").alias("class_id")).join(ends, "row", "left")
+    return materialize(counted.select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "spot-links")
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
     """Pairs (a, b, likeness) of different fingerprints at ``threshold`` or above, each by its smallest doc_id.
 
-    Documents of one fingerprint are one class. Classes are partitioned by set length so that
-    only neighbouring partitions can hold a similar pair, and meet there on a chain of their
-    prefixes, ordered from the rarest chain on. Null and empty texts are linked with nothing.
+    Documents of one fingerprint are one class. Null and empty texts are linked with nothing, and
+    classes of rows without doc_id are left out, as they have no name here; an empty table gives
+    no pairs; other columns are ignored. Rows of one doc_id with several texts are in several classes.
     """
-    spots = docs.select("doc_id", chains(F.coalesce("text", F.lit("")), chain).alias("spots")).filter(F.size("spots") > 0)
-    classes = materialize(spots.groupBy("spots").agg(F.min("doc_id").alias("id")), "spot-classes")
-    each = classes.select("id", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    rarity = each.groupBy("spot").agg(F.count(F.lit(1)).alias("held"))
-    ranked = each.join(rarity, "spot").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("held", "spot")))
-    prefix = ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("held") > 1))
-    part = F.floor(F.log(F.col("n")) / -F.log(F.lit(threshold)))
-    left = prefix.select("id", "n", "spot", part.alias("part"))
-    right = left.select(F.col("id").alias("b"), F.col("n").alias("m"), "spot", F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)).alias("part"))
-    fits = (F.col("b") > F.col("id")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m"))
-    pairs = left.join(right, ["spot", "part"]).filter(fits).select(F.col("id").alias("a"), "b").distinct()
-    a = classes.select(F.col("id").alias("a"), F.col("spots").alias("a_spots"))
-    b = classes.select(F.col("id").alias("b"), F.col("spots").alias("b_spots"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", likeness(F.col("a_spots"), F.col("b_spots"), threshold).alias("likeness"))
-    return both.filter(F.col("likeness") >= threshold)
+    spots = docs.select("doc_id", chains(F.coalesce("text", F.lit("")), chain).alias("spots")).withColumn("key", class_key(F.col("spots")))
+    named = class_pairs(fingerprint_classes(spots), threshold).filter("a_id is not null and b_id is not null")
+    return named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "likeness")

@@ -94,7 +94,7 @@ def chain_set(text, size=2):
     text = (text or "").translate({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}).translate(blank)
     words = [w for w in "".join(c for c in text if not (33 <= ord(c) < 127 and not c.isalnum())).split(" ") if w]
     content = [w for w in words if w not in fingerprints.ANCHORS]
-    hashed = lambda a, follow: xxhash.xxh64(follow.encode(), seed=xxhash.xxh64(a.encode(), seed=42).intdigest()).intdigest() & 0xFFFFFFFF
+    hashed = lambda a, follow: xxhash.xxh64(follow.encode(), seed=xxhash.xxh64(a.encode(), seed=42).intdigest()).intdigest()
     found, k = set(), 0
     for w in words:
         if w not in fingerprints.ANCHORS:
@@ -108,6 +108,11 @@ def chain_set(text, size=2):
     return found
 
 
+def written(chains):
+    """A fingerprint's text: chains as signed 64-bit numbers in order."""
+    return "".join(f"{h:016X}" for h in sorted(chains, key=lambda h: h - (h >> 63 << 64)))
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -121,8 +126,8 @@ def test_chains_and_likeness(spark, sf_dir):
             text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
             quarter = len(text) // 4
             own, follows, other = chain_set(text), chain_set(after), chain_set(text[: len(text) - quarter] + after[:quarter])
-            assert got[d]["fingerprint"] == "".join(f"{h:08X}" for h in sorted(own)), text[:99]
-            assert got[d]["edited_fingerprint"] == "".join(f"{h:08X}" for h in sorted(other))
+            assert got[d]["fingerprint"] == written(own), text[:99]
+            assert got[d]["edited_fingerprint"] == written(other)
             assert abs(got[d]["near_edited"] - jaccard(own, other)) < 1e-9 and abs(got[d]["near_next"] - jaccard(own, follows)) < 1e-9
 
 
@@ -207,6 +212,28 @@ def test_fingerprint_pairs(spark):
     assert got == want and want
 
 
+def test_fingerprint_links(spark, sf_dir):
+    """Classes and link counts of the query against all pairs of documents."""
+    rng = random.Random(4)
+    texts = [" ".join(f"the w{rng.randrange(60)} x{rng.randrange(60)}" for _ in range(rng.choice([4, 12, 30]))) for _ in range(20)]
+    variants = [f"{t} of v{k} u{k}" for t in texts[:5] for k in range(12)]
+    many = texts + texts[:6] + variants + ["", None, "the", "Only Two"]
+    for docs in (list(enumerate(many)), [*ODD], small(spark, sf_dir), []):
+        got = fingerprints.fingerprint_documents(frame(spark, docs)).collect()
+        assert len(got) == len(docs)
+        sets = [(d, frozenset(chain_set(t))) for d, t in docs]
+        smallest = {}
+        for d, s in sets:
+            smallest.setdefault(s, set()).add(d)
+        want = []
+        for d, s in sets:
+            ids = [i for i in smallest[s] if i is not None]
+            links = sum(s != o and len(s & o) >= 0.8 * len(s | o) for o in smallest if o and s)
+            want.append((d, (min(ids) if ids else None) if s else d, links))
+        assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=key) == sorted(want, key=key)
+    assert any(w[2] > 2 for w in want) or not want
+
+
 def test_packing(spark, sf_dir):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for docs in (ODD, [], small(spark, sf_dir)):
