@@ -140,21 +140,21 @@ def fingerprint_documents(docs: DataFrame, chain: int = CHAIN, threshold: float
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "spots",
-        "edited_spots",
+        F.array_except("spots", "edited_spots").alias("gone"),
+        F.array_except("edited_spots", "spots").alias("added"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
         class_key(F.col("spots")).alias("key"),
     )
     prints = materialize(rows, "fingerprints")
-    classes = fingerprint_classes(prints)
-    links = class_links(classes, threshold)
-    drop(classes)
+    links = class_links(prints, threshold)
+    edited_spots = F.sort_array(F.concat(F.array_except("spots", "gone"), "added"))  # most chains are of both texts
     return prints.join(small_side(links), "key", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         render(F.col("spots")).alias("fingerprint"),
-        render(F.col("edited_spots")).alias("edited_fingerprint"),
+        render(edited_spots).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
         F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -162,14 +162,14 @@ def fingerprint_documents(docs: DataFrame, chain: int = CHAIN, threshold: float
     )
 
 
-def chain_levels(classes: DataFrame) -> DataFrame:
+def chain_levels(prints: DataFrame) -> DataFrame:
     """One row with ``cells``: for each bucket of chains about 2 x the binary logarithm of how often its chains occur.
 
     The order of chains by these is the same for all sets, which is all that prefixes need: a
     coarse one costs work, not results. ``LEVEL_BUCKETS`` bounds what comes together here.
     """
-    spark = classes.sparkSession
-    held = classes.select(F.explode("spots").alias("spot")).groupBy(_bucket(F.col("spot")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    spark = prints.sparkSession
+    held = prints.select(F.explode("spots").alias("spot")).groupBy(_bucket(F.col("spot")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     filled = held.union(spark.range(LEVEL_BUCKETS).select("id", F.lit(0).cast("long"))).groupBy("bucket").agg(F.max("n").alias("n"))
     level = F.floor(2 * F.log2(F.col("n") + 1)).cast("tinyint")
     cells = F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda c: c["level"])
@@ -180,69 +180,96 @@ def _bucket(spot: Column) -> Column:
     return spot.bitwiseAND(F.lit(LEVEL_BUCKETS - 1).cast("long"))
 
 
-def _parities(spots: Column) -> list[Column]:
-    """Four times 64 bits: for each value of eight bits of a chain, whether an odd number of chains has it."""
+def _parity(spots: Column, at: int = 20) -> Column:
+    """64 bits: for each value of the six bits of a chain from ``at`` on, whether an odd number of chains has it.
+
+    Sets differ in as many chains at least as their parities in bits.
+    """
     one = F.lit(1).cast("long")
-    value = lambda s: F.shiftrightunsigned(s, 20).bitwiseAND(F.lit(255).cast("long"))
-    part = lambda k: F.aggregate(
-        F.filter(spots, lambda s: F.shiftrightunsigned(value(s), 6) == k), F.lit(0).cast("long"),
-        lambda bits, s: bits.bitwiseXOR(F.call_function("shiftleft", one, value(s).bitwiseAND(F.lit(63).cast("long")).cast("int"))),
-    )
-    return [part(k).alias(f"parity{k}") for k in range(4)]
+    value = lambda s: F.shiftrightunsigned(s, at).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    return F.aggregate(spots, F.lit(0).cast("long"), lambda bits, s: bits.bitwiseXOR(F.call_function("shiftleft", one, value(s))))
 
 
-def fingerprint_classes(prints: DataFrame) -> DataFrame:
-    """(row, key, id: the smallest doc_id, spots) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
+def _fine(spots: Column) -> Column:
+    """256 bits in four numbers, the parities of the chains of each value of two further bits."""
+    two = lambda s: F.shiftrightunsigned(s, 40).bitwiseAND(F.lit(3).cast("long"))
+    part = lambda k: F.filter(spots, lambda s: two(s) == k)
+    return F.array(*[_parity(part(k), 42) for k in range(4)])
 
-    A key is 128 bits of a digest of the set. The id of rows that all have no doc_id is null.
-    """
-    held = prints.filter(F.size("spots") > 0).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("spots").alias("spots"))
-    return materialize(held.select(F.monotonically_increasing_id().alias("row"), "key", "id", "spots"), "spot-classes")
+
+def _shared(threshold: float) -> Column:
+    """The least number of chains that similar sets of a_n and b_n chains share."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
 
 
 def class_key(spots: Column) -> Column:
     return F.unhex(F.md5(render(spots)))
 
 
-def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: rows of classes that share a prefix chain where sizes, places and parities allow ``threshold``.
+def fingerprint_classes(prints: DataFrame, threshold: float) -> DataFrame:
+    """(row, key, id: the smallest doc_id, n, parity, fine, prefix) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
 
-    Sets are partitioned by length so that only neighbouring partitions can hold a similar pair;
-    a prefix is the rarest chains, as many as a similar set can't all miss.
+    A key is 128 bits of a digest of the set. The id of rows that all have no doc_id is null. A
+    prefix is the rarest chains, as many as a similar set can't all miss; sets themselves are
+    left in ``prints``.
     """
-    levels = chain_levels(classes)
+    levels = chain_levels(prints)
     n = F.size("spots")
     level = lambda s: F.get(F.col("cells"), _bucket(s).cast("int"))
     ordered = F.array_sort(F.transform("spots", lambda s: F.struct(level(s).alias("level"), s.alias("spot"))))
     length = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
-    sized = classes.withColumn("cells", levels.scalar()).select("row", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("prefix"), *_parities(F.col("spots")))
+    prefix = F.transform(F.slice(ordered, F.lit(1), length), lambda c: c["spot"])
+    own = prints.filter(F.size("spots") > 0).withColumn("cells", levels.scalar())
+    own = own.select("key", "doc_id", F.struct(n.alias("n"), _parity(F.col("spots")).alias("parity"), _fine(F.col("spots")).alias("fine"), prefix.alias("prefix")).alias("own"))
+    held = own.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("own").alias("own"))
+    return materialize(held.select(F.monotonically_increasing_id().alias("row"), "key", "id", "own.*"), "spot-classes")
+
+
+def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): rows of classes that share a prefix chain where sizes, places and parities allow ``threshold``.
+
+    Sets are partitioned by length so that only neighbouring partitions can hold a similar pair.
+    Each is looked for in its own partition and, as the longer of a pair, in the one below.
+    """
     part = F.floor(F.log(F.col("n")) / -F.log(F.lit(threshold)))
-    fields = ["row", "n", *[f"parity{k}" for k in range(4)]]
-    listed = sized.select(*fields, part.alias("part"), F.posexplode("prefix").alias("place", "held")).select(*fields, "part", "place", "held.spot")
-    left = listed.select("spot", "part", *[F.col(c).alias(f"a_{c}") for c in (*fields, "place")])
-    right = listed.select("spot", F.explode(F.array("part", F.col("part") + 1, F.col("part") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in (*fields, "place")])
+    fields = ["row", "n", "parity", "place"]
+    listed = classes.select("row", "n", "parity", part.alias("part"), F.posexplode("prefix").alias("place", "spot"))
+    left = listed.select("spot", "part", *[F.col(c).alias(f"a_{c}") for c in fields])
+    right = listed.select("spot", F.explode(F.array("part", F.col("part") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in fields])
     few, many = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)  # chains that similar sets share
-    differ = sum((F.bit_count(F.col(f"a_parity{k}").bitwiseXOR(F.col(f"b_parity{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_parity0").bitwiseXOR(F.col("b_parity0"))))
+    least = _shared(threshold)
+    differ = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
     room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))  # what can be shared from here on
     passed = F.least("a_place", "b_place")  # shared before, at most
     possible = (few >= F.lit(threshold) * many - 1e-9) & (differ <= F.col("a_n") + F.col("b_n") - 2 * least) & (room + passed >= least)
-    return left.join(right, ["spot", "part"]).filter((F.col("a_row") < F.col("b_row")) & possible).select(F.col("a_row").alias("a"), F.col("b_row").alias("b")).distinct()
+    met = left.join(right, ["spot", "part"]).filter((F.col("a_row") != F.col("b_row")) & possible)
+    met = met.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct()
+    side = lambda p: classes.select(F.col("row").alias(p), F.col("n").alias(f"{p}_n"), F.col("fine").alias(f"{p}_fine"))
+    known = materialize(met, "spot-met").join(side("a"), "a").join(side("b"), "b")
+    apart = sum((F.bit_count(F.get("a_fine", F.lit(k)).bitwiseXOR(F.get("b_fine", F.lit(k)))) for k in range(4)), F.lit(0))
+    return known.filter(apart <= F.col("a_n") + F.col("b_n") - 2 * _shared(threshold)).select("a", "b")
 
 
-def class_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+def class_pairs(prints: DataFrame, classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, a_id, b_id, likeness) of ``fingerprint_classes`` at ``threshold`` or above, a and b their rows."""
     pairs = materialize(candidate_pairs(classes, threshold), "spot-pairs")
-    side = lambda p: classes.select(F.col("row").alias(p), F.col("id").alias(f"{p}_id"), F.col("spots").alias(f"{p}_spots"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.select("row", "key", "id"), "row")
+    asked = materialize(asked, "spot-asked")
+    sets = prints.join(small_side(asked.select("key")), "key", "left_semi").groupBy("key").agg(F.first("spots").alias("spots"))
+    sets = materialize(asked.join(sets, "key").select("row", "id", "spots"), "spot-sets")
+    side = lambda p: sets.select(F.col("row").alias(p), F.col("id").alias(f"{p}_id"), F.col("spots").alias(f"{p}_spots"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "a_id", "b_id", likeness(F.col("a_spots"), F.col("b_spots"), threshold).alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
-def class_links(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(key, class_id, n_links) of every class: how many others are at ``threshold`` or above; written down."""
-    ends = class_pairs(classes, threshold).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
+def class_links(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(key, class_id, n_links) of every class of ``prints``: how many others are at ``threshold`` or above; written down."""
+    classes = fingerprint_classes(prints, threshold)
+    ends = class_pairs(prints, classes, threshold).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
     counted = classes.select("row", "key", F.col("id").alias("class_id")).join(ends, "row", "left")
-    return materialize(counted.select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "spot-links")
+    links = materialize(counted.select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "spot-links")
+    drop(classes)
+    return links
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
@@ -253,5 +280,6 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> D
     no pairs; other columns are ignored. Rows of one doc_id with several texts are in several classes.
     """
     spots = docs.select("doc_id", chains(F.coalesce("text", F.lit("")), chain).alias("spots")).withColumn("key", class_key(F.col("spots")))
-    named = class_pairs(fingerprint_classes(spots), threshold).filter("a_id is not null and b_id is not null")
+    spots = materialize(spots, "fingerprints")
+    named = class_pairs(spots, fingerprint_classes(spots, threshold), threshold).filter("a_id is not null and b_id is not null")
     return named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "likeness")
