@@ -38,9 +38,11 @@ class SearchIndex:
 
 
 def grams(text: Column) -> Column:
-    """Distinct runs of three characters; none in null and in shorter texts."""
-    n = F.char_length(text)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda at: F.substring(text, at, F.lit(GRAM)))))
+    """Distinct runs of three characters, in one pass over the text; none in shorter ones, null for null.
+
+    Beyond the basic plane some runs more are given, which only cost candidates.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def _segment(photos: DataFrame, per_part: int) -> Segment:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
-from heliograph.operators import clusters, detector, ingest, library, maps, mutations, pages, people, recognition, vectors
+from heliograph.operators import clusters, detector, ingest, library, maps, mutations, pages, people, postings, recognition, vectors
 from heliograph.plans.params import SYNTHETIC
 from heliograph.sources import fixtures as X
 
@@ -181,6 +182,22 @@ def search_count(spark, d):
     return QUERIES["search_month"](spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
+_MOVED = "CASE WHEN id % 11 = 0 THEN concat('/lib/Iceland june/', {id}) ELSE path END"
+_INDEXED = ("search_text", "search_accents", "search_month_prefix_year", "search_person_year", "search_wildcard_literal", "search_two_letters")
+_HITS = " UNION ALL ".join(f"SELECT '{name}' AS search, id FROM now WHERE hidden = 0 AND {' AND '.join(SEARCHES[name][1])}" for name in _INDEXED)
+
+
+@query(f"WITH now AS (SELECT * REPLACE ({_MOVED.format(id='id')} AS path) FROM photos) {_HITS}")
+def postings_searches(spark, d):
+    """An index of two thirds of the photos, extended by the others and those that were moved since."""
+    old, faces, people_ = X.photos(spark, d), X.faces(spark, d), X.identities(spark)
+    now = old.withColumn("path", F.expr(_MOVED.format(id="cast(id as string)")))
+    index = postings.extend(postings.build(old.filter("id % 3 > 0")), now.filter("id % 3 = 0 or id % 11 = 0"))
+    visible = now.filter(library.curation("visible"))
+    found = [postings.search(index, visible, SEARCHES[name][0], faces, people_).select(F.lit(name).alias("search"), "id") for name in _INDEXED]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(f"SELECT id, {DUCK_FOLD.format('path')} AS folded FROM photos")
 def folded_paths(spark, d):
     return X.photos(spark, d).select("id", S.fold(F.col("path")).alias("folded"))

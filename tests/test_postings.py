@@ -6,8 +6,8 @@ import pytest
 
 from heliograph.operators import library, postings
 
-WORDS = ["Iceland", "Ángel", "fiesta", "June", "naïve", "100%_off", "한글", "Straße", "beach", "ab", "İstanbul"]
-QUERIES = ["iceland", "ANGEL fiesta", "june", "jun 2012", "mia", "mia 2012", "100%_off", "ma", "한글", "ß", "", None, "zzz", "/lib/", "ab", "e", "istanbul beach", "2012", "+2012"]
+WORDS = ["Iceland", "Ángel", "fiesta", "June", "naïve", "100%_off", "한글", "Straße", "beach", "ab", "İstanbul", "📷📷📷 trip"]
+QUERIES = ["iceland", "ANGEL fiesta", "june", "jun 2012", "mia", "mia 2012", "100%_off", "ma", "한글", "ß", "", None, "zzz", "/lib/", "ab", "e", "istanbul beach", "📷📷📷", "📷 tri", "2012", "+2012"]
 
 
 @pytest.fixture(scope="module")
