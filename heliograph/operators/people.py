@@ -109,9 +109,10 @@ def constraint_union(explicit: DataFrame, implicit: DataFrame) -> DataFrame:
     return symmetric(explicit).union(symmetric(implicit)).distinct()
 
 
-def cooccurrence(faces: DataFrame) -> DataFrame:
-    """(g, identity_id): groups photographed together with a confirmed face of a person."""
+def cooccurrence(faces: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(g, identity_id): groups, all or some (g), photographed together with a confirmed face of a person."""
     groups = pool(faces).select("g", "photo_id").distinct()
+    groups = groups if only is None else groups.join(only, "g", "left_semi")
     confirmed = faces.filter("confirmed = 1 and ignored = 0 and identity_id is not null").select("identity_id", "photo_id").distinct()
     return groups.join(confirmed, "photo_id").filter(F.col("g") != -F.col("identity_id")).select("g", "identity_id").distinct()
 

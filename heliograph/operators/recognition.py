@@ -51,13 +51,17 @@ def growth_claims(faces: DataFrame, identities: DataFrame, params: Params = DEFA
     A person needs enough anchors. A cluster pictured with the person, or that another confirmed
     person matches clearly better, is no claim.
     """
-    every = matches(faces, params, trim)
+    return claims_of(matches(faces, params, trim), faces, identities, params)
+
+
+def claims_of(every: DataFrame, faces: DataFrame, identities: DataFrame, params: Params = DEFAULT, groups: DataFrame | None = None) -> DataFrame:
+    """Claims from everybody's matches, of all groups or of some (g) whose matches are given whole."""
     rival = every.select("g", F.col("identity_id").alias("other"), F.col("max_sim").alias("other_sim"))
     better = every.join(rival, "g").filter((F.col("other") != F.col("identity_id")) & (F.col("other_sim") > F.col("max_sim") + params.fold_margin))
-    anchored = vectors.anchors(faces, params.anchor_size).groupBy("identity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= params.min_anchor)
-    named = identities.filter("name is not null").select(F.col("id").alias("identity_id"), "name").join(anchored, "identity_id", "left_semi")
+    able = people.confirmed_counts(faces, params.min_anchor).select("identity_id")
+    named = identities.filter("name is not null").select(F.col("id").alias("identity_id"), "name").join(able, "identity_id", "left_semi")
     own = every.filter("g > 0").join(named, "identity_id")
-    own = own.join(people.cooccurrence(faces), ["g", "identity_id"], "left_anti").join(better.select("g", "identity_id"), ["g", "identity_id"], "left_anti")
+    own = own.join(people.cooccurrence(faces, groups), ["g", "identity_id"], "left_anti").join(better.select("g", "identity_id"), ["g", "identity_id"], "left_anti")
     claimants = F.count(F.lit(1)).over(Window.partitionBy("g"))
     return own.select("identity_id", "name", "g", F.col("size").alias("photos"), F.col("max_sim").alias("sim")).withColumn("claimants", claimants)
 
