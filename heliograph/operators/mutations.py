@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,13 @@ class Catalog:
     same_photo_ok: DataFrame
     version: int = 0
 
-    def commit(self, expected: int, **tables: DataFrame) -> Catalog:
-        if expected != self.version:
+    def check(self, expected: int | None) -> None:
+        """Refuse what was decided on another version; None stands for a caller that showed nothing."""
+        if expected not in (None, self.version):
             raise StaleVersion(f"version {self.version}, expected {expected}")
+
+    def commit(self, expected: int | None, **tables: DataFrame) -> Catalog:
+        self.check(expected)
         return replace(self, version=self.version + 1, **tables)
 
     def checkpointed(self) -> Catalog:
@@ -196,21 +201,23 @@ def remove_pairs(pairs: DataFrame, gone: DataFrame) -> DataFrame:
     return pairs.join(symmetric(gone), ["a", "b"], "left_anti")
 
 
-def reject_merge(c: Catalog, a: int, b: int) -> Catalog:
+def reject_merge(c: Catalog, a: int, b: int, *, expected: int | None = None) -> Catalog:
     """Two groups are different people: both become confirmed people with a barrier between them."""
+    c.check(expected)
     faces, identities, ia = ensure_identity(c.faces, c.identities, a)
     faces, identities, ib = ensure_identity(faces, identities, b)
     faces = confirm_identity(confirm_identity(faces, ia), ib)
-    return c.commit(c.version, faces=faces, identities=identities, cannot_link=add_links(c.cannot_link, ia, ib))
+    return c.commit(expected, faces=faces, identities=identities, cannot_link=add_links(c.cannot_link, ia, ib))
 
 
-def not_this_person(c: Catalog, group: int, people: list[int]) -> Catalog:
+def not_this_person(c: Catalog, group: int, people: list[int], *, expected: int | None = None) -> Catalog:
     """A group is none of these people: it becomes a person of its own, apart from each."""
+    c.check(expected)
     faces, identities, own = ensure_identity(c.faces, c.identities, group)
     links = c.cannot_link
     for person in people:
         links = add_links(links, own, _id(person) or person)
-    return c.commit(c.version, faces=confirm_identity(faces, own), identities=identities, cannot_link=links)
+    return c.commit(expected, faces=confirm_identity(faces, own), identities=identities, cannot_link=links)
 
 
 def is_other_named(faces: DataFrame, identities: DataFrame, group: int, identity: int | None) -> bool:
@@ -220,30 +227,33 @@ def is_other_named(faces: DataFrame, identities: DataFrame, group: int, identity
     return bool(faces.filter((F.col("identity_id") == -group) & (F.col("confirmed") == 1)).join(named, F.col("identity_id") == named["id"], "left_semi").take(1))
 
 
-def absorb(c: Catalog, into: int, groups: list[int]) -> Catalog:
+def absorb(c: Catalog, into: int, groups: list[int], *, expected: int | None = None) -> Catalog:
     """Groups go to a person one after another, except itself and other people with names."""
+    c.check(expected)
     faces, identities, own = ensure_identity(c.faces, c.identities, into)
     for group in groups:
         if group in (into, -own) or is_other_named(faces, identities, group, own):
             continue
         faces = confirm_group(adopt_unnamed(faces, identities, group, own), group, _id(group))
         faces, identities = merge_group(faces, identities, own, group)
-    return c.commit(c.version, faces=faces, identities=identities)
+    return c.commit(expected, faces=faces, identities=identities)
 
 
-def merge_groups(c: Catalog, a: int, b: int) -> Catalog:
+def merge_groups(c: Catalog, a: int, b: int, *, expected: int | None = None) -> Catalog:
     """Two groups are one person; a side with a name stays."""
+    c.check(expected)
     names = {r["id"]: r["name"] for r in c.identities.filter(F.col("id").isin([x for x in (_id(a), _id(b)) if x])).collect()}
     into, gone = (b, a) if names.get(_id(b)) and not names.get(_id(a)) else (a, b)
     faces, identities, own = ensure_identity(c.faces, c.identities, into)
     faces, identities = merge_group(faces, identities, own, gone)
-    return c.commit(c.version, faces=confirm_identity(faces, own), identities=identities)
+    return c.commit(expected, faces=confirm_identity(faces, own), identities=identities)
 
 
-def resolve_same_photo(c: Catalog, into: int, group: int, same: bool) -> Catalog:
+def resolve_same_photo(c: Catalog, into: int, group: int, same: bool, *, expected: int | None = None) -> Catalog:
     """Two groups in one photo: the same person, whose pairs are exempt from now on, or two."""
+    c.check(expected)
     if not same:
-        return reject_merge(c, into, group)
+        return reject_merge(c, into, group, expected=expected)
     if is_other_named(c.faces, c.identities, group, _id(into)):
         raise ValueError("the group is another person with a name")
     from heliograph.operators.people import cooccurring_pairs
@@ -251,21 +261,23 @@ def resolve_same_photo(c: Catalog, into: int, group: int, same: bool) -> Catalog
     pairs = cooccurring_pairs(c.faces, into, group).select("a", "b")  # before ids change
     faces, identities, own = ensure_identity(c.faces, c.identities, into)
     faces, identities = merge_group(adopt_unnamed(faces, identities, group, own), identities, own, group)
-    return c.commit(c.version, faces=confirm_identity(faces, own), identities=identities, same_photo_ok=symmetric(c.same_photo_ok.unionByName(pairs)))
+    return c.commit(expected, faces=confirm_identity(faces, own), identities=identities, same_photo_ok=symmetric(c.same_photo_ok.unionByName(pairs)))
 
 
-def reassign(c: Catalog, ids: list[int], source: int | None, target: int | None, name: str | None = None) -> Catalog:
+def reassign(c: Catalog, ids: DataFrame | list[int], source: int | None, target: int | None, name: str | None = None, *, expected: int | None = None) -> Catalog:
     """Faces go to a person, or to a new one (an existing one of that name), apart from where they were."""
+    c.check(expected)
     faces, identities, links = c.faces, c.identities, c.cannot_link
     if target is None:
         held = identities.filter(F.lower("name") == F.lower(F.lit((name or "").strip()))).join(faces.filter("ignored = 0"), identities["id"] == faces["identity_id"], "left_semi").first()
         identities, own = (identities, held["id"]) if held else new_identity(identities, (name or "").strip() or None)
     else:
         faces, identities, own = ensure_identity(faces, identities, target)
-    faces = _set(faces, F.col("id").isin(ids), identity_id=own, confirmed=1, ignored=0)
+    rows, chosen = _in(ids, faces)
+    faces = _set(rows, chosen, identity_id=own, confirmed=1, ignored=0).select(*faces.columns)
     if source is not None and source < 0 and -source != own:
         links = add_links(links, own, -source)
-    return c.commit(c.version, faces=faces, identities=identities, cannot_link=links)
+    return c.commit(expected, faces=faces, identities=identities, cannot_link=links)
 
 
 def set_person(faces: DataFrame, ids: DataFrame | list[int], identity: int) -> DataFrame:
@@ -297,7 +309,8 @@ def restore(faces: DataFrame, states: DataFrame) -> DataFrame:
     return joined.withColumns(fields).select(*faces.columns)
 
 
-def undo(c: Catalog, states: DataFrame, links: DataFrame | None = None, exempt: DataFrame | None = None, name: tuple[int, str | None] | None = None) -> Catalog:
+def undo(c: Catalog, states: DataFrame, links: DataFrame | None = None, exempt: DataFrame | None = None, name: tuple[int, str | None] | None = None, *, expected: int | None = None) -> Catalog:
+    c.check(expected)
     tables = {"faces": restore(c.faces, states)}
     if links is not None:
         tables["cannot_link"] = remove_pairs(c.cannot_link, links)
@@ -305,7 +318,7 @@ def undo(c: Catalog, states: DataFrame, links: DataFrame | None = None, exempt:
         tables["same_photo_ok"] = remove_pairs(c.same_photo_ok, exempt)
     if name is not None:
         tables["identities"] = _set(c.identities, F.col("id") == name[0], name=F.lit(name[1]))
-    return c.commit(c.version, **tables)
+    return c.commit(expected, **tables)
 
 
 def clear_tentative(faces: DataFrame) -> DataFrame:
@@ -331,10 +344,11 @@ def reset_decisions(faces: DataFrame) -> DataFrame:
     return _set(faces, F.lit(True), identity_id=F.lit(None), ignored=0, confirmed=0, cluster_id=F.col("id"))
 
 
-def reset_all_faces(photos: DataFrame, c: Catalog) -> Catalog:
+def reset_all_faces(photos: DataFrame, c: Catalog, *, expected: int | None = None) -> Catalog:
     """Nothing about faces is left, and every photo is to be looked through again."""
+    c.check(expected)
     none = {n: getattr(c, n).limit(0) for n in ("faces", "identities", "cannot_link", "same_photo_ok")}
-    return c.commit(c.version, photos=photos.withColumn("faces_scanned", F.lit(UNSCANNED).cast(photos.schema["faces_scanned"].dataType)), **none)
+    return c.commit(expected, photos=photos.withColumn("faces_scanned", F.lit(UNSCANNED).cast(photos.schema["faces_scanned"].dataType)), **none)
 
 
 def claim_faces(photos: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -349,15 +363,17 @@ def release_claims(photos: DataFrame) -> DataFrame:
     return _set(photos, F.col("faces_scanned") == CLAIMED, faces_scanned=UNSCANNED)
 
 
-def confirm_into(c: Catalog, ids: list[int], group: int) -> tuple[Catalog, DataFrame]:
+def confirm_into(c: Catalog, ids: DataFrame | list[int], group: int, *, expected: int | None = None) -> tuple[Catalog, DataFrame]:
     """Some faces go to a group's person for good, without a barrier to where they were; and their prior states."""
+    c.check(expected)
     prior = capture(c.faces, ids)
     faces, identities, own = ensure_identity(c.faces, c.identities, group)
-    return c.commit(c.version, faces=set_person(faces, ids, own), identities=identities), prior
+    return c.commit(expected, faces=set_person(faces, ids, own), identities=identities), prior
 
 
-def name_faces(c: Catalog, ids: list[int], name: str) -> tuple[Catalog, int, DataFrame]:
+def name_faces(c: Catalog, ids: DataFrame | list[int], name: str, *, expected: int | None = None) -> tuple[Catalog, int, DataFrame]:
     """Some faces go to the person of exactly that name, or to a new one; the person, and prior states."""
+    c.check(expected)
     name = name.strip()
     if not name:
         raise ValueError("a name is required")
@@ -365,16 +381,19 @@ def name_faces(c: Catalog, ids: list[int], name: str) -> tuple[Catalog, int, Dat
     held = identities.filter(F.col("name") == name).join(c.faces.filter("ignored = 0"), identities["id"] == c.faces["identity_id"], "left_semi").agg(F.min("id")).first()[0]
     if held is None:
         identities, held = new_identity(identities, name)
-    return c.commit(c.version, faces=set_person(c.faces, ids, held), identities=identities), held, prior
+    return c.commit(expected, faces=set_person(c.faces, ids, held), identities=identities), held, prior
 
 
-def split(c: Catalog, tagged: dict[int, list[int]], others: list[int]) -> tuple[Catalog, DataFrame]:
+def split(c: Catalog, tagged: dict[int, DataFrame | list[int]], others: DataFrame | list[int], *, expected: int | None = None) -> tuple[Catalog, DataFrame]:
     """A mixed group's faces go to people by tag (group: faces), others stand in their cluster again; untagged ones stay.
 
     The prior states of all of them undo it in one step.
     """
-    prior = capture(c.faces, [i for ids in tagged.values() for i in ids] + others)
+    c.check(expected)
+    table = lambda ids: ids.select(F.col(ids.columns[0]).cast("long").alias("id")) if isinstance(ids, DataFrame) else c.faces.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    prior = capture(c.faces, reduce(DataFrame.unionByName, [table(ids) for ids in (*tagged.values(), others)]))
+    named = lambda ids: isinstance(ids, DataFrame) or bool(ids)
     for group, ids in tagged.items():
-        if ids:
+        if named(ids):
             c, _ = confirm_into(c, ids, group)
-    return (c.commit(c.version, faces=detach(c.faces, others)) if others else c), prior
+    return (c.commit(None, faces=detach(c.faces, others)) if named(others) else c), prior

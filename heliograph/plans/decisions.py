@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
-from heliograph.operators import clusters, library, mutations, people, recognition
-from heliograph.plans.catalogue import LOOSE, oracle_sql, queries, query  # its registry holds these too
+from heliograph.operators import clusters, library, mutations, people, recognition, suggestions
+from heliograph.plans.catalogue import CLAIMS, LOOSE, ORACLES, oracle_sql, queries, query  # its registry holds these too
+from heliograph.scratch import folder
 from heliograph.sources import fixtures as X
 
 IN_PLAY = "cluster_id IS NOT NULL AND ignored = 0"
@@ -162,8 +165,8 @@ CHOSEN = "id % 37 = 0"
 NEW = "(SELECT max(id) + 1 FROM identities)"
 
 
-def _ids(faces, condition: str) -> list[int]:
-    return [r["id"] for r in faces.filter(condition).select("id").collect()]  # what a user tags
+def _ids(faces, condition: str):
+    return faces.filter(condition).select("id")  # what a user tags
 
 
 @query(f"SELECT id, CASE WHEN {CHOSEN} THEN 2 ELSE identity_id END AS identity_id, CASE WHEN {CHOSEN} THEN 1 ELSE confirmed END AS confirmed, ignored, cluster_id FROM faces")
@@ -230,6 +233,21 @@ def anchor_scores_trimmed(spark, d):
     return recognition.matches(X.faces(spark, d), LOOSE).select("identity_id", "g", "size", "matched", F.round("max_sim", 6).alias("max_sim"))
 
 
+@query("WITH " + CLAIMS + " SELECT identity_id, name, g, photos, round(sim, 6) AS sim, claimants FROM claims")
+def kept_claims(spark, d):
+    """Suggestions kept from before some faces were named and others set aside, and brought up to date."""
+    before, who = X.faces(spark, d), X.identities(spark)
+    kept = suggestions.full(before, who, f"{folder(spark)}/heliograph/suggestions-{uuid.uuid4().hex}", 1, LOOSE, trim=False)
+    after = mutations.ignore(mutations.set_person(before, _ids(before, DECIDED), 2), _ids(before, LEFT))
+    kept = suggestions.refresh(kept, before, after, who, LOOSE, trim=False)
+    return suggestions.serve(kept, X.photos(spark, d).withColumn("faces_scanned", F.lit(1)), 2).withColumn("sim", F.round("sim", 6))
+
+
+DECIDED, LEFT = "cluster_id % 25 = 1 AND id % 10 < 6", "id % 401 = 7"
+ORACLES["kept_claims"] = ORACLES["kept_claims"].replace(X.FACES, f"""SELECT * REPLACE (CASE WHEN {DECIDED} THEN 2 ELSE identity_id END AS identity_id, CASE WHEN {DECIDED} THEN 1 ELSE confirmed END AS confirmed,
+ CASE WHEN {LEFT} THEN 1 ELSE ignored END AS ignored) FROM ({X.FACES})""")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS violations")
 def suppression_violations(spark, d):
     """Boxes that stay and overlap a better one that stays, and boxes that went without one."""

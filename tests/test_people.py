@@ -271,3 +271,31 @@ def test_bursts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["n"] for r in spark.sql("select * from bursts").collect()] == [2]
+
+
+def test_decisions_on_another_version_are_refused(spark):
+    c = catalog(spark, faces(spark, (1, 1, 10, 1, 1), (2, 2, 20, None, 0), (3, 3, 30, None, 0)), named(spark, (1, "A"), (2, "B")))
+    now = mutations.merge_groups(c, -1, 20, expected=0)
+    assert now.version == 1
+    f = c.faces
+    for decide in (
+        lambda v: mutations.reject_merge(now, -1, 30, expected=v), lambda v: mutations.not_this_person(now, 30, [-1], expected=v),
+        lambda v: mutations.absorb(now, -1, [30], expected=v), lambda v: mutations.merge_groups(now, -1, 30, expected=v),
+        lambda v: mutations.resolve_same_photo(now, -1, 30, False, expected=v), lambda v: mutations.reassign(now, [3], -1, None, "C", expected=v),
+        lambda v: mutations.undo(now, mutations.capture(f, [2]), expected=v), lambda v: mutations.reset_all_faces(f.withColumn("faces_scanned", F.lit(1)), now, expected=v),
+        lambda v: mutations.confirm_into(now, [3], -1, expected=v)[0], lambda v: mutations.name_faces(now, [3], "A", expected=v)[0],
+        lambda v: mutations.split(now, {-1: [3]}, [2], expected=v)[0],
+    ):
+        with pytest.raises(StaleVersion):
+            decide(0)
+        assert decide(1).version > 1 and decide(None).version > 1
+
+
+def test_ids_as_a_table_or_a_list(spark):
+    c = catalog(spark, faces(spark, (1, 1, 10, 1, 1), (2, 2, 10, 1, 1), (3, 3, 30, None, 0)), named(spark, (1, "A"), (2, "B")))
+    table = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    for pick in (lambda *ids: list(ids), table):
+        out, prior = mutations.split(c, {-2: pick(3)}, pick(2))
+        assert state(out.faces) == {1: (1, 1), 2: (None, 0), 3: (2, 1)}
+        assert state(mutations.undo(out, prior).faces) == state(c.faces)
+        assert state(mutations.reassign(c, pick(3), None, -2).faces)[3] == (2, 1)
