@@ -98,8 +98,9 @@ def candidates(index: SearchIndex, token: str) -> DataFrame | None:
     if len(counts) < len(wanted):
         return rows.filter("false").select("id")
     rarest = sorted(wanted, key=lambda g: (counts[g], g))[:INTERSECTED]
-    of = lambda g: rows.filter(F.col("gram") == g).select("id")
-    return reduce(lambda held, g: held.join(of(g), "id", "left_semi"), rarest[1:], of(rarest[0])).distinct()
+    bit = reduce(lambda other, at: other.when(F.col("gram") == rarest[at], 1 << at), range(1, len(rarest)), F.when(F.col("gram") == rarest[0], 1))
+    held = rows.filter(F.col("gram").isin(rarest)).groupBy("id").agg(F.bit_or(bit).alias("held"))
+    return written(held.filter(F.col("held") == (1 << len(rarest)) - 1).select("id"), "candidates")
 
 
 def on_path(photos: DataFrame, index: SearchIndex, folded: str) -> DataFrame:
