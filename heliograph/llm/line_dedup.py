@@ -5,13 +5,14 @@ A line is the set of its words; a class is all lines of one text, known by 128 b
 1. Words are counted over the whole corpus. A table of RARITY_BUCKETS levels by a word's hash, which
    holds the most frequent words and is bounded whatever the vocabulary, orders them from the rarest on.
 2. Every class is written once: its place, size, the prefix of its rarest words, and the parity of its
-   words in 64 bits. Every word in which two sets differ changes one bit, so that the number of bits in
-   which their parities differ is a lower bound of their symmetric difference.
+   words in 64 bits, or in 256 if it has more than NARROW words. Every word in which two sets differ
+   changes one bit, so that the number of bits in which their parities differ is a lower bound of their
+   symmetric difference; long lines need more bits for it to tell them apart.
 3. Stars: classes that agree on a sketch of their rarer words are compared with the earliest of them.
    That settles most members of large groups of near copies without their pairs being made.
 4. The join: classes meet on prefix words. The first word that two similar sets share has so few words
    before it in either that the rest still holds the overlap needed; a pair is made only on words at
-   such places, under the bounds on length and parity, and only if one of the two isn't settled yet.
+   such places, under the bounds on length and parity, and only if the later of the two isn't settled yet.
 5. The Jaccard similarity of all pairs made is verified on the words themselves.
 
 A line goes if its class has an earlier line, or if an earlier class is similar to its own.
@@ -36,6 +37,9 @@ PARTS = 3
 LEVEL_SHIFT = 56  # a coded word: its level above, hash bits below
 BLOCK = 4096
 PLACE = ("doc_id", "tag", "line_no")
+#: Sets up to this size have 64 bits of parity, larger ones four times as many.
+NARROW = 48
+PARITIES = ("p0", "p1", "p2", "p3")
 
 
 def _long(n: int) -> Column:
@@ -104,8 +108,18 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, _long(0), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", _long(1), w.bitwiseAND(_long(63)).cast("int"))))
 
 
+def _parities(words: Column) -> list[Column]:
+    """PARITIES: of more than NARROW words, those of each value of the next two bits apart; else of all, and zeros.
+
+    Either way their exclusive or is the parity of all words.
+    """
+    wide = F.size(words) > NARROW
+    part = lambda k: F.filter(words, lambda w: w.bitwiseAND(_long(192)) == _long(64 * k))
+    return [F.when(wide, _parity(part(k))).otherwise(_long(0) if k else _parity(words)).alias(c) for k, c in enumerate(PARITIES)]
+
+
 def line_classes(docs: DataFrame, levels: DataFrame, similarity: float) -> DataFrame:
-    """(id, k0, k1, first: the earliest place, n, prefix, parity, s0, s1) of every class, written down."""
+    """(id, k0, k1, first: the earliest place, n, prefix, PARITIES, s0, s1) of every class, written down."""
     hashed = _lines(docs).withColumn("hashed", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).withColumn("levels", levels.scalar())
     level = lambda h: F.coalesce(F.get("levels", _bucket(h)), F.lit(0).cast("tinyint")).cast("long")
     code = lambda h: F.shiftleft(level(h), LEVEL_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT))
@@ -114,8 +128,8 @@ def line_classes(docs: DataFrame, levels: DataFrame, similarity: float) -> DataF
     length = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1
     # A sketch is of the rarer half, so that words of very many lines aren't one.
     half = F.transform(F.slice("words", 1, F.ceil(n / 2).cast("int")), lambda w: w.bitwiseAND(_long((1 << LEVEL_SHIFT) - 1)))
-    sized = coded.select("k0", "k1", *PLACE, n.alias("n"), F.slice("words", 1, length).alias("prefix"), _parity(F.col("words")).alias("parity"), half.alias("half"))
-    own = sized.select("k0", "k1", F.struct(F.struct(*PLACE).alias("first"), "n", "prefix", "parity", F.array_min("half").alias("s0"), F.array_max("half").alias("s1")).alias("own"))
+    sized = coded.select("k0", "k1", *PLACE, n.alias("n"), F.slice("words", 1, length).alias("prefix"), *_parities(F.col("words")), half.alias("half"))
+    own = sized.select("k0", "k1", F.struct(F.struct(*PLACE).alias("first"), "n", "prefix", *PARITIES, F.array_min("half").alias("s0"), F.array_max("half").alias("s1")).alias("own"))
     classes = own.groupBy("k0", "k1").agg(F.min("own").alias("own")).select("k0", "k1", "own.*")
     return materialize(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
@@ -127,9 +141,11 @@ def _overlap(n: Column, m: Column, similarity: float) -> Column:
 
 def _possible(a: str, b: str, similarity: float) -> Column:
     """Whether length and parity let the sets of columns with these prefixes be similar."""
-    n, m, p, q = (F.col(side + name) for name in ("n", "parity") for side in (a, b))
-    differ = n + m - 2 * _overlap(n, m, similarity)
-    return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (F.bit_count(p.bitwiseXOR(q)) <= differ)
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    bits = [F.col(a + p).bitwiseXOR(F.col(b + p)) for p in PARITIES]
+    apart = reduce(Column.__add__, map(F.bit_count, bits))
+    differ = F.when((n > NARROW) == (m > NARROW), apart).otherwise(F.bit_count(reduce(Column.bitwiseXOR, bits)))
+    return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (differ <= n + m - 2 * _overlap(n, m, similarity))
 
 
 def _named(prefix: str, *names: str) -> list[Column]:
@@ -138,7 +154,7 @@ def _named(prefix: str, *names: str) -> list[Column]:
 
 def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of classes that may be similar: the earliest with each sketch, and others with it."""
-    held = ("id", "n", "parity")
+    held = ("id", "n", *PARITIES)
     sketched = classes.select(F.explode(F.array("s0", "s1")).alias("sketch"), "first", *held)
     centre = sketched.groupBy("sketch").agg(F.min(F.struct("first", *held)).alias("centre"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     centre = centre.select("sketch", *[F.col(f"centre.{c}").alias(f"a_{c}") for c in held])
@@ -150,11 +166,11 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float, part
     """(a, b) of classes that share a prefix word where similar sets' first shared one can be, and may be similar.
 
     Words of one of PARTS are judged. ``a`` is the smaller one, which needs a shorter prefix. Words that stand in one line only are
-    left out, and pairs of two settled classes.
+    left out, and pairs whose later class is settled: by doc_id, or if that is the same, both.
     """
     known = classes.join(settled.withColumn("settled", F.lit(True)), "id", "left")
-    held = ("id", "n", "at", "settled", "parity")
-    cut = lambda prefix: known.select("id", "n", F.coalesce("settled", F.lit(False)).alias("settled"), "parity", F.posexplode(prefix).alias("at", "word")).filter((F.col("word") >= F.shiftleft(_long(1), LEVEL_SHIFT)) & (F.pmod("word", F.lit(PARTS)) == part))
+    held = ("id", "n", "at", "settled", "doc", *PARITIES)
+    cut = lambda prefix: known.select("id", "n", F.coalesce("settled", F.lit(False)).alias("settled"), F.col("first.doc_id").alias("doc"), *PARITIES, F.posexplode(prefix).alias("at", "word")).filter((F.col("word") >= F.shiftleft(_long(1), LEVEL_SHIFT)) & (F.pmod("word", F.lit(PARTS)) == part))
     n = F.col("n")
     short = F.slice("prefix", 1, (n - _overlap(n, n, similarity) + 1).cast("int"))
     a, b = (cut(prefix).select("word", *_named(side, *held)) for side, prefix in (("a_", short), ("b_", F.col("prefix"))))
@@ -162,7 +178,8 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float, part
     ordered = (n < m) | ((n == m) & (F.col("a_id") < F.col("b_id")))
     overlap = _overlap(n, m, similarity)
     early = (F.col("a_at") <= n - overlap) & (F.col("b_at") <= m - overlap)
-    open_ = ~(F.col("a_settled") & F.col("b_settled"))
+    earlier = lambda x, y: F.coalesce(F.col(x) < F.col(y), F.col(x).isNull() & F.col(y).isNotNull())
+    open_ = F.when(earlier("a_doc", "b_doc"), ~F.col("b_settled")).when(earlier("b_doc", "a_doc"), ~F.col("a_settled")).otherwise(~(F.col("a_settled") & F.col("b_settled")))
     met = a.join(b, "word").filter(ordered & (n >= F.lit(similarity) * m - 1e-9) & early & open_ & _possible("a_", "b_", similarity))
     return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 

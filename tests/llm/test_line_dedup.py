@@ -98,3 +98,36 @@ def test_few_rarity_buckets(spark, monkeypatch):
     docs = [(d, "\n".join(" ".join(f"v{int(rng.paretovariate(0.4)) % 20000}" for _ in range(9)) for _ in range(20))) for d in range(60)]
     docs += [(100 + d, t.replace("v1 ", "zz ")) for d, t in docs[:30]]
     assert run(spark, docs) == brute(docs)
+
+
+def met_pairs(spark, docs, settled):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = line_dedup.line_classes(df, line_dedup.rarity_levels(df), 0.8)
+    gone = classes.filter(settled).select("id")
+    return [r for part in range(line_dedup.PARTS) for r in line_dedup.prefix_pairs(classes, gone, 0.8, part).collect()]
+
+
+def test_long_unlike_lines_do_not_meet(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(600)]
+    docs = [(d, " ".join(rng.sample(vocabulary, rng.randrange(130, 170)))) for d in range(80)]
+    assert len(met_pairs(spark, docs, "false")) < 80  # of 3,160 pairs, most of which 64 bits can't tell apart
+
+
+def test_settled_later_lines_do_not_meet(spark):
+    base = [f"w{i}" for i in range(30)]
+    docs = [(d, " ".join([*base, f"x{d % 6}", f"y{d}"])) for d in range(12)]
+    assert met_pairs(spark, docs, "false")
+    assert met_pairs(spark, docs, "first.doc_id > 0") == []
+
+
+def test_sets_around_the_width_of_parities(spark):
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(line_dedup.NARROW + 8)]
+    docs = []
+    for d in range(60):
+        line = base[: rng.randrange(line_dedup.NARROW - 8, line_dedup.NARROW + 8)]
+        for _ in range(rng.randrange(0, 9)):
+            line[rng.randrange(len(line))] = f"odd{rng.randrange(30)}"
+        docs.append((d, " ".join(line)))
+    assert run(spark, docs) == brute(docs)
