@@ -7,6 +7,7 @@ where a floor is given, sets whose lengths alone keep them below it are not inte
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,12 @@ CHAIN = 2
 GLUE, END = "\x01", "\x02"
 #: Buckets of chains whose frequencies order them for the join.
 LEVEL_BUCKETS = 1 << 16
+#: Each class has the chain that is nearest to each of these by exclusive or as a sketch.
+SKETCHES = (0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+#: Classes that share a sketch, from which on they are a group with a centre.
+GROUP = 8
+#: Steps in which distances to centres are told; they are rounded up.
+STEPS = 500
 #: Buckets of consecutive doc_ids for each shuffle partition, so that uneven hashing evens out.
 BUCKETS_PER_PARTITION = 4
 
@@ -207,7 +214,7 @@ def class_key(spots: Column) -> Column:
 
 
 def fingerprint_classes(prints: DataFrame, threshold: float) -> DataFrame:
-    """(row, key, id: the smallest doc_id, n, parity, fine, prefix) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
+    """(row, key, id: the smallest doc_id, n, parity, fine, prefix, sketches) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
 
     A key is 128 bits of a digest of the set. The id of rows that all have no doc_id is null. A
     prefix is the rarest chains, as many as a similar set can't all miss; sets themselves are
@@ -219,30 +226,80 @@ def fingerprint_classes(prints: DataFrame, threshold: float) -> DataFrame:
     ordered = F.array_sort(F.transform("spots", lambda s: F.struct(level(s).alias("level"), s.alias("spot"))))
     length = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
     prefix = F.transform(F.slice(ordered, F.lit(1), length), lambda c: c["spot"])
+    sketches = F.array(*[F.array_min(F.transform("spots", lambda s, mask=mask: s.bitwiseXOR(F.lit(mask).cast("long")))) for mask in SKETCHES])
     own = prints.filter(F.size("spots") > 0).withColumn("cells", levels.scalar())
-    own = own.select("key", "doc_id", F.struct(n.alias("n"), _parity(F.col("spots")).alias("parity"), _fine(F.col("spots")).alias("fine"), prefix.alias("prefix")).alias("own"))
+    own = own.select("key", "doc_id", F.struct(n.alias("n"), _parity(F.col("spots")).alias("parity"), _fine(F.col("spots")).alias("fine"), prefix.alias("prefix"), sketches.alias("sketches")).alias("own"))
     held = own.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("own").alias("own"))
     return materialize(held.select(F.monotonically_increasing_id().alias("row"), "key", "id", "own.*"), "spot-classes")
 
 
-def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+def near_centres(prints: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(row, centre, far) of classes within reach of the centre of their group, written down.
+
+    A class joins the most frequent of its sketches; a group's centre is the set of chains that
+    more than half of it hold, and groups of equal centres are one. ``far`` is the Jaccard
+    distance to the centre in STEPS, rounded up. That distance is a metric, so two classes of
+    one centre whose far come to ``_reach`` at most are at ``threshold`` or above for certain.
+    """
+    sketched = classes.select("row", F.posexplode("sketches").alias("k", "sketch"))
+    large = sketched.groupBy("k", "sketch").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") >= GROUP)
+    best = sketched.join(large, ["k", "sketch"]).groupBy("row").agg(F.max(F.struct("classes", "k", "sketch")).alias("best"))
+    chosen = best.select("row", F.xxhash64("best.k", "best.sketch").alias("chosen"))
+    members = materialize(chosen.join(classes.select("row", "key", "n"), "row"), "centre-members")
+    sizes = members.groupBy("chosen").agg(F.count(F.lit(1)).alias("members"))
+    sets = prints.join(small_side(members.select("key")), "key", "left_semi").groupBy("key").agg(F.first("spots").alias("spots"))
+    held = materialize(members.join(sets, "key").select("row", "chosen", "n", F.explode("spots").alias("spot")), "centre-chains")
+    core = held.groupBy("chosen", "spot").agg(F.count(F.lit(1)).alias("holders")).join(small_side(sizes), "chosen").filter(2 * F.col("holders") > F.col("members"))
+    core = materialize(core.select("chosen", "spot"), "centre-core")
+    # A centre holds less than twice as many chains as its group's average set.
+    centres = core.groupBy("chosen").agg(F.count(F.lit(1)).alias("c"), F.xxhash64(F.sort_array(F.collect_list("spot"))).alias("centre"))
+    shared = held.join(core, ["chosen", "spot"]).groupBy("row", "chosen", "n").agg(F.count(F.lit(1)).alias("shared"))
+    every = F.col("n") + F.col("c") - F.col("shared")
+    far = F.expr(f"({STEPS} * (n + c - 2 * shared) + n + c - shared - 1) div (n + c - shared)").cast("int")
+    near = shared.join(small_side(centres), "chosen").filter(every > 0).select("row", "centre", far.alias("far"))
+    near = materialize(near.filter(F.col("far") <= _reach(threshold)), "near-centres")
+    for done in (members, held, core):
+        drop(done)
+    return near
+
+
+def _reach(threshold: float) -> int:
+    return math.floor((1 - threshold) * STEPS + 1e-9)
+
+
+def centre_links(near: DataFrame, threshold: float) -> DataFrame:
+    """(row, n_links): how many others of its centre each class of ``near_centres`` is linked with for certain."""
+    cells = materialize(near.groupBy("centre", "far").agg(F.count(F.lit(1)).alias("classes")), "centre-cells")  # at most _reach + 1 a centre
+    other = cells.select("centre", F.col("far").alias("other"), F.col("classes").alias("n"))
+    met = cells.join(other, "centre").filter(F.col("far") + F.col("other") <= _reach(threshold)).groupBy("centre", "far").agg(F.sum("n").alias("n"))
+    own = F.when(2 * F.col("far") <= _reach(threshold), 1).otherwise(0)
+    return near.join(small_side(met), ["centre", "far"]).select("row", (F.col("n") - own).alias("n_links"))
+
+
+def candidate_pairs(classes: DataFrame, threshold: float, near: DataFrame | None = None) -> DataFrame:
     """(a, b): rows of classes that share a prefix chain where sizes, places and parities allow ``threshold``.
 
     Sets are partitioned by length so that only neighbouring partitions can hold a similar pair.
-    Each is looked for in its own partition and, as the longer of a pair, in the one below.
+    The larger of a pair, or of equal ones the one of larger row, is looked for in its own
+    partition and in the one below; the smaller one needs a shorter prefix. Pairs that
+    ``near_centres`` tells to be linked are left out.
     """
     part = F.floor(F.log(F.col("n")) / -F.log(F.lit(threshold)))
-    fields = ["row", "n", "parity", "place"]
-    listed = classes.select("row", "n", "parity", part.alias("part"), F.posexplode("prefix").alias("place", "spot"))
-    left = listed.select("spot", "part", *[F.col(c).alias(f"a_{c}") for c in fields])
-    right = listed.select("spot", F.explode(F.array("part", F.col("part") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in fields])
-    few, many = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    fields = ["row", "n", "parity", "place", "centre", "far"]
+    near = classes.sparkSession.createDataFrame([], "row long, centre long, far int") if near is None else near
+    told = classes.join(small_side(near), "row", "left")
+    listed = lambda prefix: told.select("row", "n", "parity", "centre", "far", part.alias("part"), F.posexplode(prefix).alias("place", "spot"))
+    own = F.ceil(F.lit(threshold / (1 + threshold)) * 2 * F.col("n") - 1e-9)
+    short = F.slice("prefix", F.lit(1), (F.col("n") - own + 1).cast("int"))
+    left = listed(short).select("spot", "part", *[F.col(c).alias(f"a_{c}") for c in fields])
+    right = listed(F.col("prefix")).select("spot", F.explode(F.array("part", F.col("part") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in fields])
+    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_row") < F.col("b_row")))
     least = _shared(threshold)
     differ = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
-    room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))  # what can be shared from here on
-    passed = F.least("a_place", "b_place")  # shared before, at most
-    possible = (few >= F.lit(threshold) * many - 1e-9) & (differ <= F.col("a_n") + F.col("b_n") - 2 * least) & (room + passed >= least)
-    met = left.join(right, ["spot", "part"]).filter((F.col("a_row") != F.col("b_row")) & possible)
+    early = (F.col("a_place") <= F.col("a_n") - least) & (F.col("b_place") <= F.col("b_n") - least)  # where the first shared chain can be
+    possible = (F.col("a_n") >= F.lit(threshold) * F.col("b_n") - 1e-9) & (differ <= F.col("a_n") + F.col("b_n") - 2 * least) & early
+    sure = F.coalesce((F.col("a_centre") == F.col("b_centre")) & (F.col("a_far") + F.col("b_far") <= _reach(threshold)), F.lit(False))
+    met = left.join(right, ["spot", "part"]).filter(ordered & possible & ~sure)
     met = met.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct()
     side = lambda p: classes.select(F.col("row").alias(p), F.col("n").alias(f"{p}_n"), F.col("fine").alias(f"{p}_fine"))
     known = materialize(met, "spot-met").join(side("a"), "a").join(side("b"), "b")
@@ -250,9 +307,9 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     return known.filter(apart <= F.col("a_n") + F.col("b_n") - 2 * _shared(threshold)).select("a", "b")
 
 
-def class_pairs(prints: DataFrame, classes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, a_id, b_id, likeness) of ``fingerprint_classes`` at ``threshold`` or above, a and b their rows."""
-    pairs = materialize(candidate_pairs(classes, threshold), "spot-pairs")
+def class_pairs(prints: DataFrame, classes: DataFrame, threshold: float = 0.8, near: DataFrame | None = None) -> DataFrame:
+    """(a, b, a_id, b_id, likeness) of ``fingerprint_classes`` at ``threshold`` or above, a and b their rows; without those that ``near`` tells."""
+    pairs = materialize(candidate_pairs(classes, threshold, near), "spot-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.select("row", "key", "id"), "row")
     asked = materialize(asked, "spot-asked")
     sets = prints.join(small_side(asked.select("key")), "key", "left_semi").groupBy("key").agg(F.first("spots").alias("spots"))
@@ -263,9 +320,14 @@ def class_pairs(prints: DataFrame, classes: DataFrame, threshold: float = 0.8) -
 
 
 def class_links(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(key, class_id, n_links) of every class of ``prints``: how many others are at ``threshold`` or above; written down."""
+    """(key, class_id, n_links) of every class of ``prints``: how many others are at ``threshold`` or above; written down.
+
+    Links within reach of one centre are counted by distance; only the others are listed and verified.
+    """
     classes = fingerprint_classes(prints, threshold)
-    ends = class_pairs(prints, classes, threshold).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
+    near = near_centres(prints, classes, threshold)
+    listed = class_pairs(prints, classes, threshold, near).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = listed.unionByName(centre_links(near, threshold)).groupBy("row").agg(F.sum("n_links").alias("n_links"))
     counted = classes.select("row", "key", F.col("id").alias("class_id")).join(ends, "row", "left")
     links = materialize(counted.select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "spot-links")
     drop(classes)
