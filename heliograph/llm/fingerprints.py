@@ -7,8 +7,8 @@ where a floor is given, sets whose lengths alone keep them below it are not inte
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,8 @@ LEVEL_BUCKETS = 1 << 16
 SKETCHES = (0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 #: Classes that share a sketch, from which on they are a group with a centre.
 GROUP = 8
-#: Steps in which distances to centres are told; they are rounded up.
-STEPS = 500
+#: Classes belong to a centre up to this many times the distance at which they are linked with it.
+FAR = 2
 #: Buckets of consecutive doc_ids for each shuffle partition, so that uneven hashing evens out.
 BUCKETS_PER_PARTITION = 4
 
@@ -154,7 +154,7 @@ def fingerprint_documents(docs: DataFrame, chain: int = CHAIN, threshold: float
         class_key(F.col("spots")).alias("key"),
     )
     prints = materialize(rows, "fingerprints")
-    links = class_links(prints, threshold)
+    links = class_links(prints, threshold).filter("docs > 1 or n_links > 0").drop("docs")  # any other row is its own class
     edited_spots = F.sort_array(F.concat(F.array_except("spots", "gone"), "added"))  # most chains are of both texts
     return prints.join(small_side(links), "key", "left").select(
         "doc_id",
@@ -209,12 +209,17 @@ def _shared(threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
 
 
+def sketches(spots: Column) -> Column:
+    """The chain that is nearest to each of SKETCHES by exclusive or, with its bits turned so."""
+    return F.array(*[F.array_min(F.transform(spots, lambda s, mask=mask: s.bitwiseXOR(F.lit(mask).cast("long")))) for mask in SKETCHES])
+
+
 def class_key(spots: Column) -> Column:
     return F.unhex(F.md5(render(spots)))
 
 
 def fingerprint_classes(prints: DataFrame, threshold: float) -> DataFrame:
-    """(row, key, id: the smallest doc_id, n, parity, fine, prefix, sketches) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
+    """(row, key, id: the smallest doc_id, docs: how many rows, n, parity, fine, prefix, sketches) of every set of chains in ``prints`` (doc_id, key, spots) but the empty one, written down.
 
     A key is 128 bits of a digest of the set. The id of rows that all have no doc_id is null. A
     prefix is the rarest chains, as many as a similar set can't all miss; sets themselves are
@@ -226,54 +231,99 @@ def fingerprint_classes(prints: DataFrame, threshold: float) -> DataFrame:
     ordered = F.array_sort(F.transform("spots", lambda s: F.struct(level(s).alias("level"), s.alias("spot"))))
     length = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
     prefix = F.transform(F.slice(ordered, F.lit(1), length), lambda c: c["spot"])
-    sketches = F.array(*[F.array_min(F.transform("spots", lambda s, mask=mask: s.bitwiseXOR(F.lit(mask).cast("long")))) for mask in SKETCHES])
     own = prints.filter(F.size("spots") > 0).withColumn("cells", levels.scalar())
-    own = own.select("key", "doc_id", F.struct(n.alias("n"), _parity(F.col("spots")).alias("parity"), _fine(F.col("spots")).alias("fine"), prefix.alias("prefix"), sketches.alias("sketches")).alias("own"))
-    held = own.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("own").alias("own"))
-    return materialize(held.select(F.monotonically_increasing_id().alias("row"), "key", "id", "own.*"), "spot-classes")
+    own = own.select("key", "doc_id", F.struct(n.alias("n"), _parity(F.col("spots")).alias("parity"), _fine(F.col("spots")).alias("fine"), prefix.alias("prefix"), sketches(F.col("spots")).alias("sketches")).alias("own"))
+    held = own.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("docs"), F.first("own").alias("own"))
+    return materialize(held.select(F.monotonically_increasing_id().alias("row"), "key", "id", "docs", "own.*"), "spot-classes")
 
 
 def near_centres(prints: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(row, centre, far) of classes within reach of the centre of their group, written down.
+    """(row, centre, c, w, edits, fine) of classes near the centre of their group, written down.
 
-    A class joins the most frequent of its sketches; a group's centre is the set of chains that
-    more than half of it hold, and groups of equal centres are one. ``far`` is the Jaccard
-    distance to the centre in STEPS, rounded up. That distance is a metric, so two classes of
-    one centre whose far come to ``_reach`` at most are at ``threshold`` or above for certain.
+    A class joins the most frequent of its sketches; a group's centre is the set of ``c`` chains
+    that more than half of it hold. Centres that share a sketch leave their groups to the largest
+    of them. ``edits`` are the chains in which a class differs from its centre, and ``w`` is
+    q * those it lacks + p * those it has besides, where ``threshold`` is p / q.
+
+    Two classes of one centre that differ from it in o chains alike are at ``threshold`` exactly if
+    (p + q) * o >= the sum of their w - (q - p) * c, for they share c - those that either lacks + o.
+    A threshold that is no fraction of small numbers has no centres.
     """
+    p, q = _fraction(threshold)
+    if not q:
+        return classes.sparkSession.createDataFrame([], "row long, centre long, c int, w int, edits array<bigint>, fine array<bigint>")
     sketched = classes.select("row", F.posexplode("sketches").alias("k", "sketch"))
     large = sketched.groupBy("k", "sketch").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") >= GROUP)
     best = sketched.join(large, ["k", "sketch"]).groupBy("row").agg(F.max(F.struct("classes", "k", "sketch")).alias("best"))
     chosen = best.select("row", F.xxhash64("best.k", "best.sketch").alias("chosen"))
-    members = materialize(chosen.join(classes.select("row", "key", "n"), "row"), "centre-members")
-    sizes = members.groupBy("chosen").agg(F.count(F.lit(1)).alias("members"))
+    members = materialize(chosen.join(classes.select("row", "key", "fine"), "row"), "centre-members")
     sets = prints.join(small_side(members.select("key")), "key", "left_semi").groupBy("key").agg(F.first("spots").alias("spots"))
-    held = materialize(members.join(sets, "key").select("row", "chosen", "n", F.explode("spots").alias("spot")), "centre-chains")
-    core = held.groupBy("chosen", "spot").agg(F.count(F.lit(1)).alias("holders")).join(small_side(sizes), "chosen").filter(2 * F.col("holders") > F.col("members"))
-    core = materialize(core.select("chosen", "spot"), "centre-core")
+    held = materialize(members.join(sets, "key").select("row", "chosen", "fine", "spots"), "centre-sets")
+    sizes = members.groupBy("chosen").agg(F.count(F.lit(1)).alias("members"))
+    counted = held.select("chosen", F.explode("spots").alias("spot")).groupBy("chosen", "spot").agg(F.count(F.lit(1)).alias("holders"))
+    core = counted.join(small_side(sizes), "chosen").filter(2 * F.col("holders") > F.col("members"))
     # A centre holds less than twice as many chains as its group's average set.
-    centres = core.groupBy("chosen").agg(F.count(F.lit(1)).alias("c"), F.xxhash64(F.sort_array(F.collect_list("spot"))).alias("centre"))
-    shared = held.join(core, ["chosen", "spot"]).groupBy("row", "chosen", "n").agg(F.count(F.lit(1)).alias("shared"))
-    every = F.col("n") + F.col("c") - F.col("shared")
-    far = F.expr(f"({STEPS} * (n + c - 2 * shared) + n + c - shared - 1) div (n + c - shared)").cast("int")
-    near = shared.join(small_side(centres), "chosen").filter(every > 0).select("row", "centre", far.alias("far"))
-    near = materialize(near.filter(F.col("far") <= _reach(threshold)), "near-centres")
-    for done in (members, held, core):
+    cores = materialize(core.groupBy("chosen", "members").agg(F.collect_list("spot").alias("core")), "centre-cores")
+    shown = cores.select("chosen", "members", F.posexplode(sketches(F.col("core"))).alias("k", "sketch"))
+    first = shown.groupBy("k", "sketch").agg(F.max(F.struct("members", "chosen")).alias("first"))
+    taken = shown.select("chosen", "k", "sketch").join(first, ["k", "sketch"]).groupBy("chosen").agg(F.max("first")["chosen"].alias("centre"))
+    centres = taken.join(cores.select(F.col("chosen").alias("centre"), "core"), "centre")
+    centres = materialize(centres, "centres")
+    chains_of_centres = centres.agg(F.sum(F.size("core"))).first()[0] or 0
+    c, lacks, besides = F.size("core"), F.array_except("core", "spots"), F.array_except("spots", "core")
+    near = held.join(small_side(centres, chains_of_centres), "chosen")
+    near = near.select("row", "centre", c.alias("c"), (q * F.size(lacks) + p * F.size(besides)).alias("w"), F.concat(lacks, besides).alias("edits"), "fine")
+    near = materialize(near.filter(F.col("w") <= FAR * (q - p) * F.col("c")), "near-centres")
+    for done in (members, held, cores, centres):
         drop(done)
     return near
 
 
-def _reach(threshold: float) -> int:
-    return math.floor((1 - threshold) * STEPS + 1e-9)
+def _fraction(threshold: float) -> tuple[int, int]:
+    """p and q of a threshold p / q, or zeros if it is none of small numbers."""
+    found = Fraction(threshold).limit_denominator(1000)
+    return (found.numerator, found.denominator) if found > 0 and float(found) == threshold else (0, 0)
 
 
 def centre_links(near: DataFrame, threshold: float) -> DataFrame:
-    """(row, n_links): how many others of its centre each class of ``near_centres`` is linked with for certain."""
-    cells = materialize(near.groupBy("centre", "far").agg(F.count(F.lit(1)).alias("classes")), "centre-cells")  # at most _reach + 1 a centre
-    other = cells.select("centre", F.col("far").alias("other"), F.col("classes").alias("n"))
-    met = cells.join(other, "centre").filter(F.col("far") + F.col("other") <= _reach(threshold)).groupBy("centre", "far").agg(F.sum("n").alias("n"))
-    own = F.when(2 * F.col("far") <= _reach(threshold), 1).otherwise(0)
-    return near.join(small_side(met), ["centre", "far"]).select("row", (F.col("n") - own).alias("n_links"))
+    """(row, n_links): with how many others of its centre each class of ``near_centres`` is linked.
+
+    Those so near that they are linked whatever edits they share are counted by w. Others are
+    linked only if they share edits, on which they meet.
+    """
+    p, q = _fraction(threshold)
+    room = (q - p) * F.col("c")
+    # At most (q - p) * c + 1 cells a centre.
+    cells = near.filter(F.col("w") <= room).groupBy("centre", "c", "w").agg(F.count(F.lit(1)).alias("classes"))
+    cells = materialize(cells, "centre-cells")
+    none = F.lit(None).cast("int")
+    marks = cells.select("centre", F.col("w").alias("at"), "classes", none.alias("w"))
+    marks = marks.unionByName(cells.select("centre", (room - F.col("w")).alias("at"), F.lit(0).cast("long").alias("classes"), "w"))
+    met = marks.withColumn("n", F.sum("classes").over(Window.partitionBy("centre").orderBy("at"))).filter(F.col("w").isNotNull()).select("centre", "w", "n")
+    own = F.when(2 * F.col("w") <= room, 1).otherwise(0)
+    sure = near.select("row", "centre", "c", "w").join(small_side(met), ["centre", "w"]).select("row", (F.col("n") - own).alias("n_links"))
+    pairs = materialize(edit_pairs(near, threshold), "edit-pairs")
+    return sure.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("row"), F.lit(1).cast("long").alias("n_links")))
+
+
+def edit_pairs(near: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): linked classes of one centre that must share edits to be so."""
+    p, q = _fraction(threshold)
+    listed = near.select("row", "centre", "c", "w", F.size("edits").alias("n"), "fine", F.explode("edits").alias("spot"))
+    shared = listed.groupBy("centre", "spot").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    listed = materialize(listed.join(shared.select("centre", "spot"), ["centre", "spot"]), "centre-edits")  # written, so that the join can be split
+    side = lambda s: listed.select("centre", "spot", *[F.col(x).alias(f"{s}_{x}") for x in ("row", "c", "w", "n", "fine")])
+    over = F.col("a_w") + F.col("b_w") - (q - p) * F.col("a_c")
+    least = F.ceil(over / (p + q) - 1e-9)
+    met = side("a").join(side("b").drop("b_c"), ["centre", "spot"])
+    met = met.filter((F.col("a_row") < F.col("b_row")) & (over > 0) & (_apart() <= F.col("a_n") + F.col("b_n") - 2 * least))
+    alike = met.groupBy("a_row", "b_row", over.alias("over")).agg(F.count(F.lit(1)).alias("alike"))
+    return alike.filter((p + q) * F.col("alike") >= F.col("over")).select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
+
+
+def _apart() -> Column:
+    """In how many of their 256 bits of parity sets differ, which are as many chains at least."""
+    return sum((F.bit_count(F.get("a_fine", F.lit(k)).bitwiseXOR(F.get("b_fine", F.lit(k)))) for k in range(4)), F.lit(0))
 
 
 def candidate_pairs(classes: DataFrame, threshold: float, near: DataFrame | None = None) -> DataFrame:
@@ -281,14 +331,13 @@ def candidate_pairs(classes: DataFrame, threshold: float, near: DataFrame | None
 
     Sets are partitioned by length so that only neighbouring partitions can hold a similar pair.
     The larger of a pair, or of equal ones the one of larger row, is looked for in its own
-    partition and in the one below; the smaller one needs a shorter prefix. Pairs that
-    ``near_centres`` tells to be linked are left out.
+    partition and in the one below; the smaller one needs a shorter prefix. Pairs of one centre
+    of ``near`` are left out.
     """
     part = F.floor(F.log(F.col("n")) / -F.log(F.lit(threshold)))
-    fields = ["row", "n", "parity", "place", "centre", "far"]
-    near = classes.sparkSession.createDataFrame([], "row long, centre long, far int") if near is None else near
-    told = classes.join(small_side(near), "row", "left")
-    listed = lambda prefix: told.select("row", "n", "parity", "centre", "far", part.alias("part"), F.posexplode(prefix).alias("place", "spot"))
+    fields = ["row", "n", "parity", "place", "centre"]
+    told = classes.withColumn("centre", F.lit(None).cast("long")) if near is None else classes.join(small_side(near.select("row", "centre")), "row", "left")
+    listed = lambda prefix: told.select("row", "n", "parity", "centre", part.alias("part"), F.posexplode(prefix).alias("place", "spot"))
     own = F.ceil(F.lit(threshold / (1 + threshold)) * 2 * F.col("n") - 1e-9)
     short = F.slice("prefix", F.lit(1), (F.col("n") - own + 1).cast("int"))
     left = listed(short).select("spot", "part", *[F.col(c).alias(f"a_{c}") for c in fields])
@@ -298,17 +347,16 @@ def candidate_pairs(classes: DataFrame, threshold: float, near: DataFrame | None
     differ = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
     early = (F.col("a_place") <= F.col("a_n") - least) & (F.col("b_place") <= F.col("b_n") - least)  # where the first shared chain can be
     possible = (F.col("a_n") >= F.lit(threshold) * F.col("b_n") - 1e-9) & (differ <= F.col("a_n") + F.col("b_n") - 2 * least) & early
-    sure = F.coalesce((F.col("a_centre") == F.col("b_centre")) & (F.col("a_far") + F.col("b_far") <= _reach(threshold)), F.lit(False))
-    met = left.join(right, ["spot", "part"]).filter(ordered & possible & ~sure)
+    counted = F.coalesce(F.col("a_centre") == F.col("b_centre"), F.lit(False))
+    met = left.join(right, ["spot", "part"]).filter(ordered & possible & ~counted)
     met = met.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct()
     side = lambda p: classes.select(F.col("row").alias(p), F.col("n").alias(f"{p}_n"), F.col("fine").alias(f"{p}_fine"))
     known = materialize(met, "spot-met").join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.get("a_fine", F.lit(k)).bitwiseXOR(F.get("b_fine", F.lit(k)))) for k in range(4)), F.lit(0))
-    return known.filter(apart <= F.col("a_n") + F.col("b_n") - 2 * _shared(threshold)).select("a", "b")
+    return known.filter(_apart() <= F.col("a_n") + F.col("b_n") - 2 * _shared(threshold)).select("a", "b")
 
 
 def class_pairs(prints: DataFrame, classes: DataFrame, threshold: float = 0.8, near: DataFrame | None = None) -> DataFrame:
-    """(a, b, a_id, b_id, likeness) of ``fingerprint_classes`` at ``threshold`` or above, a and b their rows; without those that ``near`` tells."""
+    """(a, b, a_id, b_id, likeness) of ``fingerprint_classes`` at ``threshold`` or above, a and b their rows; without those of one centre of ``near``."""
     pairs = materialize(candidate_pairs(classes, threshold, near), "spot-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.select("row", "key", "id"), "row")
     asked = materialize(asked, "spot-asked")
@@ -320,16 +368,16 @@ def class_pairs(prints: DataFrame, classes: DataFrame, threshold: float = 0.8, n
 
 
 def class_links(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(key, class_id, n_links) of every class of ``prints``: how many others are at ``threshold`` or above; written down.
+    """(key, class_id, n_links, docs) of every class of ``prints``: how many others are at ``threshold`` or above, and its rows; written down.
 
-    Links within reach of one centre are counted by distance; only the others are listed and verified.
+    Links of one centre are told by edits to it; only the others are listed and verified.
     """
     classes = fingerprint_classes(prints, threshold)
     near = near_centres(prints, classes, threshold)
     listed = class_pairs(prints, classes, threshold, near).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
     ends = listed.unionByName(centre_links(near, threshold)).groupBy("row").agg(F.sum("n_links").alias("n_links"))
-    counted = classes.select("row", "key", F.col("id").alias("class_id")).join(ends, "row", "left")
-    links = materialize(counted.select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "spot-links")
+    counted = classes.select("row", "key", F.col("id").alias("class_id"), "docs").join(ends, "row", "left")
+    links = materialize(counted.select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "docs"), "spot-links")
     drop(classes)
     return links
 
