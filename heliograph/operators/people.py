@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as S
+from heliograph.scratch import written
 
 
 def group_key(face: str = "") -> Column:
@@ -98,17 +99,48 @@ def symmetric(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def implicit_cannot_links(identities: DataFrame) -> DataFrame:
-    """People of different names are different people. Identities are people the user named, a short list."""
-    a = identities.filter("name is not null")
-    b = a.select(F.col("id").alias("b"), F.col("name").alias("b_name"))
-    return a.join(b, (F.col("id") < F.col("b")) & (F.col("name") != F.col("b_name"))).select(F.col("id").alias("a"), "b")
+#: People of a block; a task meets the people of two blocks at a time.
+PEOPLE_BLOCK = 2048
+
+
+def _met(rows: DataFrame, unlike: str, block: int) -> DataFrame:
+    """(a, b) of all rows with ids a < b that ``unlike`` (over columns, and b_ of them) is true of.
+
+    Blocks are ranges of ids, so that a pair of blocks is met once, in one task, and no pair of rows is
+    shuffled. Pairs are quadratic in the rows; what a task holds is not.
+    """
+    n = -(-rows.count() // block) or 1
+    held = written(rows.repartitionByRange(n, "id").withColumn("_block", F.spark_partition_id()), "people-blocks")
+    n = (held.agg(F.max("_block")).first()[0] or 0) + 1
+    tasks = min(n * (n + 1) // 2, 64 * rows.sparkSession.sparkContext.defaultParallelism)
+    unit = lambda i, j: (i * n + j).cast("long").alias("_unit")
+    a = held.withColumn("_other", F.explode(F.sequence(F.col("_block"), F.lit(n - 1)))).select(*rows.columns, unit(F.col("_block").cast("long"), F.col("_other")))
+    b = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_block")))).select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], unit(F.col("_other").cast("long"), F.col("_block")))
+    return a.repartition(tasks, "_unit").join(b.repartition(tasks, "_unit"), "_unit").filter(F.expr(f"id < b_id AND ({unlike})")).select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+
+
+def implicit_cannot_links(identities: DataFrame, block: int = PEOPLE_BLOCK) -> DataFrame:
+    """People of different names are different people."""
+    return _met(identities.filter("name is not null").select("id", "name"), "name <> b_name", block)
 
 
 def constraint_union(explicit: DataFrame, implicit: DataFrame) -> DataFrame:
     return symmetric(explicit).union(symmetric(implicit)).distinct()
 
 
+def cannot_links(explicit: DataFrame, identities: DataFrame, block: int = PEOPLE_BLOCK) -> DataFrame:
+    """Pairs that someone told apart and pairs of different names, each once.
+
+    An id's least and greatest name say whether two ids have names that differ, so pairs of names are
+    made once each, and an explicit pair needs only its own two ids to tell that it is among them.
+    """
+    names = written(identities.filter("name is not null").groupBy("id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")), "people-names")
+    side = lambda p: names.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("lo", "hi")])
+    named = F.coalesce(F.expr("a < b AND (a_lo <> b_hi OR a_hi <> b_lo)"), F.lit(False))
+    told = symmetric(explicit).join(side("a"), "a", "left").join(side("b"), "b", "left").filter(~named).select("a", "b")
+    return _met(names, "lo <> b_hi OR hi <> b_lo", block).union(told)
+
+
 def cooccurrence(faces: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(g, identity_id): groups, all or some (g), photographed together with a confirmed face of a person."""
     groups = pool(faces).select("g", "photo_id").distinct()

@@ -400,7 +400,7 @@ def implicit_cannot_links(spark, d):
 
 @query(f"SELECT a, b FROM apart UNION ({IMPLICIT})")
 def constraint_union(spark, d):
-    return people.constraint_union(X.apart(spark, d), people.implicit_cannot_links(X.named(spark, d)))
+    return people.cannot_links(X.apart(spark, d), X.named(spark, d))
 
 
 VETO = "SELECT DISTINCT p.g, c.identity_id FROM pool p JOIN faces c ON c.photo_id = p.photo_id WHERE c.confirmed = 1 AND c.ignored = 0 AND c.identity_id IS NOT NULL AND p.g <> -c.identity_id"
