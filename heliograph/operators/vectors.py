@@ -2,25 +2,30 @@
 
 Dot products fold an ordered array in double, so they don't depend on partitioning. The exact
 neighbour search gathers vectors in blocks around pivots, and a vector calls only on blocks that
-may hold a near one; a block and its callers are multiplied in parts of bounded size, and each
-part keeps its own best before the final ranking.
+may hold a near one; a task holds some blocks' vectors, and those that call on them stream past it,
+while each vector keeps its own best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.plans.params import DEFAULT, Params
 from heliograph.scratch import ship, written
 
-#: Vectors in a block; a task holds two blocks, and products of STRIPE of one's rows with the other.
+#: Vectors in a block; most that a task holds; rows of these that are multiplied with a batch at once.
 BLOCK = 16384
+HELD = 65536
 STRIPE = 512
+#: Pairs whose ordered fold is taken at once.
+FOLDED = 32768
 #: Blocks' centres, which every task gets; components that are multiplied first.
 PIVOTS, HEAD = 1024, 16
 #: Anchors sent to all tasks at once; more are sent in turns.
@@ -66,18 +71,19 @@ def visits(faces: DataFrame, min_sim: float, block: int = BLOCK, pivots: int = P
     """
     spark = faces.sparkSession
     ship(spark)
-    base = faces.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    base = faces.select("id", F.col("embedding").alias("v"))
     n = base.count()
     some = min(pivots, -(-n // block))
     if some <= 1:
         return base.select("id", "v", F.lit(0).alias("home"), F.array(F.lit(0)).alias("calls"))
     held = base.orderBy(F.xxhash64("id"), "id").limit(some).select("v").collect()
     shared = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in held]))[0])
-    angles = lambda v: np.arccos(np.clip(_unit(v)[0] @ shared.value.T, -1, 1))
+    angles = lambda v: np.arccos(np.clip(_unit(v.astype("float64"))[0] @ shared.value.T, -1, 1))
 
     def nearest(batches):
         for batch in batches:
-            far, norm = angles(np.vstack(batch["v"])), np.linalg.norm(np.vstack(batch["v"]), axis=1)
+            v = np.vstack(batch["v"]).astype("float64")
+            far, norm = angles(v), np.linalg.norm(v, axis=1)
             yield pd.DataFrame({"home": far.argmin(1), "far": far.min(1), "norm": norm})
 
     rows = base.mapInPandas(nearest, "home int, far double, norm double").groupBy("home").agg(F.max("far").alias("far"), F.max("norm").alias("norm")).collect()  # a row a pivot
@@ -91,52 +97,159 @@ def visits(faces: DataFrame, min_sim: float, block: int = BLOCK, pivots: int = P
             calls = [np.flatnonzero(row) for row in far <= reach]
             yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "home": far.argmin(1), "calls": calls})
 
-    return written(base.mapInPandas(place, "id long, v array<double>, home int, calls array<int>"), "knn-places")
+    kind = base.schema["v"].dataType.simpleString()
+    return written(base.mapInPandas(place, f"id long, v {kind}, home int, calls array<int>"), "knn-places")
 
 
-def knn(faces: DataFrame, k: int, min_sim: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, the same ordered fold in double as ``dot``."""
+    out = np.zeros(len(a))
+    for at in range(0, len(a), FOLDED):
+        products = a[at : at + FOLDED].astype("float64") * b[at : at + FOLDED].astype("float64")
+        for column in products.T:
+            out[at : at + FOLDED] += column
+    return out
+
+
+def foremost(v: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Rows without those of which ``n`` copies with smaller ids are there: a copy is as near to anything."""
+    order = np.argsort(ids, kind="stable")
+    copy = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    by = np.argsort(copy, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(copy[by]) != 0]))
+    place = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+    return np.sort(order[by[place < n]])
+
+
+class Nearest:
+    """The best ``k`` at ``min_sim`` or above of each held vector, among others that come in batches; ties by id.
+
+    Products are taken in single precision, where what rounding can do is below ``slack``; only pairs that
+    may still be among the best are folded exactly.
+    """
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, min_sim: float):
+        self.ids, self.v, self.k, self.min_sim = ids, v, k, min_sim
+        self.norm = np.linalg.norm(v.astype("float64"), axis=1)
+        self.fast = v.astype("float32", copy=False)
+        self.sims, self.ends = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo("int64").max)
+        self.split: bool | None = None  # whether leading components tell rows apart
+
+    def see(self, ids: np.ndarray, v: np.ndarray) -> None:
+        some = foremost(v, ids, self.k + 1)  # one of them may be the held vector itself
+        ids, v = ids[some], v[some]
+        norm = np.linalg.norm(v.astype("float64"), axis=1)
+        longest = norm[np.isfinite(norm)].max(initial=0.0)
+        single = max(longest, self.norm[np.isfinite(self.norm)].max(initial=0.0)) < 1e15
+        w = v.astype("float32" if single else "float64", copy=False)
+        for at in range(0, len(self.ids), STRIPE):
+            self._stripe(at, ids, v, w, (v.shape[1] + 8) * (2.0**-23 if single else 2.0**-51) * longest, single)
+
+    def _stripe(self, at: int, ids: np.ndarray, v: np.ndarray, w: np.ndarray, unit: float, single: bool) -> None:
+        own = slice(at, at + STRIPE)
+        a = self.fast[own] if single else self.v[own].astype("float64")
+        slack = unit * self.norm[own] + 1e-30
+        rows, cols = np.arange(len(a)), np.arange(len(w))
+        if self.split is not False:
+            rows, cols, most = near_pairs(a, w, self.min_sim - 2 * float(np.nanmax(slack)))
+            if self.split is None:
+                self.split = 2 * most.size < len(a) * len(w)
+            if not most.size:
+                return
+        else:
+            most = a @ w.T
+        slack = slack[rows]
+        bar = (np.maximum(self.sims[own][rows, -1], self.min_sim) - slack).astype(most.dtype)
+        able = most >= bar[:, None]
+        if np.count_nonzero(able) > 4 * self.k * len(rows) and most.shape[1] > self.k + 1:
+            edge = np.partition(np.where(np.isnan(most), -np.inf, most), most.shape[1] - self.k - 1, axis=1)[:, most.shape[1] - self.k - 1]
+            able &= most >= (edge - 2 * slack).astype(most.dtype)[:, None]
+        r, c = np.nonzero(able)
+        r, c = rows[r] + at, cols[c]
+        other = self.ids[r] != ids[c]
+        r, c = r[other], c[other]
+        sims = folded_pairs(self.v, v, r, c)
+        ends = ids[c]
+        last, end = self.sims[r, -1], self.ends[r, -1]
+        better = (sims >= self.min_sim) & ((sims > last) | ((sims == last) & (ends < end)))
+        if better.any():
+            self._keep(r[better], sims[better], ends[better])
+
+    def _keep(self, r: np.ndarray, sims: np.ndarray, ends: np.ndarray) -> None:
+        rows = np.unique(r)
+        r, sims, ends = np.concatenate([r, np.repeat(rows, self.k)]), np.concatenate([sims, self.sims[rows].ravel()]), np.concatenate([ends, self.ends[rows].ravel()])
+        order = np.lexsort((ends, -sims, r))
+        start = np.searchsorted(r[order], rows)
+        best = order[start[:, None] + np.arange(self.k)]
+        self.sims[rows], self.ends[rows] = sims[best], ends[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        r, c = np.nonzero(self.sims > -np.inf)
+        return self.ids[r], self.ends[r, c], self.sims[r, c], (c + 1).astype("int32")
+
+
+def folded_pairs(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The folds of rows r of one with rows c of the other, FOLDED at a time."""
+    if not len(r):
+        return np.zeros(0)
+    return np.concatenate([folded(a[r[at : at + FOLDED]], b[c[at : at + FOLDED]]) for at in range(0, len(r), FOLDED)])
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    sizes = np.diff(column.offsets.to_numpy())
+    if column.null_count or (sizes != sizes[:1]).any():
+        raise ValueError("vectors of one length are needed, and no null")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def knn(faces: DataFrame, k: int, min_sim: float, block: int = BLOCK, pivots: int = PIVOTS, held: int = HELD) -> DataFrame:
     """(i, j, sim, rank): every vector's best ``k`` others at ``min_sim`` or above, ties by id.
 
-    Candidates come from matrix products of a block's vectors and those that call on it, with a
-    little slack; sims and order then come from the ordered fold. A block with many vectors or many
-    callers is split on both sides.
+    A unit is the vectors of some blocks, or a part of a block, ``held`` at most. It takes one task: its
+    own vectors come first, then all that call on its blocks stream past them. So a vector is sent
+    once to each unit that it may be near, and neither pairs nor candidates are shuffled.
     """
     placed = visits(faces, min_sim, block, pivots)
-    called = placed.select("id", "v", F.explode("calls").alias("block"))
-    totals = called.groupBy("block").agg(F.count(F.lit(1)).alias("callers")).join(placed.groupBy(F.col("home").alias("block")).agg(F.count(F.lit(1)).alias("own")), "block")
-    split = totals.select("block", F.ceil(F.col("callers") / block).alias("sides"), F.ceil(F.col("own") / block).alias("parts"))  # a row a pivot
-    shard = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of))
-    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    rows = called.join(F.broadcast(split), "block").withColumn("side", shard("sides")).withColumn("part", every("parts")).select("block", "side", "part", "id", "v")
-    homes = placed.select("id", "v", F.col("home").alias("block")).join(F.broadcast(split), "block").withColumn("part", shard("parts")).withColumn("side", every("sides"))
-    cols = homes.select("block", "side", "part", F.col("id").alias("j"), F.col("v").alias("w"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": []}).astype("int64")
-        a, b = np.vstack(left["v"]), np.vstack(right["w"])
-        i, j = left["id"].to_numpy(), right["j"].to_numpy()
-        found = [stripe(a[at : at + STRIPE], b, i[at : at + STRIPE], j) for at in range(0, len(a), STRIPE)]
-        return pd.DataFrame({"i": np.concatenate([f[0] for f in found]), "j": np.concatenate([f[1] for f in found])})
-
-    def stripe(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r, c, sims = near_pairs(a, b, min_sim)
-        i, j = i[r], j[c]
-        if not sims.size:
-            return i[:0], j[:0]
-        sims[i[:, None] == j[None, :]] = -np.inf
-        keep = min(k, sims.shape[1])
-        edge = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-        r, c = np.nonzero((sims >= np.maximum(edge, min_sim)[:, None] - 1e-9) & np.isfinite(sims))
-        return i[r], j[c]
-
-    keys = ("block", "side", "part")
-    pairs = rows.groupBy(*keys).cogroup(cols.groupBy(*keys)).applyInPandas(best, "i long, j long")
-    left = placed.select(F.col("id").alias("i"), F.col("v").alias("a"))
-    right = placed.select(F.col("id").alias("j"), F.col("v").alias("b"))
-    exact = pairs.join(left, "i").join(right, "j").select("i", "j", dot(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= min_sim)
-    order = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
-    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    homes = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+    n, tasks = sum(homes.values()), 2 * faces.sparkSession.sparkContext.defaultParallelism
+    most = min(held, max(-(-n // tasks), min(held, 1024)))
+    first, parts, units, room = [0] * (max(homes, default=0) + 1), [1] * (max(homes, default=0) + 1), 0, 0
+    for home, own in sorted(homes.items()):
+        if own <= room:  # it joins the unit before
+            first[home], room = units - 1, room - own
+            continue
+        first[home], parts[home] = units, -(-own // most)
+        units, room = units + parts[home], most - own if parts[home] == 1 else 0
+    at, of = F.lit(first), F.lit(parts)
+    unit = F.get(at, "home") + F.pmod(F.xxhash64("id"), F.get(of, "home"))
+    called = F.flatten(F.transform(F.filter("calls", lambda c: c < len(first)), lambda c: F.sequence(F.get(at, c), F.get(at, c) + F.get(of, c) - 1)))
+    own = placed.select(unit.cast("int").alias("unit"), F.lit(0).alias("turn"), "id", "v")
+    callers = placed.select(F.explode(F.array_distinct(called)).alias("unit"), F.lit(1).alias("turn"), "id", "v")
+    dealt = own.unionByName(callers).repartitionById(max(1, units), "unit").sortWithinPartitions("unit", "turn").select("unit", "turn", "id", "v")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["i", "j", "sim", "rank"]
+        now, ids, vs, near = None, [], [], None
+        for batch in batches:
+            of, turn, every = (batch.column(c).to_numpy() for c in ("unit", "turn", "id"))
+            v = _matrix(batch.column("v"))
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(turn) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(of)]):
+                if of[lo] != now:
+                    if near:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in near.found()], names)
+                    now, ids, vs, near = of[lo], [], [], None
+                if turn[lo] == 0:
+                    ids, vs = [*ids, every[lo:hi].copy()], [*vs, v[lo:hi].copy()]
+                    continue
+                if near is None and ids:
+                    near, ids, vs = Nearest(np.concatenate(ids), np.vstack(vs), k, min_sim), [], []
+                if near:
+                    near.see(every[lo:hi], v[lo:hi])
+        if near:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in near.found()], names)
+
+    return written(dealt.mapInArrow(best, "i long, j long, sim double, rank int"), "knn")
 
 
 def candidate_edges(neighbours: DataFrame) -> DataFrame:
@@ -145,8 +258,9 @@ def candidate_edges(neighbours: DataFrame) -> DataFrame:
 
 
 def mutual_edges(neighbours: DataFrame) -> DataFrame:
-    back = neighbours.select(F.col("j").alias("i"), F.col("i").alias("j"))
-    return neighbours.filter("i < j").join(back, ["i", "j"]).select(F.col("i").alias("a"), F.col("j").alias("b"), "sim")
+    """Pairs that are neighbours in both directions: of a pair's two rows, both are there."""
+    pairs = neighbours.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("sim").alias("sim"))
+    return pairs.filter("lo <> hi").select("a", "b", "sim")
 
 
 def edge_histogram(edges: DataFrame) -> DataFrame:

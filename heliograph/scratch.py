@@ -40,9 +40,24 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that a lost executor costs a re-read."""
+    """``df`` as a table in the shared folder, so that a lost executor costs a re-read; its shuffle files go then."""
     spark = df.sparkSession
     ship(spark)
     path = f"{folder(spark)}/heliograph/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(cleanup, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        if path.getParent().getName() == "heliograph":
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
