@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators import clusters, library, mutations, people, vectors
 from heliograph.plans.params import DEFAULT, Params
+from heliograph.scratch import written
 
 
 def matches(faces: DataFrame, params: Params = DEFAULT, trim: bool = True) -> DataFrame:
@@ -93,7 +94,7 @@ def merge_suggestions(photos: DataFrame, faces: DataFrame, identities: DataFrame
     side = lambda p: groups.select(F.col("g").alias(p), F.col("count").alias(f"{p}_count"), F.col("name").alias(f"{p}_name"))
     ranked = evidence.join(side("a"), "a").join(side("b"), "b")
     ranked = ranked.withColumn("leverage", F.col("max_sim") * F.col("pairs") * F.sqrt(F.col("a_count") + F.col("b_count")))
-    top = ranked.orderBy(F.desc("leverage"), "a", "b").limit(params.top_merges)
+    top = written(ranked.orderBy(F.desc("leverage"), "a", "b").limit(params.top_merges), "merge-top")
     first = F.col("a_count") >= F.col("b_count")
     pick = lambda c: (F.when(first, F.col(f"a{c}")).otherwise(F.col(f"b{c}")), F.when(first, F.col(f"b{c}")).otherwise(F.col(f"a{c}")))
     (target, source), (target_name, source_name), (_, photos_) = pick(""), pick("_name"), pick("_count")
